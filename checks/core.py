@@ -291,7 +291,7 @@ case when score >= 0.75 then 'high' when score >= 0.5 then 'medium' when score >
 concat_ws('|', case when w_dup is not null then 'duplicate_phrasing' end, case when w_praise is not null then 'contentless_praise' end,
   case when w_burst is not null then 'submission_burst' end, case when w_unver is not null then 'unverified_purchase' end) as rules,
 round(coalesce(w_dup, 0.0), 6) as w_dup, round(coalesce(w_praise, 0.0), 6) as w_praise, round(coalesce(w_burst, 0.0), 6) as w_burst,
-round(coalesce(w_unver, 0.0), 6) as w_unver from scored""",
+cast(coalesce(w_unver, 0.0) as double) as w_unver from scored""",
     ),
 )
 def review_verdicts(spark, sf):
@@ -312,15 +312,15 @@ def review_verdicts(spark, sf):
     compose(
         ["scored"],
         f"""select * from (
-select review_id, 'duplicate_phrasing' as rule, round_even(w_dup, 3) as weight, 'near-duplicate of ' || cast(cluster_size - 1 as varchar)
+select review_id, 'duplicate_phrasing' as rule, cast(printf('%.3f', w_dup) as double) as weight, 'near-duplicate of ' || cast(cluster_size - 1 as varchar)
   || ' other review(s) (peak similarity ' || {fixed('max_similarity', 2)} || '); cluster of ' || cast(cluster_size as varchar) as detail from scored where w_dup is not null
-union all select review_id, 'contentless_praise', round_even(w_praise, 3), 'uniform praise with no specifics — ' || concat_ws('; ',
+union all select review_id, 'contentless_praise', cast(printf('%.3f', w_praise) as double), 'uniform praise with no specifics — ' || concat_ws('; ',
   'polarity ' || printf('%+.2f', round_even(polarity, 2)), 'specificity ' || {fixed('specificity', 2)},
   case when len(generic) > 0 then 'stock phrases: ' || array_to_string(generic[1:3], ', ') end,
   case when wc <= 25 then 'only ' || cast(wc as varchar) || ' words' end) from scored where w_praise is not null
-union all select review_id, 'submission_burst', round_even(w_burst, 3), 'unnatural submission pacing — ' || cast(day_count as varchar) || ' of ' || cast(usable as varchar)
+union all select review_id, 'submission_burst', cast(printf('%.3f', w_burst) as double), 'unnatural submission pacing — ' || cast(day_count as varchar) || ' of ' || cast(usable as varchar)
   || ' dated reviews posted on ' || cast(review_date as varchar) from scored where w_burst is not null
-union all select review_id, 'unverified_purchase', round_even(w_unver, 3), case when verified_purchase = false then 'no verified-purchase badge'
+union all select review_id, 'unverified_purchase', cast(w_unver as double), case when verified_purchase = false then 'no verified-purchase badge'
   else 'site did not indicate whether the purchase was verified' end from scored where w_unver is not null)""",
     ),
 )
@@ -370,7 +370,7 @@ def rule_counts(spark, sf):
     "rejected_audit",
     compose(
         ["scored"],
-        """select product_id, review_id, 'review_filtered' as event_type, source, round_even(score, 3) as score,
+        """select product_id, review_id, 'review_filtered' as event_type, source, cast(printf('%.3f', score) as double) as score,
 concat_ws('|', case when w_dup is not null then 'duplicate_phrasing' end, case when w_praise is not null then 'contentless_praise' end,
   case when w_burst is not null then 'submission_burst' end, case when w_unver is not null then 'unverified_purchase' end) as rules,
 left(text, 80) as excerpt from scored where not passed""",

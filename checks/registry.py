@@ -1,3 +1,4 @@
 """All registered queries, gathered from the check modules."""
 
+import checks.scoring  # noqa: F401
 from checks.core import QUERIES, SQL  # noqa: F401
