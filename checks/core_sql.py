@@ -206,7 +206,7 @@ FRAGMENTS["bare"] = (
     ["sent"],
     """select *, wc > 0 and polarity >= 0.8 and specificity <= 0.2 and len(markers) = 0
   and (generic_ratio >= 0.30 or wc <= 25) as contentless,
-  0.52 * least(1.0, 0.55 + greatest(generic_ratio,
+  0.52::double * least(1.0, 0.55::double + greatest(generic_ratio,
     case when wc <= 15 and specificity = 0.0 then 0.45 when wc <= 25 then 0.20 else 0.0 end)) as praise_weight
 from sent""",
 )
@@ -214,10 +214,10 @@ FRAGMENTS["sig"] = (
     ["rv", "bare", "clu", "peak", "dayrep"],
     """select rv.product_id, rv.review_id, rv.source, rv.rating, rv.verified_purchase, rv.text,
   c.cluster_id, c.cluster_size, p.max_similarity,
-  case when c.cluster_size >= 2 then 0.55 * least(1.0, 0.45 + 0.11 * (c.cluster_size - 2)) * least(1.0, p.max_similarity / 0.8) end as w_dup,
+  case when c.cluster_size >= 2 then 0.55::double * least(1.0, 0.45::double + 0.11::double * (c.cluster_size - 2)) * least(1.0, p.max_similarity / 0.8) end as w_dup,
   case when b.contentless then b.praise_weight end as w_praise,
-  case when d.in_burst then 0.30 * least(1.0, 0.5 + d.day_share) end as w_burst,
-  case when not coalesce(rv.verified_purchase, false) then 0.12 end as w_unver,
+  case when d.in_burst then 0.30::double * least(1.0, 0.5 + d.day_share) end as w_burst,
+  case when not coalesce(rv.verified_purchase, false) then 0.12::double end as w_unver,
   b.polarity, b.specificity, b.generic, b.wc, d.day_count, d.usable, rv.review_date
 from rv join bare b using (product_id, review_id)
 left join clu c on c.product_id = rv.product_id and c.review_id = rv.review_id

@@ -187,43 +187,42 @@ def absolute_link(base: Column, href: Column) -> Column:
 # ---------------------------------------------------------------- fetch safety
 
 
-def _octet(address: Column, i: int) -> Column:
-    return F.get(F.split(address, r"\."), F.lit(i)).cast("int")
+# IPv4 and IPv6 ranges that must not be fetched.
+V4_PATTERN = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
+V4_LOOPBACK = r"^127\."
+V4_PRIVATE = (
+    r"^(0|10|169\.254|172\.(1[6-9]|2\d|3[01])|192\.168|192\.0\.[02]|198\.(1[89]|51\.100)"
+    r"|203\.0\.113|2[45]\d)\."
+)
+V4_MULTICAST = r"^(22[4-9]|23\d)\."
+V6_PRIVATE = r"^(f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|::$|2001:db8:)"
+V6_MULTICAST = r"^ff[0-9a-f]{2}:"
+
+
+def _let(value: Column, body) -> Column:
+    """Compute ``value`` once and use it several times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def forbidden_address(address: Column) -> Column:
     """Why a literal IP must not be fetched; null if it may, or if it is not an IP.
 
-    Dotted IPv4 is checked by range; IPv6 by its prefix, and an IPv4-mapped address by
-    the IPv4 address inside it.
+    IPv6 is checked by its prefix, and an IPv4-mapped address by the IPv4 address in it.
     """
-    mapped = found(address, r"(?i)^\[?::ffff:(\d+\.\d+\.\d+\.\d+)\]?$")
-    v4 = F.coalesce(mapped, address)
-    is_v4 = v4.rlike(r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$")
-    a, b, c = (F.when(is_v4, _octet(v4, i)) for i in range(3))
-    private = (
-        (a == 10)
-        | ((a == 172) & b.between(16, 31))
-        | ((a == 192) & (b == 168))
-        | (a == 0)
-        | ((a == 169) & (b == 254))
-        | ((a == 192) & (b == 0) & (c == 0))
-        | ((a == 192) & (b == 0) & (c == 2))
-        | ((a == 198) & b.isin(18, 19))
-        | ((a == 198) & (b == 51) & (c == 100))
-        | ((a == 203) & (b == 0) & (c == 113))
-        | (a >= 240)
-    )
-    v6 = F.lower(F.regexp_replace(address, r"[\[\]]", ""))
-    is_v6 = v6.contains(":")
-    return (
-        F.when(a == 127, "loopback address")
-        .when(private, "private network address")
-        .when(a.between(224, 239), "multicast address")
-        .when(is_v6 & (v6 == "::1"), "loopback address")
-        .when(is_v6 & v6.rlike(r"^(f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|::$|2001:db8:)"), "private network address")
-        .when(is_v6 & v6.rlike(r"^ff[0-9a-f]{2}:"), "multicast address")
-    )
+    plain = F.regexp_replace(F.lower(address), r"^\[?(::ffff:(?=\d+\.))?|\]$", "")
+
+    def reason(ip: Column) -> Column:
+        v4, v6 = ip.rlike(V4_PATTERN), ip.contains(":")
+        return (
+            F.when(v4 & ip.rlike(V4_LOOPBACK), "loopback address")
+            .when(v4 & ip.rlike(V4_PRIVATE), "private network address")
+            .when(v4 & ip.rlike(V4_MULTICAST), "multicast address")
+            .when(ip == "::1", "loopback address")
+            .when(v6 & ip.rlike(V6_PRIVATE), "private network address")
+            .when(v6 & ip.rlike(V6_MULTICAST), "multicast address")
+        )
+
+    return _let(plain, reason)
 
 
 def rejection_reason(url: Column) -> Column:
@@ -232,25 +231,27 @@ def rejection_reason(url: Column) -> Column:
     Resolved addresses can be joined in by the caller and passed to
     :func:`forbidden_address`.
     """
+    authority = F.regexp_replace(F.coalesce(netloc(url), F.lit("")), r"^.*@", "")
+    name = F.lower(F.regexp_replace(authority, r":\d*$", ""))
+
+    def by_host(n: Column) -> Column:
+        local = (n == "localhost") | n.endswith(".localhost") | n.endswith(".local")
+        return F.coalesce(
+            F.when(n == "", "URL has no host").when(n.isin(METADATA_HOSTS), "cloud metadata endpoint"),
+            forbidden_address(n),
+            F.when(local, "local hostname").when(
+                ~n.contains(".") & ~n.contains(":"), "non-public hostname"
+            ),
+        )
+
     kind = F.coalesce(scheme(url), F.lit(""))
-    authority = F.coalesce(netloc(url), F.lit(""))
-    name = F.lower(
-        F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", "")
+    refused = F.concat(
+        F.lit("scheme '"), F.coalesce(_nonempty(kind), F.lit("(none)")), F.lit("' is not allowed")
     )
     return (
         F.when(url.isNull() | (url == ""), F.lit(None).cast("string"))
-        .when(
-            ~kind.isin("http", "https"),
-            F.concat(F.lit("scheme '"), F.coalesce(_nonempty(kind), F.lit("(none)")), F.lit("' is not allowed")),
-        )
-        .when(name == "", "URL has no host")
-        .when(name.isin(METADATA_HOSTS), "cloud metadata endpoint")
-        .when(forbidden_address(name).isNotNull(), forbidden_address(name))
-        .when(
-            (name == "localhost") | name.endswith(".localhost") | name.endswith(".local"),
-            "local hostname",
-        )
-        .when(~name.contains(".") & ~name.contains(":"), "non-public hostname")
+        .when(~kind.isin("http", "https"), refused)
+        .otherwise(_let(name, by_host))
     )
 
 

@@ -96,7 +96,7 @@ def allowed_urls(urls: DataFrame, rules: DataFrame, user_agent: str, url: str =
     hits = F.filter(
         "rules",
         lambda r: F.when(r["regex"].isNull(), F.col("_path").startswith(r["prefix"])).otherwise(
-            F.col("_path").rlike(r["regex"])
+            F.rlike(F.col("_path"), r["regex"])
         ),
     )
     best = F.array_max(

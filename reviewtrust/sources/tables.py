@@ -128,7 +128,8 @@ def videos(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "events")
+    """The event table, its zone-less times read in the session time zone."""
+    return read_table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def event_log(spark: SparkSession, folder: str) -> DataFrame:
