@@ -1,0 +1,191 @@
+"""Registered queries: extraction from stored pages, and from pages built around documents."""
+
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import functions as F
+
+from checks.core import QUERIES, SQL, long, query, r6  # noqa: F401
+from checks.core_sql import FRAGMENTS, array, compose, quote, squeeze
+from checks.logs import _B2
+from reviewtrust.operators import pages as PG
+from reviewtrust.sources import html as H
+from reviewtrust.sources import tables as T
+
+TODAY = datetime.date(2024, 6, 15)
+
+
+def review_pages(spark, sf):
+    """A product page around every document, in one of four markups by id.
+
+    0: JSON-LD review of the whole text; 1: microdata; 2: review cards; 3: JSON-LD and one
+    more card than JSON-LD reviews.
+    """
+    d = T.read_table(spark, sf, "documents")
+    doc = F.col("doc_id")
+    safe = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    stars = (doc % 5 + 1).cast("string")
+    review = F.to_json(
+        F.struct(
+            F.lit("Review").alias("@type"), F.col("text").alias("reviewBody"),
+            F.struct((doc % 10 + 1).alias("ratingValue"), F.lit(10).alias("bestRating")).alias("reviewRating"),
+            F.lit("2024-03-05").alias("datePublished"), F.struct(F.concat(F.lit("user"), doc.cast("string")).alias("name")).alias("author"),
+        )
+    )
+    ld = F.concat(
+        F.lit('<script type="application/ld+json">{bad json</script><script type="application/ld+json">{"@graph":[{"@type":"Product","name":"Thing '), doc.cast("string"),
+        F.lit('","sku":"S'), doc.cast("string"), F.lit('","brand":{"name":"Acme"},"offers":{"price":"19.5","priceCurrency":"eur"},"review":['),
+        F.replace(review, F.lit("</"), F.lit("<\\/")), F.lit("]}]}</script>"),
+    )
+
+    def card(text, rating):
+        return F.concat(
+            F.lit('<li class="review-item"><h3>Card title</h3><span class="stars" aria-label="'), rating, F.lit(' out of 5 stars"></span><div class="review-text">'), text,
+            F.lit('</div><span class="review-author">Ann</span><time>March 3, 2024</time><button>Helpful</button><div class="votes">12 people found this helpful</div><i>Verified Purchase</i></li>'),
+        )
+
+    micro = F.concat(
+        F.lit('<div itemscope itemtype="https://schema.org/Review"><meta itemprop="ratingValue" content="'), stars,
+        F.lit('"><b itemprop="author">Bob</b><p itemprop="reviewBody">'), safe, F.lit("</p></div>"),
+    )
+    short = F.lit("A second card with enough words in it.")
+    body = (
+        F.when(doc % 4 == 0, ld).when(doc % 4 == 1, micro).when(doc % 4 == 2, F.concat(card(safe, stars), card(short, F.lit("4"))))
+        .otherwise(F.concat(ld, card(safe, stars), card(short, F.lit("4"))))
+    )
+    head = F.concat(F.lit('<html><head><title>Thing | Shop</title><meta property="og:description" content="About thing '), doc.cast("string"), F.lit('"><link rel="next" href="?page=2"></head><body>'))
+    return d.select(
+        doc.alias("page_id"), F.concat(F.lit("https://www.shop.example/product/item-"), doc.cast("string")).alias("url"),
+        F.concat(head, body, F.lit("</body></html>")).alias("html"), "text",
+    )
+
+
+FRAGMENTS["clean_doc"] = (["d0"], f"select doc_id, {_B2} as t, {squeeze('text')} as sq from documents")
+FRAGMENTS["clean_doc"] = ([], f"select doc_id, {_B2} as t, {squeeze('text')} as sq from documents")
+
+
+@query(
+    "json_ld_reviews",
+    compose(
+        ["clean_doc"],
+        "select doc_id as page_id, t as text, round_even((doc_id % 10 + 1) * 0.5::double, 2) as rating, '2024-03-05' as review_date, 'user' || cast(doc_id as varchar) as author from clean_doc where doc_id % 4 in (0, 3) and length(t) >= 8",
+    ),
+)
+def json_ld_reviews(spark, sf):
+    rows = PG.json_ld_reviews(review_pages(spark, sf), TODAY)
+    return rows.select("page_id", "text", "rating", F.col("review_date").cast("string").alias("review_date"), "author")
+
+
+@query(
+    "microdata_reviews",
+    compose(["clean_doc"], "select doc_id as page_id, sq as text, cast(doc_id % 5 + 1 as double) as rating, 'Bob' as author from clean_doc where doc_id % 4 = 1 and sq <> ''"),
+)
+def microdata_reviews(spark, sf):
+    return PG.microdata_reviews(review_pages(spark, sf), TODAY).select("page_id", "text", "rating", "author")
+
+
+FRAGMENTS["cards"] = (
+    ["clean_doc"],
+    """select doc_id as page_id, 0 as pos, t as text, cast(doc_id % 5 + 1 as double) as rating from clean_doc where doc_id % 4 in (2, 3) and length(t) >= 20
+union all select doc_id, 1, 'A second card with enough words in it.', 4.0 from clean_doc where doc_id % 4 in (2, 3)""",
+)
+
+
+@query(
+    "dom_reviews",
+    compose(
+        ["cards"],
+        """select page_id, cast(pos as bigint) as pos, text, rating::double as rating, '2024-03-03' as review_date, 'Ann' as author, 'Card title' as title, true as verified_purchase, cast(12 as bigint) as helpful_votes from cards""",
+    ),
+)
+def dom_reviews(spark, sf):
+    rows = PG.dom_reviews(review_pages(spark, sf), TODAY)
+    return rows.select(
+        "page_id", long("pos").alias("pos"), "text", "rating", F.col("review_date").cast("string").alias("review_date"), "author", "title",
+        "verified_purchase", long("helpful_votes").alias("helpful_votes"),
+    )
+
+
+@query(
+    "page_reviews",
+    compose(
+        ["cards", "clean_doc"],
+        """select page_id, 'dom' as strategy, text from cards where not (page_id % 4 = 3 and page_id in (select page_id from cards group by 1 having count(*) < 2))
+union all select doc_id, 'structured-data', t from clean_doc where (doc_id % 4 = 0 or (doc_id % 4 = 3 and length(t) >= 8 and length(t) < 20)) and length(t) >= 8
+union all select doc_id, 'structured-data', sq from clean_doc where doc_id % 4 = 1 and sq <> ''""",
+    ),
+)
+def page_reviews(spark, sf):
+    return PG.page_reviews(review_pages(spark, sf), TODAY).select("page_id", "strategy", "text")
+
+
+@query(
+    "product_facts",
+    compose(
+        [],
+        """select doc_id as page_id, 'About thing ' || cast(doc_id as varchar) as description, case when doc_id % 4 in (0, 3) then 'Thing ' || cast(doc_id as varchar) end as name,
+case when doc_id % 4 in (0, 3) then 19.5::double end as price, case when doc_id % 4 in (0, 3) then 'EUR' end as currency, case when doc_id % 4 in (0, 3) then 'Acme' end as brand,
+case when doc_id % 4 in (0, 3) then 'S' || cast(doc_id as varchar) end as sku from documents""",
+    ),
+)
+def product_facts(spark, sf):
+    return PG.product_facts(review_pages(spark, sf)).select("page_id", "description", "name", "price", "currency", "brand", "sku")
+
+
+@query(
+    "next_pages",
+    compose([], "select doc_id as page_id, 'https://www.shop.example/product/item-' || cast(doc_id as varchar) || '?page=2' as next_url from documents"),
+)
+def next_pages(spark, sf):
+    return PG.next_pages(review_pages(spark, sf))
+
+
+@query(
+    "detected_products",
+    compose(
+        [],
+        """select doc_id as page_id, case when doc_id % 4 in (0, 3) then 'S' || cast(doc_id as varchar) else 'item-' || cast(doc_id as varchar) end as product_id,
+case when doc_id % 4 in (0, 3) then 'json-ld' else 'url-shape' end as id_from, case when doc_id % 4 in (0, 3) then 'high' else 'low' end as confidence,
+case when doc_id % 4 in (0, 3) then 'Thing ' || cast(doc_id as varchar) else 'Thing' end as title from documents""",
+    ),
+)
+def detected_products(spark, sf):
+    return PG.detect_products(review_pages(spark, sf)).select("page_id", "product_id", "id_from", "confidence", "title")
+
+
+@query(
+    "blocked_pages",
+    compose(
+        [],
+        f"""select page_id, coalesce(page_id % 25 in (3, 4), false) or len(list_filter({array(PG.BLOCK_MARKERS)}, lambda m: contains(lower(left(html, 6000)), m))) > 0 as blocked from (
+select page_id, case when page_id % 7 = 0 then '<p>Robot Check</p>' else '' end || html as html from pages)""",
+    ),
+)
+def blocked_pages(spark, sf):
+    status = F.when(F.col("page_id") % 25 == 3, 403).when(F.col("page_id") % 25 == 4, 503).otherwise(200)
+    wall = F.when(F.col("page_id") % 7 == 0, "<p>Robot Check</p>").otherwise("")
+    return T.read_table(spark, sf, "pages").select("page_id", PG.looks_blocked(F.concat(wall, "html"), status).alias("blocked"))
+
+
+@query(
+    "page_structure",
+    compose(
+        [],
+        """select page_id, cast(len(regexp_extract_all(html, '<a ')) as bigint) as links, cast(len(regexp_extract_all(html, '<p[ >]')) as bigint) as paragraphs,
+nullif(trim(regexp_replace(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '<[^>]*>', '', 'g'), '[\\s\\p{Z}]+', ' ', 'g')), '') as title from pages""",
+    ),
+)
+def page_structure(spark, sf):
+    nodes = F.col("nodes")
+    rows = PG.with_nodes(T.read_table(spark, sf, "pages"))
+    title = H.text_of(nodes, F.get(F.filter(nodes, lambda n: n["tag"] == "title"), F.lit(0)))
+    return rows.select(
+        "page_id", long(F.size(F.filter(nodes, lambda n: n["tag"] == "a"))).alias("links"),
+        long(F.size(F.filter(nodes, lambda n: n["tag"] == "p"))).alias("paragraphs"), F.nullif(title, F.lit("")).alias("title"),
+    )
+
+
+@query("page_identity")
+def page_identity(spark, sf):
+    return PG.detect_products(T.read_table(spark, sf, "pages"))

@@ -361,8 +361,8 @@ def event_latency(log: DataFrame) -> DataFrame:
     counted = waits.groupBy("event", "ms").agg(F.count("*").alias("n"))
     return counted.groupBy("event").agg(
         F.sum("n").alias("jobs"),
-        F.percentile("ms", 0.5, "n").alias("median_ms"),
-        F.percentile("ms", 0.95, "n").alias("p95_ms"),
+        F.percentile("ms", 0.5, F.col("n")).alias("median_ms"),
+        F.percentile("ms", 0.95, F.col("n")).alias("p95_ms"),
     )
 
 
