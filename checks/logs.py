@@ -510,7 +510,7 @@ def queue_stats(spark, sf):
     compose(
         ["jl"],
         """select event, count(*) as jobs, round(quantile_cont(ms, 0.5), 3) as median_ms, round(quantile_cont(ms, 0.95), 3) as p95_ms from (
-select f.event, epoch_ms(f.t) - epoch_ms(s.t) as ms from (select job_id, event, min(ts) as t from jl group by 1, 2) f join (select job_id, min(ts) as t from jl group by 1) s using (job_id)) group by 1""",
+select f.event, epoch_us(f.t) // 1000 - epoch_us(s.t) // 1000 as ms from (select job_id, event, min(ts) as t from jl group by 1, 2) f join (select job_id, min(ts) as t from jl group by 1) s using (job_id)) group by 1""",
     ),
 )
 def event_latency(spark, sf):

@@ -140,7 +140,8 @@ def looks_blocked(html: Column, status: Column) -> Column:
 
 
 def with_nodes(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("nodes", H.dom_nodes(F.col("html")))
+    parsed = pages.withColumn("nodes", H.dom_nodes(F.col("html")))
+    return H.bind(parsed, nodes=F.col("nodes"))
 
 
 # ---------------------------------------------------------------- JSON-LD fields
@@ -178,7 +179,10 @@ def _named(v: Column, key: str) -> Column:
 
 def json_ld_reviews(pages: DataFrame, as_of: datetime.date) -> DataFrame:
     """Reviews a page declares as JSON-LD."""
-    blocks = with_nodes(pages).select("page_id", "url", H.script_blocks(F.col("nodes"), "(?i)ld\\+json").alias("blocks"))
+    blocks = H.bind(
+        with_nodes(pages).select("page_id", "url", "nodes"),
+        blocks=H.script_blocks(F.col("nodes"), "(?i)ld\\+json"),
+    )
     objects = blocks.select("page_id", "url", F.posexplode_outer(H.ld_objects(F.col("blocks"))).alias("pos", "o"))
     rows = objects.select("page_id", "url", "pos", F.try_parse_json("o").alias("v"))
     v = F.col("v")
@@ -186,16 +190,26 @@ def json_ld_reviews(pages: DataFrame, as_of: datetime.date) -> DataFrame:
     raw_rating = F.coalesce(*[_scalar(v, p) for p in ("$.reviewRating.ratingValue", "$.reviewRating[0].ratingValue", "$.reviewRating", "$.rating.ratingValue", "$.rating")])
     best = F.coalesce(*[_scalar(v, p).try_cast("double") for p in ("$.reviewRating.bestRating", "$.reviewRating[0].bestRating", "$.rating.bestRating")], F.lit(5.0))
     date_raw = F.coalesce(_is(v, "$.datePublished"), _is(v, "$.dateCreated"))
-    link = _filled(v, "$.url")
+    rows = H.bind(
+        rows,
+        body=F.coalesce(_filled(v, "$.reviewBody"), _filled(v, "$.description"), _filled(v, "$.text")),
+        raw_rating=raw_rating,
+        best=best,
+        date_raw=date_raw,
+        author=F.coalesce(_named(v, "author"), _named(v, "creator")),
+        title=_is(v, "$.name"),
+        link=_filled(v, "$.url"),
+    ).drop("v")
+    link = F.col("link")
     out = rows.select(
         "page_id",
         "pos",
-        P.strip_boilerplate(F.coalesce(_filled(v, "$.reviewBody"), _filled(v, "$.description"), _filled(v, "$.text"))).alias("text"),
-        P.normalize_rating(raw_rating, best).alias("rating"),
-        P.parse_date(date_raw, as_of).alias("review_date"),
-        date_raw.alias("date_raw"),
-        F.coalesce(_named(v, "author"), _named(v, "creator")).alias("author"),
-        _is(v, "$.name").alias("title"),
+        P.strip_boilerplate(F.col("body")).alias("text"),
+        P.normalize_rating(F.col("raw_rating"), F.col("best")).alias("rating"),
+        P.parse_date(F.col("date_raw"), as_of).alias("review_date"),
+        "date_raw",
+        "author",
+        "title",
         F.lit(None).cast("boolean").alias("verified_purchase"),
         F.lit(None).cast("int").alias("helpful_votes"),
         F.when(link.isNotNull(), absolute_link(F.col("url"), link)).alias("url"),
@@ -212,7 +226,7 @@ def microdata_reviews(pages: DataFrame, as_of: datetime.date) -> DataFrame:
         lambda n: F.coalesce(H.attr(n, "itemtype").rlike(r"(?i)schema\.org/(User)?Review"), F.lit(False)),
     )
     rows = with_nodes(pages).select("page_id", "nodes", F.posexplode_outer(scopes).alias("pos", "s")).where("s is not null")
-    rows = rows.select("page_id", "pos", H.inside(nodes, F.col("s")).alias("sub"))
+    rows = H.bind(rows.select("page_id", "pos", "nodes", "s"), sub=H.inside(nodes, F.col("s"))).drop("nodes", "s")
     sub = F.col("sub")
 
     def prop(*names: str) -> Column:
@@ -288,36 +302,23 @@ def dom_reviews(pages: DataFrame, as_of: datetime.date) -> DataFrame:
             F.slice(F.filter(nodes, lambda n: H.matches(nodes, n, F.col("s"))), 1, CONTAINER_LIMIT)
         ).alias("pos", "c"),
     ).where("c is not null")
-    rows = found.select("page_id", "selector_no", "pos", "c", H.inside(nodes, c).alias("sub"))
+    rows = H.bind(found, sub=H.inside(nodes, c)).drop("nodes")
     sub = F.col("sub")
     nested = F.filter(
         sub,
         lambda n: F.coalesce(H.attr(n, "data-hook") == "review", F.lit(False)) | H.attr(n, "data-review-id").isNotNull(),
     )
     noise = H.select(sub, H.selector_list(NOISE))
-    rows = rows.where(F.size(nested) <= 1).select(
-        "page_id",
-        "selector_no",
-        "pos",
-        "c",
-        H.text_of(sub, c).alias("blob"),
-        "sub",
-        noise.alias("noise"),
-    )
-    rows = rows.select(
-        "page_id",
-        "selector_no",
-        "pos",
-        "c",
-        "blob",
-        F.filter(sub, lambda n: ~F.exists("noise", lambda z: (n["i"] >= z["i"]) & (n["i"] <= z["last"]))).alias("clean"),
+    rows = H.bind(rows.where(F.size(nested) <= 1), noise=noise, blob=H.text_of(sub, c))
+    quiet = F.filter(
+        sub, lambda n: ~F.exists("noise", lambda z: (n["i"] >= z["i"]) & (n["i"] <= z["last"]))
     )
+    rows = H.bind(rows, clean=quiet).drop("sub", "noise")
     clean = F.col("clean")
-    title_nodes = H.select(clean, H.selector_list(TITLES))
+    rows = H.bind(rows, title_nodes=H.select(clean, H.selector_list(TITLES)))
     body_nodes = F.filter(
         H.select(clean, H.selector_list(BODIES)), lambda n: ~F.exists("title_nodes", lambda t: t["i"] == n["i"])
     )
-    rows = rows.withColumn("title_nodes", title_nodes)
     body = F.coalesce(
         H.first_value(F.transform(body_nodes, lambda n: H.text_of(clean, n))), H.text_of(clean, c)
     )
@@ -391,8 +392,11 @@ def _meta(nodes: Column, *pairs: tuple[str, str]) -> Column:
 def product_facts(pages: DataFrame) -> DataFrame:
     """Image, description, name, price with currency, colour, brand and SKU of each page."""
     nodes = F.col("nodes")
-    rows = with_nodes(pages).select("page_id", "url", "nodes", H.script_blocks(nodes, "(?i)ld\\+json").alias("blocks"))
+    rows = H.bind(
+        with_nodes(pages).select("page_id", "url", "nodes"), blocks=H.script_blocks(nodes, "(?i)ld\\+json")
+    )
     rows = rows.select("page_id", "url", "nodes", H.ld_objects(F.col("blocks")).alias("objects"))
+    rows = H.bind(rows, objects=F.col("objects"))
     parsed = F.transform("objects", lambda o: F.try_parse_json(o))
     products = F.filter(parsed, lambda v: _typed(v, "(?i)^product$"))
     rows = rows.select(
@@ -530,7 +534,7 @@ def short_videos(pages: DataFrame) -> DataFrame:
     blocks = F.transform(
         states, lambda s: F.array_join(F.transform(H.inside(nodes, s), lambda m: F.coalesce(m["text"], F.lit(""))), "")
     )
-    parsed = with_nodes(pages).select("page_id", "nodes", blocks.alias("blocks")).select(
+    parsed = H.bind(with_nodes(pages).select("page_id", "nodes"), blocks=blocks).select(
         "page_id", "nodes", H.state_objects(F.col("blocks")).alias("objects")
     )
     v = F.col("v")
@@ -618,10 +622,12 @@ def detect_products(pages: DataFrame) -> DataFrame:
     and last the page's own heading. The first value found wins per field.
     """
     nodes = F.col("nodes")
-    rows = with_nodes(pages).select(
-        "page_id", "url", "html", "nodes", H.script_blocks(nodes, r"^application/ld\+json$").alias("blocks")
+    rows = H.bind(
+        with_nodes(pages).select("page_id", "url", "nodes"),
+        blocks=H.script_blocks(nodes, r"^application/ld\+json$"),
     )
     rows = rows.select("page_id", "url", "nodes", H.identity_objects(F.col("blocks")).alias("objects"))
+    rows = H.bind(rows, objects=F.col("objects"))
     parsed = F.transform("objects", lambda o: F.try_parse_json(o))
     product = F.get(F.filter(parsed, lambda v: _typed(v, "(?i)product")), F.lit(0))
     scope = F.get(
@@ -666,7 +672,7 @@ def detect_products(pages: DataFrame) -> DataFrame:
         n = F.get(F.filter("sub", lambda m: F.coalesce(H.attr(m, "itemprop") == name, F.lit(False))), F.lit(0))
         return H.first_value(F.array(H.attr(n, "content"), H.attr(n, "href"), H.text_of(F.col("sub"), n)))
 
-    rows = rows.withColumn("sub", sub)
+    rows = H.bind(rows, sub=sub)
     ld = F.col("ld")
     ld_id = F.coalesce(*[_scalar(ld, f"$.{k}") for k in ("sku", "mpn", "productID", "gtin13", "gtin")])
     rows = rows.select(

@@ -13,7 +13,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,6 +135,17 @@ state_objects = json_objects(None, 10)
 # ---------------------------------------------------------------- expressions over node arrays
 
 
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that Spark computes once per row.
+
+    Without this the optimizer may inline a costly array expression into every lambda that
+    reads it. A generator over one element is a boundary it does not inline across.
+    """
+    one = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.explode_outer(one).alias("_once")).select(*kept, "_once.*")
+
+
 def inside(nodes: Column, n: Column) -> Column:
     """The nodes below ``n``."""
     return F.filter(nodes, lambda m: (m["i"] > n["i"]) & (m["i"] <= n["last"]))
