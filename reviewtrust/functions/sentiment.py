@@ -27,8 +27,12 @@ def _phrase_words(phrases: list[str]) -> Column:
     return F.create_map(*[F.lit(x) for p, n in sizes.items() for x in (p, n)])
 
 
-def with_sentiment(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add word_count, polarity, intensity, generic_*, specific_markers and specificity."""
+def with_sentiment(df: DataFrame, text: str = "text", praise_only: bool = False) -> DataFrame:
+    """Add word_count, polarity, intensity, generic_*, specific_markers and specificity.
+
+    With ``praise_only`` the phrase and pattern searches run only on one-sidedly positive
+    texts, and the other rows keep zeros there. :func:`contentless` is the same either way.
+    """
     df = df.withColumn("_norm", normalize(F.col(text)))
     df = df.withColumn("_words", tokens(F.col("_norm")))
     words, n = F.col("_words"), F.col("word_count")
@@ -38,13 +42,33 @@ def with_sentiment(df: DataFrame, text: str = "text") -> DataFrame:
             "_pos": F.size(F.filter(words, lambda w: w.isin(lexicon.POSITIVE))),
             "_neg": F.size(F.filter(words, lambda w: w.isin(lexicon.NEGATIVE))),
             "_int": F.size(F.filter(words, lambda w: w.isin(lexicon.INTENSIFIERS))),
-            "generic_phrases": phrases_in(F.col("_norm"), lexicon.GENERIC_PRAISE),
-            "specific_markers": phrases_in(F.col("_norm"), lexicon.SPECIFIC_MARKERS),
-            "_units": F.regexp_count(F.col("_norm"), F.lit("(?iU)" + lexicon.UNIT_PATTERN)),
-            "_numbers": F.regexp_count(F.col("_norm"), F.lit("(?U)" + lexicon.NUMBER_PATTERN)),
-            "_prices": F.regexp_count(
-                F.coalesce(F.col(text), F.lit("")), F.lit("(?iU)" + lexicon.PRICE_PATTERN)
-            ),
+        }
+    )
+    hits = F.col("_pos") + F.col("_neg")
+    df = df.withColumns(
+        {
+            "polarity": F.when(hits > 0, (F.col("_pos") - F.col("_neg")) / hits).otherwise(F.lit(0.0)),
+            "intensity": F.when(n > 0, F.col("_int") / n).otherwise(F.lit(0.0)),
+        }
+    )
+    searched = (F.col("polarity") >= 0.8) if praise_only else F.lit(True)
+
+    def count(column: str, pattern: str) -> Column:
+        found = F.regexp_count(F.coalesce(F.col(column), F.lit("")), F.lit(pattern))
+        return F.when(searched, found).otherwise(F.lit(0))
+
+    nothing = F.array().cast("array<string>")
+    df = df.withColumns(
+        {
+            "generic_phrases": F.when(
+                searched, phrases_in(F.col("_norm"), lexicon.GENERIC_PRAISE)
+            ).otherwise(nothing),
+            "specific_markers": F.when(
+                searched, phrases_in(F.col("_norm"), lexicon.SPECIFIC_MARKERS)
+            ).otherwise(nothing),
+            "_units": count("_norm", "(?iU)" + lexicon.UNIT_PATTERN),
+            "_numbers": count("_norm", "(?U)" + lexicon.NUMBER_PATTERN),
+            "_prices": count(text, "(?iU)" + lexicon.PRICE_PATTERN),
         }
     )
     word_totals = _phrase_words(lexicon.GENERIC_PRAISE)
@@ -57,19 +81,13 @@ def with_sentiment(df: DataFrame, text: str = "text") -> DataFrame:
         + F.col("_prices") * 2
         + F.least(F.col("_numbers"), F.lit(4))
     )
-    hits = F.col("_pos") + F.col("_neg")
-    empty = n == 0
     df = df.withColumns(
         {
-            "polarity": F.when(
-                ~empty & (hits > 0), (F.col("_pos") - F.col("_neg")) / hits
-            ).otherwise(F.lit(0.0)),
-            "intensity": F.when(~empty, F.col("_int") / n).otherwise(F.lit(0.0)),
             "generic_ratio": F.when(
-                ~empty, F.least(F.lit(1.0), generic_words / n)
+                n > 0, F.least(F.lit(1.0), generic_words / n)
             ).otherwise(F.lit(0.0)),
             "specificity": F.when(
-                ~empty, F.least(F.lit(1.0), evidence / F.lit(10.0))
+                n > 0, F.least(F.lit(1.0), evidence / F.lit(10.0))
             ).otherwise(F.lit(0.0)),
         }
     )

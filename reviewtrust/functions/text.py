@@ -17,14 +17,17 @@ def squeeze(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """Lower case; keep letters, digits, white space and ``' % $ £ € / - _``."""
+    """Lower case; keep letters, digits and ``' % $ £ € / - _``, everything else one space.
+
+    White space is no kept character, so one pass both replaces and collapses.
+    """
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    return squeeze(F.regexp_replace(lowered, r"[^\p{L}\p{N}_\s'%$£€/-]", " "))
+    return F.trim(F.regexp_replace(lowered, r"[^\p{L}\p{N}_'%$£€/-]+", " "))
 
 
 def tokens(text: Column, drop_stop_words: bool = False) -> Column:
     found = F.regexp_extract_all(
-        F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9']+)"), F.lit(1)
+        F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9']+"), F.lit(0)
     )
     if drop_stop_words:
         return F.filter(found, lambda t: ~t.isin(STOP_WORDS))

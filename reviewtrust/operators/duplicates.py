@@ -74,13 +74,14 @@ def candidate_pairs(
     held = sized.select(*KEY, "n2", "n3", "nc", F.explode_outer("pairs").alias("shingle")).where(
         F.col("shingle").isNotNull()
     )
-    in_order = Window.partitionBy("product_id", "shingle").orderBy("review_id")
+    # The hash comes first in the key: its prefix alone decides nearly every comparison.
+    in_order = Window.partitionBy("shingle", "product_id").orderBy("review_id")
     # The row_number limit is applied per map task as well as per key, so a word pair
     # found in a third of all rows sends only a few rows through the shuffle.
     holders = (
         held.withColumn("rn", F.row_number().over(in_order))
         .where(F.col("rn") <= cap + 1)
-        .groupBy("product_id", "shingle")
+        .groupBy("shingle", "product_id")
         .agg(F.sort_array(F.collect_list(F.struct("review_id", "n2", "n3", "nc"))).alias("h"))
         .where(F.size("h").between(2, cap))
     )

@@ -200,11 +200,12 @@ def json_ld_reviews(pages: DataFrame, as_of: datetime.date) -> DataFrame:
         title=_is(v, "$.name"),
         link=_filled(v, "$.url"),
     ).drop("v")
+    rows = H.bind(rows, text=P.strip_boilerplate(F.col("body")))
     link = F.col("link")
     out = rows.select(
         "page_id",
         "pos",
-        P.strip_boilerplate(F.col("body")).alias("text"),
+        "text",
         P.normalize_rating(F.col("raw_rating"), F.col("best")).alias("rating"),
         P.parse_date(F.col("date_raw"), as_of).alias("review_date"),
         "date_raw",
@@ -322,18 +323,20 @@ def dom_reviews(pages: DataFrame, as_of: datetime.date) -> DataFrame:
     body = F.coalesce(
         H.first_value(F.transform(body_nodes, lambda n: H.text_of(clean, n))), H.text_of(clean, c)
     )
-    rows = rows.select(
+    rows = H.bind(rows, body=body)
+    rows = H.bind(rows, text=P.strip_boilerplate(F.col("body")))
+    rows = rows.where(F.length("text") >= 20).select(
         "page_id",
         "selector_no",
         "pos",
-        P.strip_boilerplate(body).alias("text"),
+        "text",
         rating_in(clean).alias("rating"),
         H.pick_text(clean, H.selector_list(DATES)).alias("date_raw"),
         H.pick_text(clean, H.selector_list(AUTHORS)).alias("author"),
         H.first_value(F.transform("title_nodes", lambda n: H.text_of(clean, n))).alias("title"),
         P.verified_badge(F.col("blob")).alias("verified_purchase"),
         P.helpful_votes(F.col("blob")).alias("helpful_votes"),
-    ).where(F.length("text") >= 20)
+    )
     # A page holds at most 13 x 400 container rows, so its group is small by construction.
     of_page = Window.partitionBy("page_id")
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("page_id", "selector_no")))

@@ -75,7 +75,7 @@ def score_reviews(
     ``clusters`` is the output of :func:`duplicates.review_clusters`; ``keep`` names review
     columns to carry along.
     """
-    measured = with_sentiment(reviews)
+    measured = with_sentiment(reviews, praise_only=True)
     bare = contentless()
     measured = measured.select(
         *KEY,

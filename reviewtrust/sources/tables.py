@@ -20,8 +20,23 @@ BUYER_TEXTS = [
 BUYER_OFFSET = 1_000_000_000
 
 
+# Tables whose rows cost far more to process than to read.
+HEAVY_TABLES = ["documents", "pages", "part"]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input at least one partition per core.
+
+    Text work is bound by CPU, and a file with one row group is one task. An input that
+    already has more splits than the cluster has cores is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in HEAVY_TABLES else df
 
 
 def _day(offset: Column, start: str = "2024-01-01") -> Column:
