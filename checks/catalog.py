@@ -231,10 +231,11 @@ def video_report(spark, sf):
 
 @query(
     "interleaved_videos",
-    compose(["vtop"], "select product_id, video_key, source, cast(source_rank as bigint) as source_rank from vtop"),
+    compose(["vtop"], "select product_id, video_key, source, cast(source_rank as bigint) as source_rank from vtop where source_rank <= case when source = 'tiktok' then 3 else 6 end"),
 )
 def interleaved_videos(spark, sf):
-    return SA.interleave(_rounded(spark, sf).where("kept")).select("product_id", "video_key", "source", long("source_rank").alias("source_rank"))
+    top = VI.top_videos(_rounded(spark, sf)).drop("source_rank")
+    return SA.interleave(top).select("product_id", "video_key", "source", long("source_rank").alias("source_rank"))
 
 
 @query(

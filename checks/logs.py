@@ -583,3 +583,63 @@ def display_text(spark, sf):
         "p_partkey", DI.stars(size / 10.0).alias("stars"), DI.duration(size * 13).alias("duration"),
         DI.views(F.col("p_partkey") * size * 17).alias("views"), DI.score_colour(size).alias("colour"),
     )
+
+
+@query("stage_details")
+def stage_details(spark, sf):
+    key = F.col("p_partkey")
+    rows = T.read_table(spark, sf, "part").select(
+        key.alias("product_id"), (F.col("p_size") % 12).alias("reviews_total"), (F.col("p_size") % 5).alias("reviews_passed"),
+        F.when(key % 7 != 0, key % 4).alias("clusters"), (key % 3).alias("video_sources"), (key % 5).alias("videos"), (key % 6).alias("evidence_items"),
+        (key % 2).alias("concerns"), (key % 3).alias("conflicts"),
+    )
+    return E.stage_details(rows)
+
+
+SQL["stage_details"] = """with p as (select p_partkey as k, p_size % 12 as n, p_size % 5 as g, case when p_partkey % 7 <> 0 then p_partkey % 4 end as c, p_partkey % 3 as vs, p_partkey % 5 as v, p_partkey % 6 as e from part)
+select k as product_id, 'reviews_collected' as stage, 'complete' as status, case when n > 0 then cast(g as varchar) || ' of ' || cast(n as varchar) || ' review(s) passed filtering' else 'No reviews were found for this product' end as detail from p
+union all select k, 'sentiment_analyzed', case when n > 0 then 'complete' else 'skipped' end, case when n > 0 then 'Sentiment signals scored across ' || cast(n as varchar) || ' review(s)' else 'No reviews to analyze' end from p
+union all select k, 'pattern_analysis', case when n > 0 and c is not null then 'complete' else 'skipped' end, case when n = 0 then 'No reviews to analyze' when c is null then 'Pattern filtering is disabled' when c > 0 then cast(c as varchar) || ' duplicate-phrasing cluster(s) found' else 'No duplicate-phrasing or submission-timing clusters found' end from p
+union all select k, 'external_research', case when vs = 0 then 'skipped' when v > 0 then 'complete' else 'failed' end, case when vs = 0 then 'No product name was available to search video platforms.' when v > 0 then cast(v as varchar) || ' video(s) across ' || cast(vs as varchar) || ' platform(s)' else 'no review videos found on the platforms checked' end from p
+union all select k, 'evidence_synthesis', 'complete', case when e > 0 then cast(e as varchar) || ' evidence item(s) found (' || cast(k % 2 as varchar) || ' concern(s), ' || cast(k % 3 as varchar) || ' claim conflict(s))' else 'Limited evidence synthesized' end from p"""
+
+
+@query(
+    "log_lines",
+    compose([], """select '{"event_id":' || cast(event_id as varchar) || ',"user":"[redacted]","note":"' || event_type || ' [email] [digits]"}' as line from events"""),
+)
+def log_lines(spark, sf):
+    note = F.concat("event_type", F.lit(" a.b"), F.col("user_id").cast("string"), F.lit("@x.org 123456789"), F.col("user_id").cast("string"))
+    return E.log_rows(T.events(spark, sf).select("event_id", F.col("user_id").cast("string").alias("user"), note.alias("note")))
+
+
+@query(
+    "recommendation_labels",
+    compose(
+        [],
+        """select p_partkey, (['Buy with confidence', 'Buy with caution', 'Proceed with caution', 'Consider avoiding', 'Not enough data'])[cast(p_partkey % 5 as int) + 1] as label,
+(['buy', 'caution', 'caution', 'avoid', 'unknown'])[cast(p_partkey % 5 as int) + 1] as style from part""",
+    ),
+)
+def recommendation_labels(spark, sf):
+    kinds = F.array(*[F.lit(k) for k in DI.RECOMMENDATION_LABELS])
+    value = F.get(kinds, (F.col("p_partkey") % 5).cast("int"))
+    return T.read_table(spark, sf, "part").select("p_partkey", DI.recommendation_label(value).alias("label"), DI.recommendation_style(value).alias("style"))
+
+
+FRAGMENTS["absl"] = ([], "select page_id, url, (['p2', '/root', '//cdn.example/x', '?page=9', 'https://other.example/'])[cast(page_id % 5 as int) + 1] as href from pages")
+
+
+@query(
+    "absolute_links",
+    compose(
+        ["absl"],
+        """select page_id, case page_id % 5 when 0 then o || regexp_replace(case when pth = '' then '/' else pth end, '[^/]*$', '') || href when 1 then o || href when 2 then regexp_extract(url, '^([a-z]+:)', 1) || href
+when 3 then o || pth || href else href end as link from (select *, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) as o, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as pth from absl)""",
+    ),
+)
+def absolute_links(spark, sf):
+    from reviewtrust.functions import urls as U
+
+    href = F.get(F.array(*[F.lit(h) for h in ("p2", "/root", "//cdn.example/x", "?page=9", "https://other.example/")]), (F.col("page_id") % 5).cast("int"))
+    return T.read_table(spark, sf, "pages").select("page_id", U.absolute_link(F.col("url"), href).alias("link"))

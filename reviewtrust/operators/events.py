@@ -273,6 +273,79 @@ def stage_trail(log: DataFrame) -> DataFrame:
     )
 
 
+def stage_details(runs: DataFrame) -> DataFrame:
+    """What the counted stages of a run report, as (product_id, stage, status, detail).
+
+    ``runs``: product_id, reviews_total, reviews_passed, clusters (null when filtering is
+    off), video_sources, videos, evidence_items, concerns, conflicts.
+    """
+    some = F.col("reviews_total") > 0
+    nothing = F.lit("No reviews to analyze")
+    clusters = F.when(
+        F.col("clusters") > 0, join_text(F.col("clusters"), " duplicate-phrasing cluster(s) found")
+    ).otherwise("No duplicate-phrasing or submission-timing clusters found")
+    found = F.when(
+        F.col("videos") > 0,
+        join_text(F.col("videos"), " video(s) across ", F.col("video_sources"), " platform(s)"),
+    ).otherwise("no review videos found on the platforms checked")
+    asked = F.col("video_sources") > 0
+    evidence = F.when(
+        F.col("evidence_items") > 0,
+        join_text(
+            F.col("evidence_items"), " evidence item(s) found (", F.col("concerns"), " concern(s), ",
+            F.col("conflicts"), " claim conflict(s))",
+        ),
+    ).otherwise("Limited evidence synthesized")
+    rows = [
+        (
+            "reviews_collected",
+            F.lit("complete"),
+            F.when(
+                some,
+                join_text(F.col("reviews_passed"), " of ", F.col("reviews_total"), " review(s) passed filtering"),
+            ).otherwise("No reviews were found for this product"),
+        ),
+        (
+            "sentiment_analyzed",
+            F.when(some, "complete").otherwise("skipped"),
+            F.when(
+                some, join_text("Sentiment signals scored across ", F.col("reviews_total"), " review(s)")
+            ).otherwise(nothing),
+        ),
+        (
+            "pattern_analysis",
+            F.when(some & F.col("clusters").isNotNull(), "complete").otherwise("skipped"),
+            F.when(~some, nothing)
+            .when(F.col("clusters").isNull(), "Pattern filtering is disabled")
+            .otherwise(clusters),
+        ),
+        (
+            "external_research",
+            F.when(~asked, "skipped").when(F.col("videos") > 0, "complete").otherwise("failed"),
+            F.when(~asked, "No product name was available to search video platforms.").otherwise(found),
+        ),
+        ("evidence_synthesis", F.lit("complete"), evidence),
+    ]
+    entries = F.array(
+        *[F.struct(F.lit(k).alias("stage"), s.alias("status"), d.alias("detail")) for k, s, d in rows]
+    )
+    return runs.select("product_id", F.explode(entries).alias("e")).select("product_id", "e.*")
+
+
+def log_rows(records: DataFrame) -> DataFrame:
+    """Log records as one compact JSON text each, personal data scrubbed.
+
+    Every string column is scrubbed by its name; other columns are kept as they are.
+    """
+    from reviewtrust.functions.redact import scrub_field
+
+    fields = [
+        (scrub_field(name, F.col(name)) if kind == "string" else F.col(name)).alias(name)
+        for name, kind in records.dtypes
+    ]
+    return records.select(F.to_json(F.struct(*fields)).alias("line"))
+
+
 def replay_stages(results: DataFrame) -> DataFrame:
     """A stored result as the stage events a live run would have sent.
 

@@ -78,18 +78,17 @@ def evidence_pick(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFram
     return numbered(sided, ["product_id"], ["side_rank", "critical"], k, "position").drop("side_rank")
 
 
-def interleave(videos: DataFrame, limit_per_source: int | None = None) -> DataFrame:
+def interleave(
+    videos: DataFrame, limit_per_source: int | None = None, settings: Settings = DEFAULTS
+) -> DataFrame:
     """Alternate the sources of each product, each in order of relevance.
 
-    Sources take turns in name order. Adds ``source_rank`` and the product-wide ordering
-    key (source_rank, source); no global numbering is needed to read the rows in order.
+    A source's list is cut to ``limit_per_source`` (the number of videos a source may
+    return). Sources take turns in name order: read the rows by (source_rank, source).
     """
+    limit = settings.video_limit if limit_per_source is None else limit_per_source
     order = [F.desc(F.coalesce("relevance", F.lit(0.0))), F.desc(F.coalesce("views", F.lit(0))), "video_key"]
-    window = Window.partitionBy("product_id", "source").orderBy(*order)
-    ranked = videos.withColumn("source_rank", F.row_number().over(window))
-    if limit_per_source is not None:
-        ranked = ranked.where(F.col("source_rank") <= limit_per_source)
-    return ranked
+    return numbered(videos, ["product_id", "source"], order, limit, "source_rank")
 
 
 def fallback_videos(

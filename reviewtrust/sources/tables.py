@@ -166,3 +166,15 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
         F.col("user_id").cast("string").alias("client"),
         F.concat_ws(":", "event_type", (F.col("user_id") % 10).cast("string")).alias("cache_key"),
     )
+
+
+# ---------------------------------------------------------------- stored inputs and outputs
+
+
+def read_rows(spark: SparkSession, path: str, schema: str, file_format: str = "parquet") -> DataFrame:
+    """Stored rows of a known schema (see ``schemas``), Parquet or JSON lines."""
+    return spark.read.schema(schema).format(file_format).load(path)
+
+
+def write_rows(df: DataFrame, path: str, file_format: str = "parquet", mode: str = "append") -> None:
+    df.write.mode(mode).format(file_format).save(path)
