@@ -186,6 +186,21 @@ def page_structure(spark, sf):
     )
 
 
-@query("page_identity")
+from checks.catalog import HOST, PATH, QRY  # noqa: E402
+
+_KEPT = f"list_filter(string_split({QRY}, '&'), lambda p: p <> '' and not regexp_matches(p, '(?i)^(utm_|gclid|fbclid|ref_?|_encoding|psc|th|tag|linkCode)'))"
+
+
+@query(
+    "page_identity",
+    compose(
+        [],
+        f"""select page_id, cast(null as varchar) as product_id, title, canonical_url, lower(h) as site, cast(null as varchar) as id_from,
+case when title is null then 'none' else 'low' end as confidence, title is not null as detected from (
+select page_id, {HOST} as h, case when h1 <> '' and not regexp_matches(h1, {quote(PG.NOT_A_PRODUCT_PATTERN)}) then h1 end as title,
+  regexp_extract(url, '^([a-z]+):', 1) || '://' || {HOST} || {PATH} || case when len({_KEPT}) > 0 then '?' || array_to_string({_KEPT}, '&') else '' end as canonical_url
+from (select *, trim(regexp_replace(replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '&amp;', '&'), '[\\s\\p{{Z}}]+', ' ', 'g')) as h1 from pages))""",
+    ),
+)
 def page_identity(spark, sf):
     return PG.detect_products(T.read_table(spark, sf, "pages"))

