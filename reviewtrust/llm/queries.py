@@ -8,8 +8,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewtrust.llm import byte_bpe, line_dedup, mixing, rules, simhash
-from reviewtrust.llm.common import read, text_of
+from reviewtrust.llm import (
+    byte_bpe,
+    fingerprints,
+    line_dedup,
+    mixing,
+    quality,
+    repair,
+    rules,
+    secrets,
+    simhash,
+    token_counts,
+)
+from reviewtrust.llm.common import read, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,6 +40,35 @@ def _sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def _content(name: str) -> str:
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+def _held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+@query("op1_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels")
+    known = labels.where(~_held_out(labels["doc_id"])).select("doc_id", F.col("quality").cast("double").alias("label"))
+    return quality.quality_scores(read(spark, sf_dir), known).select(
+        "doc_id",
+        _held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache is new for each run, so that the query's work is that of a first run."""
+    folder = f"{workspace(spark, 'token-count-cache').root}/counts"
+    counts = token_counts.token_counts(read(spark, sf_dir), _content("byte_bpe_50k.json"), folder)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 @query("op3_quality_rules")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_verdicts(read(spark, sf_dir)).select(
@@ -36,6 +76,51 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir)).select(
+        "doc_id",
+        F.col("n").cast("bigint").alias("n_chars"),
+        _sha256(F.col("edited")).alias("edited_sha256"),
+        F.col("fp").alias("fingerprint"),
+        F.col("edited_fp").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+@query("op5_secrets")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def joined(spans: Column) -> Column:
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+        )
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    def ordered(spans: Column) -> Column:
+        rank = F.array(*(F.lit(k) for k in secrets.KINDS))
+        keyed = F.transform(
+            spans,
+            lambda s: F.struct(
+                s["start"].alias("start"),
+                # Added kinds come after the base ones.
+                F.when(F.array_contains(rank, s["kind"]), F.array_position(rank, s["kind"])).otherwise(99).alias("rank"),
+                s["end"].alias("end"),
+                s["kind"].alias("kind"),
+            ),
+        )
+        return F.sort_array(keyed)
+
+    return secrets.secret_spans(read(spark, sf_dir)).select(
+        "doc_id",
+        *(number(k) for k in secrets.KINDS),
+        _sha256(joined(F.col("base"))).alias("base_sha256"),
+        joined(ordered(F.concat("base", "added"))).alias("spans"),
+    )
+
+
 @query(
     "op6_line_dedup",
     r"""with doc as (select doc_id, coalesce(text, '') as text from documents),
@@ -71,6 +156,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op9_repair_files")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = workspace(spark, "repair-files")
+    blocks = files.write(repair.encode_blocks(read(spark, sf_dir), _content("word_bpe_49k.json"), vocabulary=49408))
+    return repair.decode_blocks(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op10_byte_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = byte_bpe.sentencepiece_model(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))

@@ -98,3 +98,39 @@ def tiktoken_encoding():
     with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def edited(rows):
+    """(doc_id, text) to (doc_id, n_chars, edited text), in order of doc_id."""
+    rows = sorted((d, t or "") for d, t in rows)
+    out = []
+    for k, (d, text) in enumerate(rows):
+        q = len(text) // 4
+        out.append((d, len(text), text[: len(text) - q] + rows[(k + 1) % len(rows)][1][:q]))
+    return out
+
+
+def weighted_jaccard(a, b, shingle=5):
+    def terms(text):
+        words = WORD.findall(text)
+        return Counter(tuple(words[i : i + shingle]) for i in range(max(len(words) - shingle + 1, 1))) if words else Counter()
+
+    x, y = terms(a), terms(b)
+    top = sum((x | y).values())
+    return sum((x & y).values()) / top if top else 1.0
+
+
+SECRETS = (
+    ("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18),
+    ("hex", r"[0-9a-f]+", 0, 16),
+)
+
+
+def secret_spans(text):
+    found = []
+    for rank, (kind, pattern, group, least) in enumerate(SECRETS):
+        for m in re.finditer(pattern, text or "", re.ASCII):
+            if len(m[group]) >= least:
+                found.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
+    return [s for *_, s in sorted(found)]
