@@ -126,8 +126,10 @@ def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         docs["source"].cast("string").alias("source"),
         F.size(F.regexp_extract_all(text_of(docs), F.lit(WORD), F.lit(0))).cast("bigint").alias("size"),
     )
+    # Range partitioning samples its input first, which would count all words twice.
+    counted = space.write(sized)
     ranged = space.write(
-        sized.repartitionByRange(F.col("source").asc_nulls_last(), "doc_id", "ka", "kb").withColumn("part", F.spark_partition_id())
+        counted.repartitionByRange(F.col("source").asc_nulls_last(), "doc_id", "ka", "kb").withColumn("part", F.spark_partition_id())
     )
     sources = space.write(quotas(source_targets(ranged)))
     parts = ranged.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
