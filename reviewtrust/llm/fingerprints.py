@@ -26,7 +26,8 @@ SHINGLE = 5
 CELLS = 128
 #: Bits of a packed sample: 7 of the cell, 40 of ln a (from -64 to 64), 16 of the term and level.
 _LOW, _HIGH = 16, 56
-EMPTY = "...."
+#: A cell without a term; samples are 1 to 65535.
+EMPTY = "0000"
 
 
 def _terms(words: Column) -> Column:
@@ -60,7 +61,8 @@ def _sample(term: Column, weight: Column | None) -> Column:
         return (
             F.shiftleft(F.shiftrightunsigned(g, 40).bitwiseAND(F.lit(CELLS - 1)), _HIGH)
             + F.shiftleft(ordered, _LOW)
-            + value.bitwiseAND(F.lit(2**16 - 1))
+            + F.pmod(value, F.lit(2**16 - 1))
+            + 1
         )
 
     return let(F.xxhash64(term), packed)
@@ -86,13 +88,13 @@ def _samples(terms: Column) -> Column:
 
 
 def _signature(samples: Column) -> Column:
-    """Sorted packed samples to the text form: 4 hexadecimal digits for each cell, dots where it has no term."""
+    """Packed samples to the text form: 4 hexadecimal digits for each cell, zeros where it has no term."""
 
     def cells(s: Column) -> Column:
         least = F.filter(
             s, lambda x, i: (i == 0) | (F.shiftright(x, _HIGH) != F.shiftright(F.get(s, F.greatest(i - 1, F.lit(0))), _HIGH))
         )
-        # Dots for the cells between one filled cell and the next, and after the last.
+        # Zeros for the cells between one filled cell and the next, and after the last.
         return let(
             least,
             lambda at: F.concat(
@@ -126,27 +128,27 @@ def _signature(samples: Column) -> Column:
 def signature(text: Column) -> Column:
     """The fingerprint of a text that is not null."""
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    return let(words, lambda w: let(_terms(w), lambda t: _signature(let(_samples(t), lambda s: s))))
+    return let(words, lambda w: let(_terms(w), lambda t: _signature(_samples(t))))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Equal cells among those that at least one of two signatures fills; 1 if both are empty."""
+def _cells(signature: Column) -> Column:
+    """The cells of a signature in text form."""
+    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.substr(signature, i * 4 + 1, F.lit(4)))
+
 
-    def cut(s: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.substr(s, i * 4 + 1, F.lit(4)))
+def likeness(a: Column, b: Column) -> Column:
+    """Equal cells among those that at least one of two arrays of cells fills; 1 if both are empty."""
+    states = F.zip_with(a, b, lambda x, y: F.when((x == EMPTY) & (y == EMPTY), 0).when(x == y, 2).otherwise(1))
 
-    def compared(pairs: Column) -> Column:
-        filled = F.filter(pairs, lambda p: (p["a"] != EMPTY) | (p["b"] != EMPTY))
-        same = F.filter(pairs, lambda p: (p["a"] == p["b"]) & (p["a"] != EMPTY))
-        return F.when(F.size(filled) == 0, F.lit(1.0)).otherwise(F.size(same) / F.size(filled))
+    def share(s: Column) -> Column:
+        filled = F.size(F.filter(s, lambda x: x > 0))
+        return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.filter(s, lambda x: x == 2)) / filled)
 
-    zipped = F.zip_with(cut(a), cut(b), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
-    return F.when(a == b, F.lit(1.0)).otherwise(let(zipped, compared))
+    return let(states, share)
 
 
-def _next_ids(rows: DataFrame) -> DataFrame:
-    """(doc, tag, next_doc, next_tag) of the distinct rows(part, doc, tag), parts being ranges in their order."""
-    ids = rows.select("part", "doc", "tag").distinct()
+def _next_ids(ids: DataFrame) -> DataFrame:
+    """(doc, tag, next_doc, next_tag) of the distinct ids(part, doc, tag), parts being ranges in their order."""
     following = F.lead(F.struct("doc", "tag")).over(Window.partitionBy("part").orderBy("doc", "tag"))
     # One row a part: the first of the next part follows the last of this one, the very first the very last.
     firsts = ids.groupBy("part").agg(F.min(F.struct("doc", "tag")).alias("first"))
@@ -160,55 +162,83 @@ def _next_ids(rows: DataFrame) -> DataFrame:
     )
     joined = ids.withColumn("next", following).join(ahead, F.col("part") == F.col("_part"))
     following = F.coalesce("next", "after")
-    return joined.select("doc", "tag", following["doc"].alias("next_doc"), following["tag"].alias("next_tag"))
+    return joined.select("doc", "tag", "n", following["doc"].alias("next_doc"), following["tag"].alias("next_tag"))
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """Every row with its fingerprint, its edited text and the fingerprint of the next document.
+    """Every row's doc_id, n, ``fp`` and ``next_fp`` (bytes of signatures) and ``edited``, its edited text.
 
     The edited text ends, instead of in its last quarter, in as many characters of the next document in order of doc_id (a
     null id first, rows of one id by a hash of the text); after the last comes the first. Rows equal in id and text
     are one document here and each get its result.
+
+    Signatures are made before anything is shuffled. Texts are shuffled once, by (doc, tag): the exchange serves both
+    the documents and the beginnings that they give to the document before.
     """
     space = workspace(docs.sparkSession, "fingerprints")
     text = text_of(docs)
     keyed = docs.select(
-        docs["doc_id"].cast("bigint").alias("doc_id"),
-        F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)).alias("doc"),
-        F.xxhash64(text).alias("tag"),
-        text.alias("text"),
+        F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text")
     )
-    signed = keyed.select("doc", "tag", F.char_length("text").alias("n"), signature(F.col("text")).alias("fp"))
-    rows = space.write(
-        signed.repartitionByRange("doc", "tag").withColumn("part", F.spark_partition_id())
+    signed = space.write(
+        keyed.select("doc", "tag", F.char_length("text").alias("n"), F.unhex(signature(F.col("text"))).alias("fp"))
+    )
+    ids = space.write(
+        signed.select("doc", "tag", "n").distinct().repartitionByRange("doc", "tag").withColumn("part", F.spark_partition_id())
     )
-    order = space.write(_next_ids(rows))
-    once = rows.groupBy("doc", "tag").agg(F.first("n").alias("n"), F.first("fp").alias("fp"))
     # For every document: whose next it is, and how much of it that one needs.
-    before = order.select(F.col("doc").alias("prev_doc"), F.col("tag").alias("prev_tag"), F.col("next_doc").alias("doc"), F.col("next_tag").alias("tag"))
-    needs = once.select(F.col("doc").alias("prev_doc"), F.col("tag").alias("prev_tag"), F.floor(F.col("n") / 4).cast("int").alias("need"))
-    wanted = space.write(before.join(needs, ["prev_doc", "prev_tag"]).join(once, ["doc", "tag"]))
-    held = keyed.join(wanted, ["doc", "tag"])
-    given = held.select(
-        F.col("prev_doc").alias("doc"),
-        F.col("prev_tag").alias("tag"),
-        F.substr("text", F.lit(1), F.col("need")).alias("ending"),
-        F.col("fp").alias("next_fp"),
-    ).dropDuplicates(["doc", "tag"])
-    keep = F.col("n") - F.floor(F.col("n") / 4).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), keep), F.col("ending"))
-    return held.join(given, ["doc", "tag"]).select("doc_id", "n", "fp", "next_fp", edited.alias("edited"))
+    wanted = space.write(
+        _next_ids(ids).select(
+            F.col("next_doc").alias("doc"),
+            F.col("next_tag").alias("tag"),
+            F.col("doc").alias("prev_doc"),
+            F.col("tag").alias("prev_tag"),
+            F.floor(F.col("n") / 4).cast("int").alias("need"),
+        )
+    )
+    prints = signed.groupBy("doc", "tag").agg(F.first("fp").alias("fp"))
+    given = (
+        keyed.join(wanted, ["doc", "tag"])
+        .join(prints, ["doc", "tag"])
+        .select(
+            F.col("prev_doc").alias("doc"),
+            F.col("prev_tag").alias("tag"),
+            F.substr("text", F.lit(1), F.col("need")).alias("ending"),
+            F.col("fp").alias("next_fp"),
+        )
+        .dropDuplicates(["doc", "tag"])
+    )
+    n = F.char_length("text")
+    edited = F.concat(F.substr("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("ending"))
+    return (
+        keyed.join(prints, ["doc", "tag"])
+        .join(given, ["doc", "tag"])
+        .select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), n.alias("n"), "fp", "next_fp", edited.alias("edited"))
+    )
+
+
+def _text(fp: Column) -> Column:
+    return F.lower(F.hex(fp))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n, edited, fp, edited_fp, near_edited and near_next of every row."""
-    done = edited_pairs(docs).withColumn("edited_fp", signature(F.col("edited")))
-    return done.select(
+    signed = edited_pairs(docs).select(
+        "doc_id",
+        "n",
+        "edited",
+        _text(F.col("fp")).alias("fp"),
+        _text(F.col("next_fp")).alias("next_fp"),
+        signature(F.col("edited")).alias("edited_fp"),
+    )
+    # Cells are cut first, in a column each: both comparisons share those of fp.
+    cut = signed.select("*", *(_cells(F.col(c)).alias(f"{c}_cells") for c in ("fp", "next_fp", "edited_fp")))
+    return cut.select(
         "doc_id",
         "n",
         "edited",
         "fp",
         "edited_fp",
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        likeness(F.col("fp_cells"), F.col("edited_fp_cells")).alias("near_edited"),
+        likeness(F.col("fp_cells"), F.col("next_fp_cells")).alias("near_next"),
     )
