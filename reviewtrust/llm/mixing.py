@@ -30,7 +30,7 @@ SHARE = 1.5
 MOST_PASSES = 2
 BLOCK = 64
 SHARD_SLOTS = 4096
-CHUNK = 65536
+CHUNK = 8192
 ROUNDS = 16
 
 
@@ -100,7 +100,9 @@ def shard_plan(sources: DataFrame, seed: int = 0) -> DataFrame:
         "sid", "blocks", "slots", "base", "all_slots",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk"),
     )
-    dealt = chunks.repartition("sid", "chunk")
+    # A fixed number: by the size of the chunk table alone Spark would deal them to a few tasks.
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.repartition(tasks, "sid", "chunk")
     first = F.col("chunk") * CHUNK
     ks = dealt.select(
         "sid", "blocks", "base", "all_slots",
@@ -155,7 +157,8 @@ def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """Every row with size, source_size, target and ``taken``, the words of it that the mix holds."""
     rows, sources = placed(docs)
-    uses = shard_plan(sources, seed).groupBy("sid", "block").agg(F.count("*").alias("uses"))
+    # Spark's size estimates do not see that slots are generated from a few rows; without the hints it would broadcast.
+    uses = shard_plan(sources, seed).groupBy("sid", "block").agg(F.count("*").alias("uses")).hint("merge")
     last = F.col("first") + F.col("size")
     pieces = rows.where("size > 0").select(
         "sid", "first", "size", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((last - 1) / BLOCK))).alias("block")
@@ -166,6 +169,7 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
         .groupBy("sid", "first")
         .agg(F.sum(F.col("uses") * overlap).alias("words"))
         .select(F.col("sid").alias("_sid"), F.col("first").alias("_first"), "words")
+        .hint("merge")
     )
     joined = rows.join(
         taken, (F.col("sid") == F.col("_sid")) & (F.col("first") == F.col("_first")) & (F.col("size") > 0), "left"
