@@ -55,7 +55,7 @@ class ChunkEncoder:
         if len(self._by_piece) > self._limit:
             self._by_piece.clear()
         cut = {c: _pieces(whole(c)) for c in wanted}
-        fresh = list({p for pieces in cut.values() for p in pieces} - self._by_piece.keys())
+        fresh = [p for p in {p for pieces in cut.values() for p in pieces} if p not in self._by_piece]
         self._by_piece.update(zip(fresh, self._library(fresh), strict=True))
         self._by_chunk.update((c, b"".join([self._by_piece[p] for p in pieces])) for c, pieces in cut.items())
 
