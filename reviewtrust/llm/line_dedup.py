@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewtrust.llm.common import NO_ID, WHITE, text_of, workspace
 
@@ -109,10 +110,10 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 
 def drop_shared_lines(docs: DataFrame) -> DataFrame:
-    """docs with the kept text; ``n_chars``, where there is one, follows the text."""
+    """docs with the kept text; ``n_chars``, where it is a whole number, follows the text."""
     done = apply_bitmaps(docs, keep_bitmaps(docs))
     changed = {"text": F.col("_kept")}
-    if "n_chars" in docs.columns:
+    if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, T.IntegralType):
         changed["n_chars"] = (
             F.when(F.col("_n_dropped") > 0, F.char_length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
         )
