@@ -237,7 +237,7 @@ FRAGMENTS["topclu"] = (
   from (select distinct product_id, cluster_id, cluster_size from clu)) where rank <= 8""",
 )
 FRAGMENTS["risk"] = (
-    ["scored", "topclu", "dayrep"],
+    ["scored", "clu", "dayrep"],
     """select *, case when total >= 5 then cast(round_even(greatest(0.0, least(1.0,
     fail_share * 0.55 + duplicate_share * 0.30 + burst_share * 0.15)) * 100, 0) as bigint) end as risk_score
 from (select t.product_id, t.total, t.failed, t.failed / t.total as fail_share,
@@ -245,7 +245,7 @@ from (select t.product_id, t.total, t.failed, t.failed / t.total as fail_share,
     least(1.0, coalesce(b.n, 0) / t.total) as burst_share,
     coalesce(c.n_clusters, 0) as n_clusters, coalesce(c.largest, 0) as largest
   from (select product_id, count(*) as total, count(*) filter (not passed) as failed from scored group by 1) t
-  left join (select product_id, count(*) as n_clusters, sum(cluster_size) as clustered, max(cluster_size) as largest from topclu group by 1) c using (product_id)
+  left join (select product_id, count(*) as n_clusters, sum(cluster_size) as clustered, max(cluster_size) as largest from (select distinct product_id, cluster_id, cluster_size from clu) group by 1) c using (product_id)
   left join (select product_id, sum(day_count) as n from dayrep where in_burst group by 1) b using (product_id))""",
 )
 FRAGMENTS["srcstat"] = (

@@ -21,7 +21,7 @@ from reviewtrust.sources import tables as T
 
 FRAGMENTS["fprint"] = (
     ["rv"],
-    f"select *, lower(trim(author)) || '|' || left({squeeze('lower(t)')}, 300) as k from (select *, {squeeze('text')} as t from rv) where length(t) >= 8",
+    f"select *, lower(trim(author)) || '|' || {squeeze('lower(t)')} as k from (select *, {squeeze('text')} as t from rv) where length(t) >= 8",
 )
 
 
@@ -68,7 +68,7 @@ def union_of_sources(spark, sf):
 
 FRAGMENTS["pg"] = (
     ["rv"],
-    f"""select product_id % 3 as listing_id, review_id % 20 as page_no, lower(trim(author)) || '|' || left({squeeze('lower(t)')}, 300) as k
+    f"""select product_id % 3 as listing_id, review_id % 20 as page_no, lower(trim(author)) || '|' || {squeeze('lower(t)')} as k
 from (select *, {squeeze('text')} as t from rv) where length(t) >= 8""",
 )
 FRAGMENTS["pgnew"] = (

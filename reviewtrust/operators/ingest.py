@@ -20,9 +20,9 @@ def clean(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 
 def fingerprint() -> Column:
-    """Author and the opening of the normalized body."""
+    """Author and the whole normalized body."""
     author = F.lower(F.trim(F.coalesce("author", F.lit(""))))
-    return F.concat(author, F.lit("|"), F.left(squeeze(F.lower("text")), F.lit(300)))
+    return F.concat(author, F.lit("|"), squeeze(F.lower("text")))
 
 
 def first_seen(reviews: DataFrame, order: str = "review_id") -> DataFrame:

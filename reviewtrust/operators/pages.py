@@ -417,10 +417,22 @@ def product_facts(pages: DataFrame) -> DataFrame:
     def first_of(fields) -> Column:
         return H.first_value(F.transform("products", lambda v: F.coalesce(*[_filled(v, f) for f in fields])))
 
-    offer_price = F.coalesce(*[_scalar(p, f"$.offers{i}.price").try_cast("double") for i in ("", "[0]", "[1]", "[2]")])
-    offer_currency = F.coalesce(*[_filled(p, f"$.offers{i}.priceCurrency") for i in ("", "[0]", "[1]", "[2]")])
-    price = F.coalesce("meta_price", offer_price)
-    currency = F.when(F.col("meta_price").isNotNull(), F.col("meta_currency")).otherwise(offer_currency)
+    # Price and currency come from one offer: the first that has a price.
+    offers = F.coalesce(
+        F.try_variant_get(p, "$.offers", "array<variant>"), F.array(F.try_variant_get(p, "$.offers", "variant"))
+    )
+    priced = F.filter(
+        F.transform(
+            offers,
+            lambda o: F.struct(
+                _scalar(o, "$.price").try_cast("double").alias("price"), _filled(o, "$.priceCurrency").alias("currency")
+            ),
+        ),
+        lambda o: o["price"].isNotNull(),
+    )
+    offer = F.get(priced, F.lit(0))
+    price = F.coalesce("meta_price", offer["price"])
+    currency = F.when(F.col("meta_price").isNotNull(), F.col("meta_currency")).otherwise(offer["currency"])
     properties = F.coalesce(
         F.try_variant_get(p, "$.additionalProperty", "array<struct<name:string,value:string>>"),
         F.array().cast("array<struct<name:string,value:string>>"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from reviewtrust.config import DEFAULTS, Settings
 from reviewtrust.functions.numbers import clamp, join_text, percent, whole
-from reviewtrust.operators.duplicates import top_clusters
 
 # Fixed value: shown with every risk read.
 DISCLAIMER = (
@@ -34,11 +33,12 @@ def review_risk(
 ) -> DataFrame:
     """Risk per product.
 
-    ``totals`` has (product_id, total, failed); only the largest clusters count, and the
+    ``totals`` has (product_id, total, failed); every cluster counts, and the
     denominator is every review, dated or not.
     """
     biggest = (
-        top_clusters(clusters, settings)
+        clusters.select("product_id", "cluster_id", "cluster_size")
+        .distinct()
         .groupBy("product_id")
         .agg(
             F.count("*").alias("n_clusters"),

@@ -51,8 +51,10 @@ def review_summary(stats: DataFrame) -> DataFrame:
     rows = stats.withColumn("mean_rating", F.when(published & (mean != 0), mean))
     entry = F.when(F.col("mean_rating").isNotNull(), F.struct("source", "mean_rating"))
     # Among equal means the alphabetically first source is named.
-    high = F.min_by("source", F.struct(-F.col("mean_rating"), F.col("source")))
-    low = F.min_by("source", F.struct(F.col("mean_rating"), F.col("source")))
+    # A source without a mean has no place in the order: min_by passes over null keys.
+    rated = F.col("mean_rating").isNotNull()
+    high = F.min_by("source", F.when(rated, F.struct(-F.col("mean_rating"), F.col("source"))))
+    low = F.min_by("source", F.when(rated, F.struct(F.col("mean_rating"), F.col("source"))))
     return rows.groupBy("product_id").agg(
         F.sum("n").alias("review_count"),
         F.count("source").alias("source_count"),

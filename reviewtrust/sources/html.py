@@ -197,7 +197,12 @@ def matches(nodes: Column, n: Column, s: Column) -> Column:
         nodes,
         lambda a: (a["i"] < n["i"])
         & (a["last"] >= n["last"])
-        & F.coalesce(a["attrs"][s["in_attr"]] == s["in_value"], F.lit(False)),
+        & F.coalesce(
+            F.when(s["in_attr"] == "class", F.array_contains(F.split(a["attrs"]["class"], " "), s["in_value"])).otherwise(
+                a["attrs"][s["in_attr"]] == s["in_value"]
+            ),
+            F.lit(False),
+        ),
     )
     return (
         ~n["tag"].isin("#text", "#data")
