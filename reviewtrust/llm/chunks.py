@@ -7,22 +7,37 @@ there and each distinct chunk encoded once by the library itself:
   (the split pattern always starts a new pre-token at the last white space of a run);
 * word vocabularies that drop white space: at every space and newline.
 
-A chunk of letters that ends in one punctuation mark is cut before the mark as well. Anything unusual
-goes to the library in larger pieces. The memo is bounded and starts anew when full.
+A chunk of letters that ends in punctuation marks is cut before the marks as well. Where the tokenizer itself
+lower-cases, plain ASCII pieces are remembered in lower case. Anything unusual goes to the library in larger
+pieces. The memo is bounded and starts anew when full.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
 
 _ODD_SPACE = re.compile(r"[ \n](?:\s|\Z)")
 _CUT = re.compile(r"(?=[ \n]\S)")
-_MARKS = frozenset(".,;:!?")
-LIMIT = 300_000
+#: No apostrophe: it starts contractions.
+_MARKS = ".,;:!?*#$%&"
+LIMIT = 600_000
+#: Words encoded as one text where their ends can be told from the ids.
+_JOINED = 1_000
+
+
+def _plain_word(text: str) -> bool:
+    """Letters that stay letters when normalised and lower-cased: one pre-token.
+
+    The lower-cased capital I with a dot ends in a combining mark, which would join the punctuation, and so do
+    the letters that NFC takes apart.
+    """
+    return text.isalpha() and (text.isascii() or ("İ" not in text and unicodedata.is_normalized("NFC", text)))
 
 
 def _pieces(chunk: str) -> list[str]:
@@ -30,10 +45,9 @@ def _pieces(chunk: str) -> list[str]:
     lead = chunk[:1] == "\n"
     body = chunk[1:] if lead else chunk
     head = ["\n"] if lead and body else []
-    core = body[1:-1] if body[:1] == " " else body[:-1]
-    # The lower-cased capital I with a dot ends in a combining mark, which would join the punctuation.
-    if body[-1:] in _MARKS and core.isalpha() and "İ" not in core:
-        return [*head, body[:-1], body[-1]]
+    word = body.rstrip(_MARKS)
+    if len(word) < len(body) and _plain_word(word[1:] if word[:1] == " " else word):
+        return [*head, word, body[len(word) :]]
     return [*head, body] if body else [chunk]
 
 
@@ -41,41 +55,45 @@ class ChunkEncoder:
     """``encode(text)`` gives the ids of a text as little-endian unsigned 32-bit integers.
 
     ``library(texts)`` encodes a list of strings to such bytes each; ``spaces`` tells whether
-    white space belongs to the tokens.
+    white space belongs to the tokens, ``lower`` whether the library lower-cases ASCII letters itself.
     """
 
-    def __init__(self, library: Callable[[list[str]], list[bytes]], spaces: bool, limit: int = LIMIT):
-        self._library, self._spaces, self._limit = library, spaces, limit
+    def __init__(self, library: Callable[[list[str]], list[bytes]], spaces: bool, limit: int = LIMIT, lower: bool = False):
+        self._library, self._spaces, self._lower = library, spaces, lower
         self._by_chunk: dict[str, bytes] = {}
-        self._by_piece: dict[str, bytes] = {}
+        # Without white space in the tokens a piece is a chunk as well: one memo serves both, and may hold as much.
+        self._by_piece: dict[str, bytes] = {} if spaces else self._by_chunk
+        self._limit = limit if spaces else 2 * limit
 
     def _learn(self, wanted: set[str], whole: Callable[[str], str]) -> None:
-        if len(self._by_chunk) > self._limit:
-            self._by_chunk.clear()
-        if len(self._by_piece) > self._limit:
-            self._by_piece.clear()
-        cut = {c: _pieces(whole(c)) for c in wanted}
-        fresh = [p for p in {p for pieces in cut.values() for p in pieces} if p not in self._by_piece]
-        self._by_piece.update(zip(fresh, self._library(fresh), strict=True))
-        self._by_chunk.update((c, b"".join([self._by_piece[p] for p in pieces])) for c, pieces in cut.items())
+        known, cut = self._by_piece, {c: _pieces(whole(c)) for c in wanted}
+        fresh = list({p for pieces in cut.values() for p in pieces if p not in known})
+        known.update(zip(fresh, self._library(fresh), strict=True))
+        self._by_chunk.update(
+            [(c, known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p])) for c, p in cut.items()]
+        )
 
     def _known(self, chunks: list[str], whole: Callable[[str], str]) -> bytes:
+        for memo in (self._by_chunk, self._by_piece):
+            if len(memo) > self._limit:
+                memo.clear()
         found = list(map(self._by_chunk.get, chunks))
         if None in found:
             missing = {c for c, v in zip(chunks, found, strict=True) if v is None}
             if len(missing) + len(self._by_chunk) > 2 * self._limit:  # one enormous text
                 return b"".join(self._library([whole(c) for c in chunks]))
-            kept = {c: v for c, v in zip(chunks, found, strict=True) if v is not None}
             self._learn(missing, whole)
-            kept.update((c, self._by_chunk[c]) for c in missing)
-            found = [kept[c] for c in chunks]
+            found = map(self._by_chunk.__getitem__, chunks)
         return b"".join(found)
 
+    def _as_lower(self, chunk: str) -> str:
+        return chunk.lower() if self._lower and chunk.isascii() else chunk
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self._spaces:
-            return self._known([c for c in text.replace("\n", " ").split(" ") if c], str)
+            return self._known([c for c in text.replace("\n", " ").split(" ") if c], self._as_lower)
         if _ODD_SPACE.search(text):
             return b"".join(self._library(_CUT.split(text)))
         head, *rest = text.replace("\n", " \n").split(" ")
@@ -99,6 +117,41 @@ def tokenizer_library(content: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
+def word_library(content: str) -> Callable[[list[str]], list[bytes]]:
+    """The same ids for a vocabulary that marks the last token of each word: plain words go to the library many at a
+    time, as one text, and its ids are cut after the marked tokens."""
+    library, model = tokenizer_library(content), json.loads(content)["model"]
+    suffix, vocabulary = model["end_of_word_suffix"], model["vocab"]
+    last = np.zeros(max(vocabulary.values()) + 1, bool)
+    last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def encode_words(words: list[str]) -> list[bytes]:
+        coded = library([" ".join(words)])[0]
+        cuts = ((np.flatnonzero(last[np.frombuffer(coded, "<u4")]) + 1) * 4).tolist()
+        # A word gives one end at least, so the numbers agree only if every word gave exactly one.
+        return [coded[a:b] for a, b in zip([0, *cuts], cuts, strict=False)] if len(cuts) == len(words) else library(words)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        words = [t for t in texts if _plain_word(t)]
+        known: dict[str, bytes] = {}
+        for at in range(0, len(words), _JOINED):
+            part = words[at : at + _JOINED]
+            known.update(zip(part, encode_words(part), strict=True))
+        others = [t for t in texts if t not in known]
+        known.update(zip(others, library(others), strict=True))
+        return [known[t] for t in texts]
+
+    return encode
+
+
+def _word_vocabulary(content: str) -> tuple[bool, bool]:
+    """Whether words' last tokens are marked, and whether the tokenizer lower-cases."""
+    described = json.loads(content)
+    normalizer = described["normalizer"] or {}
+    steps = normalizer.get("normalizers", [normalizer])
+    return bool(described["model"].get("end_of_word_suffix")), any(n.get("type") == "Lowercase" for n in steps)
+
+
 _ENCODERS: dict[tuple[int, int, bool], ChunkEncoder] = {}
 
 
@@ -106,5 +159,7 @@ def worker_encoder(content: str, spaces: bool) -> ChunkEncoder:
     """One encoder for each Python worker and tokenizer file, kept over its tasks."""
     key = (len(content), hash(content), spaces)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(tokenizer_library(content), spaces)
+        marked, lower = _word_vocabulary(content)
+        library = word_library(content) if marked and not spaces else tokenizer_library(content)
+        _ENCODERS[key] = ChunkEncoder(library, spaces, lower=lower)
     return _ENCODERS[key]

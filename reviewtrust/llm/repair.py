@@ -29,7 +29,6 @@ ROUNDS = 6
 MIN_PAIRS = 12
 #: Symbols, nonterminals included, fit 16 bits.
 SYMBOLS = 1 << 16
-_BUCKETS = 1 << 20
 
 BLOCK_SCHEMA = (
     "shard int, block int, n_ids bigint, first_rule int, rules binary, lengths binary, sequence binary, "
@@ -39,14 +38,15 @@ BLOCK_SCHEMA = (
 
 def _frequent_pairs(seq: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """Most frequent neighbours, at most ``limit``, no symbol in two of them."""
-    keys = seq[:-1].astype(np.int64) * SYMBOLS + seq[1:]
-    bucket = (keys * 0x9E3779B1 >> 12) & (_BUCKETS - 1)
-    counts = np.bincount(bucket, minlength=_BUCKETS)
-    likely = keys[counts[bucket] >= MIN_PAIRS]
-    pairs, counts = np.unique(likely, return_counts=True)
+    # A pair of 16-bit symbols is one 32-bit number: sorting them is cheap.
+    keys = np.sort(seq[:-1].astype(np.uint32) * np.uint32(SYMBOLS) + seq[1:].astype(np.uint32))
+    starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+    counts = np.diff(starts, append=len(keys))
+    often = counts >= MIN_PAIRS
+    pairs, counts = keys[starts[often]], counts[often]
     chosen, used = [], set()
     for k in np.lexsort((pairs, -counts)):
-        if counts[k] < MIN_PAIRS or len(chosen) == limit:
+        if len(chosen) == limit:
             break
         a, b = divmod(int(pairs[k]), SYMBOLS)
         if a not in used and b not in used:
