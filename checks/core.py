@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks.core_sql import FRAGMENTS, array, compose, fixed, normalize, percent, squeeze, words  # noqa: F401
 from reviewtrust.functions import sentiment as SE
 from reviewtrust.functions import text as X
+from reviewtrust.config import DEFAULTS
 from reviewtrust.operators import duplicates as D
 from reviewtrust.operators import pacing as P
 from reviewtrust.operators import risk as R
@@ -146,14 +147,32 @@ def sentiment(spark, sf):
 # ------------------------------------------------------------------ duplicates
 
 
-@query("candidate_pairs", compose(["cand"], "select product_id, l as left_id, r as right_id from cand"))
+FRAGMENTS["copylinks"] = (
+    ["tok"],
+    """select product_id, min(review_id) as first_id, count(*) as n, array_to_string(w, ' ') as k from tok
+where len(w) > 0 group by product_id, array_to_string(w, ' ') having count(*) > 1""",
+)
+FRAGMENTS["copies"] = (
+    ["copylinks", "tok"],
+    """select c.product_id, c.first_id as left_id, t.review_id as right_id from copylinks c
+join tok t on t.product_id = c.product_id and array_to_string(t.w, ' ') = c.k and t.review_id > c.first_id""",
+)
+
+
+@query("candidate_pairs", compose(["textlinks"], "select product_id, l as left_id, r as right_id from textlinks"))
 def candidate_pairs(spark, sf):
-    return D.candidate_pairs(D.review_sets(T.reviews(spark, sf)))
+    """The candidates among different texts that prove similar."""
+    sets = D.review_sets(T.reviews(spark, sf))
+    return D.similar_texts(sets, D.copy_classes(sets), DEFAULTS.duplicate_similarity).drop("similarity")
 
 
 @query(
     "pair_similarity",
-    compose(["edges"], "select product_id, l as left_id, r as right_id, round(similarity, 6) as similarity from edges"),
+    compose(
+        ["textlinks", "copies"],
+        """select product_id, l as left_id, r as right_id, round(similarity, 6) as similarity from textlinks
+union all select product_id, left_id, right_id, 1.0 from copies""",
+    ),
 )
 def pair_similarity(spark, sf):
     return D.near_duplicate_edges(T.reviews(spark, sf)).withColumn("similarity", r6(F.col("similarity")))
@@ -204,21 +223,7 @@ def cluster_summary(spark, sf):
     )
 
 
-FRAGMENTS["copylinks"] = (
-    ["tok"],
-    """select product_id, min(review_id) as first_id, count(*) as n, array_to_string(w, ' ') as k from tok
-where len(w) > 0 group by product_id, array_to_string(w, ' ') having count(*) > 1""",
-)
-
-
-@query(
-    "exact_copies",
-    compose(
-        ["copylinks", "tok"],
-        """select c.product_id, c.first_id as left_id, t.review_id as right_id from copylinks c
-join tok t on t.product_id = c.product_id and array_to_string(t.w, ' ') = c.k and t.review_id > c.first_id""",
-    ),
-)
+@query("exact_copies", compose(["copies"], "select * from copies"))
 def exact_copies(spark, sf):
     return D.exact_copy_links(T.reviews(spark, sf)).drop("similarity")
 

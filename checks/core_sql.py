@@ -113,15 +113,10 @@ FRAGMENTS["sets"] = (
 FRAGMENTS["g2"] = (["sets"], "select product_id, review_id, unnest(s2) as g from sets")
 FRAGMENTS["g3"] = (["sets"], "select product_id, review_id, unnest(s3) as g from sets")
 FRAGMENTS["gc"] = (["sets"], "select product_id, review_id, unnest(sc) as g from sets")
-FRAGMENTS["held"] = (
-    ["g2"],
-    "select product_id, g from g2 group by 1, 2 having count(*) between 2 and 40",
-)
 FRAGMENTS["cand"] = (
-    ["g2", "held"],
+    ["g2"],
     """select distinct a.product_id, a.review_id as l, b.review_id as r
-from held h join g2 a using (product_id, g) join g2 b using (product_id, g)
-where a.review_id < b.review_id""",
+from g2 a join g2 b using (product_id, g) where a.review_id < b.review_id""",
 )
 for _k in ("2", "3", "c"):
     FRAGMENTS[f"both{_k}"] = (
@@ -143,6 +138,17 @@ left join both3 b3 on b3.product_id = c.product_id and b3.l = c.l and b3.r = c.r
 left join bothc bc on bc.product_id = c.product_id and bc.l = c.l and bc.r = c.r""",
 )
 FRAGMENTS["edges"] = (["sim"], "select * from sim where similarity >= 0.55")
+FRAGMENTS["firsts"] = (
+    ["tok"],
+    """select product_id, min(review_id) as review_id from tok where len(w) > 0
+group by product_id, array_to_string(w, ' ')""",
+)
+FRAGMENTS["textlinks"] = (
+    ["edges", "firsts"],
+    """select e.* from edges e
+semi join firsts x on x.product_id = e.product_id and x.review_id = e.l
+semi join firsts y on y.product_id = e.product_id and y.review_id = e.r""",
+)
 FRAGMENTS["links"] = (
     ["edges"],
     "select product_id, l as a, r as b from edges union all select product_id, r, l from edges",
@@ -158,10 +164,10 @@ FRAGMENTS["clu"] = (
 from reach group by 1, 2""",
 )
 FRAGMENTS["peak"] = (
-    ["sim"],
+    ["edges"],
     """select product_id, review_id, max(similarity) as max_similarity from (
-  select product_id, l as review_id, similarity from sim union all select product_id, r, similarity from sim)
-where similarity > 0 group by 1, 2""",
+  select product_id, l as review_id, similarity from edges union all select product_id, r, similarity from edges)
+group by 1, 2""",
 )
 FRAGMENTS["days"] = (
     ["rv"],

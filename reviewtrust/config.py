@@ -24,7 +24,6 @@ class Settings:
     min_text_chars: int = 8
     # near duplicates
     duplicate_similarity: float = 0.55
-    hot_shingle_holders: int = 40
     top_clusters: int = 8
     cluster_ids_shown: int = 12
     cluster_sample_chars: int = 160

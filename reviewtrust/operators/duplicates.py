@@ -1,9 +1,12 @@
-"""Near-duplicate reviews: candidate pairs, exact similarity, clusters and their summary.
+"""Near-duplicate reviews: linked texts, exact similarity, clusters and their summary.
 
-Every step is an equi-join or an aggregate keyed at most by (product, word pair) or
-(product, review), so one product holding a large part of all rows is still spread over
-the cluster. A word pair held by more than ``hot_shingle_holders`` reviews is no evidence
-and is skipped; at most that many rows plus one are kept per word pair before the shuffle.
+Copies of one text (the same words) are one class, named by its lowest review id: however many copies there are, they
+cost one aggregate and one join, and only the class takes part in the search for similar texts.
+
+Similar texts are found by an exact prefix join. Two sets that overlap by a share t must meet in the rarest n - ceil(t n) + 1
+elements of each, so only these are joined, rarest first, and a pair goes on only if its sizes and the places of
+the common element still allow t. No element is skipped for being frequent, and no list of holders is collected: each step is
+an equi-join or an aggregate keyed by (product, element) or (product, review), which AQE splits where it is skewed.
 """
 
 from __future__ import annotations
@@ -26,83 +29,63 @@ KEY = ["product_id", "review_id"]
 
 
 def review_sets(reviews: DataFrame) -> DataFrame:
-    """Hashed word pairs, triples and content words of each review."""
+    """Hashed word pairs, triples and content words of each review; ``copy_key`` is null without words."""
     words = reviews.select(*KEY, tokens(F.col("text")).alias("w"))
     return words.select(
         *KEY,
         hashed_shingles(F.col("w"), 2).alias("pairs"),
         hashed_shingles(F.col("w"), 3).alias("triples"),
         hashed_content(F.col("w")).alias("content"),
+        F.when(F.size("w") > 0, F.sha2(F.array_join("w", " "), 256)).alias("copy_key"),
     )
 
 
-def _upper_bound(left, right):
-    """The most two reviews can score, from their set sizes alone."""
-
-    def ratio(a, b):
-        return F.least(a, b) / F.greatest(a, b)
-
-    def dice_cap(a, b):
-        return F.when(a + b > 0, F.least(a, b) * 2 / (a + b)).otherwise(F.lit(0.0))
-
-    return composite(
-        ratio(left["n3"], right["n3"]),
-        ratio(left["n2"], right["n2"]),
-        dice_cap(left["nc"], right["nc"]),
-    )
-
-
-def candidate_pairs(
-    sets: DataFrame, settings: Settings = DEFAULTS, floor: float | None = None
-) -> DataFrame:
-    """Distinct review pairs (left_id < right_id) sharing a word pair few reviews hold.
-
-    With ``floor``, pairs whose set sizes alone rule out that similarity are left out
-    before they are shuffled; no pair reaching the floor is lost.
-    """
-    cap = settings.hot_shingle_holders
-    # Sizes first, so that the explode does not carry whole arrays along with every row.
-    sized = sets.select(
-        *KEY,
-        F.size("pairs").alias("n2"),
-        F.size("triples").alias("n3"),
-        F.size("content").alias("nc"),
-        "pairs",
-    )
-    # explode_outer: a plain explode makes the optimizer push a "not empty" filter, with the
-    # whole tokenizer inlined in it, down to the scan.
-    held = sized.select(*KEY, "n2", "n3", "nc", F.explode_outer("pairs").alias("shingle")).where(
-        F.col("shingle").isNotNull()
+def copy_classes(sets: DataFrame) -> DataFrame:
+    """product_id, review_id and ``first_id``, the lowest review with the same words, of all reviews with words."""
+    keyed = sets.select(*KEY, "copy_key").where(F.col("copy_key").isNotNull())
+    first = keyed.groupBy("product_id", "copy_key").agg(F.min("review_id").alias("first_id"))
+    return keyed.join(first, ["product_id", "copy_key"]).select(*KEY, "first_id")
+
+
+def _overlaps(threshold: float) -> dict[str, float]:
+    """The Jaccard overlap that each set alone needs to lift the composite to ``threshold``."""
+    dice = threshold / 0.75
+    return {"triples": threshold, "pairs": threshold / 0.85, "content": dice / (2 - dice)}
+
+
+def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Review pairs (left_id < right_id) among which are all that reach ``threshold`` (at most 0.75) in some set."""
+    needed = {k: t - 1e-9 for k, t in _overlaps(threshold).items()}
+    held = sets.select(*KEY, F.explode(F.array(*(
+        F.struct(F.lit(k).alias("kind"), F.lit(t).alias("t"), F.size(k).alias("n"), F.col(k).alias("elements"))
+        for k, t in needed.items()
+    ))).alias("s")).select(*KEY, "s.*")
+    # explode_outer: a plain explode makes the optimizer push a "not empty" filter down to the scan.
+    held = held.withColumn("element", F.explode_outer("elements")).drop("elements").where(F.col("element").isNotNull())
+    key = ["element", "kind", "product_id"]
+    # An element that one review alone holds joins nothing, but takes its place among the rarest.
+    shared = held.groupBy(*key).agg(F.count("*").alias("holders")).where("holders > 1")
+    inside = Window.partitionBy(*KEY, "kind")
+    ranked = held.join(shared, key).withColumn(
+        "place",
+        F.row_number().over(inside.orderBy("holders", "element")) + F.col("n") - F.count("*").over(inside),
     )
-    # The hash comes first in the key: its prefix alone decides nearly every comparison.
-    in_order = Window.partitionBy("shingle", "product_id").orderBy("review_id")
-    # The row_number limit is applied per map task as well as per key, so a word pair
-    # found in a third of all rows sends only a few rows through the shuffle.
-    holders = (
-        held.withColumn("rn", F.row_number().over(in_order))
-        .where(F.col("rn") <= cap + 1)
-        .groupBy("shingle", "product_id")
-        .agg(F.sort_array(F.collect_list(F.struct("review_id", "n2", "n3", "nc"))).alias("h"))
-        .where(F.size("h").between(2, cap))
+    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("t") * F.col("n")) + 1)
+    left = prefix.select(*key, "t", F.col("review_id").alias("left_id"), F.col("n").alias("ln"), F.col("place").alias("lp"))
+    right = prefix.select(*key, F.col("review_id").alias("right_id"), F.col("n").alias("rn"), F.col("place").alias("rp"))
+    possible = F.least(F.col("ln") - F.col("lp"), F.col("rn") - F.col("rp")) + 1
+    return (
+        left.join(right, key)
+        .where(F.col("left_id") < F.col("right_id"))
+        .where(F.least("ln", "rn") >= F.col("t") * F.greatest("ln", "rn"))
+        .where(possible >= F.col("t") / (F.col("t") + 1) * (F.col("ln") + F.col("rn")))
+        .select("product_id", "left_id", "right_id")
+        .distinct()
     )
 
-    def partners(left, i):
-        later = F.slice(F.col("h"), i + 2, F.size("h"))
-        if floor is not None:
-            later = F.filter(later, lambda right: _upper_bound(left, right) >= floor)
-        return F.transform(
-            later,
-            lambda right: F.struct(
-                left["review_id"].alias("left_id"), right["review_id"].alias("right_id")
-            ),
-        )
-
-    pairs = holders.select("product_id", F.explode(F.flatten(F.transform("h", partners))).alias("p"))
-    return pairs.select("product_id", "p.left_id", "p.right_id").distinct()
-
 
 def pair_similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact composite similarity of every candidate pair."""
+    """Exact composite similarity of the candidate pairs that share a word pair."""
     left = sets.select(
         "product_id",
         F.col("review_id").alias("left_id"),
@@ -133,7 +116,24 @@ def pair_similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         jaccard_from(F.col("shared2"), F.col("nl2"), F.col("nr2")),
         dice_from(F.col("sharedc"), F.col("nlc"), F.col("nrc")),
     )
-    return counted.select("product_id", "left_id", "right_id", score.alias("similarity"))
+    return counted.where("shared2 > 0").select("product_id", "left_id", "right_id", score.alias("similarity"))
+
+
+def similar_texts(sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different texts, by their classes' ids, at or above the threshold."""
+    firsts = classes.where(F.col("review_id") == F.col("first_id")).select(*KEY)
+    texts = sets.join(firsts, KEY, "left_semi")
+    scored = pair_similarity(candidate_pairs(texts, threshold), texts)
+    return scored.where(F.col("similarity") >= threshold)
+
+
+def _copy_links(classes: DataFrame) -> DataFrame:
+    return classes.where(F.col("review_id") > F.col("first_id")).select(
+        "product_id",
+        F.col("first_id").alias("left_id"),
+        F.col("review_id").alias("right_id"),
+        F.lit(1.0).alias("similarity"),
+    )
 
 
 def _endpoints(pairs: DataFrame) -> DataFrame:
@@ -151,39 +151,28 @@ def _endpoints(pairs: DataFrame) -> DataFrame:
 
 def exact_copy_links(reviews: DataFrame) -> DataFrame:
     """Link every copy of one text to its lowest id: one aggregate, no pairs in the group."""
-    words = tokens(F.col("text"))
-    keyed = reviews.select(
-        *KEY, F.when(F.size(words) > 0, F.sha2(F.array_join(words, " "), 256)).alias("k")
-    ).where(F.col("k").isNotNull())
-    first = keyed.groupBy("product_id", "k").agg(
-        F.min("review_id").alias("left_id"), F.count("*").alias("n")
-    )
-    return (
-        keyed.join(first.where(F.col("n") > 1), ["product_id", "k"])
-        .where(F.col("review_id") > F.col("left_id"))
-        .select(
-            "product_id",
-            "left_id",
-            F.col("review_id").alias("right_id"),
-            F.lit(1.0).alias("similarity"),
-        )
+    return _copy_links(copy_classes(review_sets(reviews)))
+
+
+def _linked(reviews: DataFrame, settings: Settings, threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Written tables: the classes of copies, and the links between different texts."""
+    from reviewtrust.session import Workspace
+
+    space = Workspace(reviews.sparkSession, "similar")
+    sets = space.write(review_sets(reviews))
+    classes = space.write(copy_classes(sets))
+    return classes, space.write(
+        similar_texts(sets, classes, settings.duplicate_similarity if threshold is None else threshold)
     )
 
 
 def near_duplicate_edges(
-    reviews: DataFrame,
-    settings: Settings = DEFAULTS,
-    threshold: float | None = None,
-    link_exact_copies: bool = False,
+    reviews: DataFrame, settings: Settings = DEFAULTS, threshold: float | None = None
 ) -> DataFrame:
-    """Pairs at or above the duplicate threshold, with their similarity."""
-    threshold = settings.duplicate_similarity if threshold is None else threshold
-    sets = review_sets(reviews)
-    scored = pair_similarity(candidate_pairs(sets, settings, floor=threshold), sets)
-    edges = scored.where(F.col("similarity") >= threshold)
-    if link_exact_copies:
-        edges = edges.unionByName(exact_copy_links(reviews))
-    return edges
+    """Links at or above the duplicate threshold: between different texts (each named by its lowest review), and
+    from every further copy of a text to that lowest review."""
+    classes, links = _linked(reviews, settings, threshold)
+    return links.unionByName(_copy_links(classes))
 
 
 def clusters_from_edges(edges: DataFrame) -> DataFrame:
@@ -209,42 +198,39 @@ def clusters_from_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def review_clusters(
-    reviews: DataFrame, settings: Settings = DEFAULTS, link_exact_copies: bool = False
-) -> DataFrame:
+def review_clusters(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Clusters of near-duplicate reviews, without the reviews that have no partner."""
-    from reviewtrust.session import Workspace
-
-    space = Workspace(reviews.sparkSession, "edges")
-    edges = space.write(
-        near_duplicate_edges(reviews, settings, link_exact_copies=link_exact_copies)
-    )
-    return clusters_from_edges(edges)
+    return clusters_from_edges(near_duplicate_edges(reviews, settings))
 
 
 def duplication_findings(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """The full finding of every review, with peak similarity below the threshold as well."""
-    from reviewtrust.session import Workspace
-
-    sets = review_sets(reviews)
-    space = Workspace(reviews.sparkSession, "pairs")
-    scored = space.write(
-        pair_similarity(candidate_pairs(sets, settings), sets).where(F.col("similarity") > 0)
+    """The full finding of every review. Peak similarity is over linked partners: 0 without any."""
+    classes, links = _linked(reviews, settings)
+    clusters = clusters_from_edges(links.unionByName(_copy_links(classes)))
+    # A review's first partners are among the first members of the classes linked to its own, itself left out.
+    shown = settings.similar_ids_shown
+    in_class = Window.partitionBy("product_id", "first_id").orderBy("review_id")
+    members = (
+        classes.withColumn("rn", F.row_number().over(in_class))
+        .where(F.col("rn") <= shown + 1)
+        .select("product_id", F.col("first_id").alias("other_id"), F.col("review_id").alias("partner"))
     )
-    edges = scored.where(F.col("similarity") >= settings.duplicate_similarity)
-    peak = _endpoints(scored).groupBy(*KEY).agg(F.max("similarity").alias("max_similarity"))
-    nearest = Window.partitionBy(*KEY).orderBy("other_id")
-    similar = (
-        _endpoints(edges)
+    own = classes.where(F.col("review_id") == F.col("first_id")).select(*KEY, F.col("first_id").alias("other_id"))
+    around = _endpoints(links).select(*KEY, "other_id").unionByName(own)
+    nearest = Window.partitionBy(*KEY).orderBy("partner")
+    partners = (
+        around.join(members, ["product_id", "other_id"])
         .withColumn("rn", F.row_number().over(nearest))
-        .where(F.col("rn") <= settings.similar_ids_shown)
-        .groupBy(*KEY)
-        .agg(F.sort_array(F.collect_list("other_id")).alias("similar_to"))
+        .where(F.col("rn") <= shown + 1)
+        .groupBy("product_id", F.col("review_id").alias("first_id"))
+        .agg(F.sort_array(F.collect_list("partner")).alias("partners"))
+    )
+    similar = classes.join(partners, ["product_id", "first_id"]).select(
+        *KEY,
+        F.slice(F.filter("partners", lambda p: p != F.col("review_id")), 1, shown).alias("similar_to"),
     )
-    clusters = clusters_from_edges(edges).drop("max_similarity")
     return (
         reviews.select(*KEY)
-        .join(peak, KEY, "left")
         .join(similar, KEY, "left")
         .join(clusters, KEY, "left")
         .select(

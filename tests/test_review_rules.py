@@ -94,19 +94,19 @@ def test_order_of_rows_does_not_matter(spark):
     assert all(0 <= s <= 1 for s in rows)
 
 
-@pytest.mark.parametrize("pruned", [True, False])
-def test_pairs_against_brute_force(spark, pruned):
+@pytest.mark.parametrize("threshold", [0.55, 0.2])
+def test_pairs_against_brute_force(spark, threshold):
     texts = TEMPLATED + GENUINE + ["", "great", "Great!", "great item", "so so so so"]
-    sets = D.review_sets(reviews(spark, texts))
-    pairs = D.candidate_pairs(sets, floor=0.55 if pruned else None)
-    got = {(r["left_id"], r["right_id"]): r["similarity"] for r in D.pair_similarity(pairs, sets).collect()}
+    edges = D.near_duplicate_edges(reviews(spark, texts), threshold=threshold).collect()
+    got = {(r["left_id"], r["right_id"]): r["similarity"] for r in edges}
+    want = {}
     for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2):
-        want = brute_similarity(a, b)
-        shares = bool(grams(a, 2) & grams(b, 2))
-        if shares and (want >= 0.55 or not pruned):
-            assert got[(i, j)] == pytest.approx(want)
-        if not shares:
-            assert (i, j) not in got
+        value = brute_similarity(a, b)
+        if grams(a, 2) & grams(b, 2) and value >= threshold:
+            want[(i, j)] = pytest.approx(value)
+    # "Great!" is a copy of "great", which stands for both.
+    other = texts.index("Great!")
+    assert got == {k: v for k, v in want.items() if other not in k or k == (texts.index("great"), other)}
 
 
 def test_components_of_a_long_chain(spark):
@@ -119,11 +119,26 @@ def test_components_of_a_long_chain(spark):
     assert label[(1, 901)] == 900 and label[(2, 5)] == 3 and len(label) == 205
 
 
-def test_copies_beyond_the_cap(spark):
-    df = reviews(spark, ["Works well in the garden shed all year"] * 41)
-    assert D.near_duplicate_edges(df).count() == 0
-    linked = D.review_clusters(df, link_exact_copies=True)
-    assert {r["cluster_size"] for r in linked.collect()} == {41}
+@pytest.mark.parametrize("n", [40, 41, 1000])
+def test_copies_of_any_number_fail_together(spark, n):
+    df = reviews(spark, ["Works well in the garden shed all year"] * n)
+    assert D.near_duplicate_edges(df).count() == n - 1
+    verdicts, clusters = trust.judged_reviews(df)
+    assert {(r["cluster_id"], r["cluster_size"]) for r in clusters.collect()} == {(0, n)}
+    assert verdicts.where("passed").count() == 0
+
+
+def test_many_texts_that_differ_in_the_last_word(spark):
+    df = reviews(spark, [f"Works well in the garden shed all year said w{i}" for i in range(60)])
+    verdicts, clusters = trust.judged_reviews(df)
+    assert {(r["cluster_id"], r["cluster_size"]) for r in clusters.collect()} == {(0, 60)}
+    assert verdicts.where("passed").count() == 0
+
+
+def test_partners_shown(spark):
+    df = reviews(spark, ["Works well in the garden shed all year"] * 9 + ["Works well in the garden shed all day"] * 2)
+    got = {r["review_id"]: r["similar_to"] for r in D.duplication_findings(df).collect()}
+    assert got == {i: [k for k in range(11) if k != i][:5] for i in range(11)}
 
 
 def test_swapped_words(spark):
