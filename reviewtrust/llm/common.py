@@ -49,6 +49,28 @@ def with_row_key(docs: DataFrame, names: tuple[str, str] = ("_key_a", "_key_b"))
     return docs.select("*", a.alias(names[0]), b.alias(names[1]))
 
 
+#: A key is hot if it holds at least this part of all rows: at most so many keys can.
+HOT_KEYS = 1024
+
+
+def mark_hot(sizes: DataFrame) -> DataFrame:
+    """sizes(keys..., n), one row a key, with ``hot`` for n. One number, the sum, comes to the driver."""
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    return sizes.withColumn("hot", F.col("n") * HOT_KEYS >= total).drop("n")
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner equi-join of rows to facts, few for each key, that carry the ``hot`` of ``mark_hot``.
+
+    Hot keys meet their facts by broadcast, which is bounded by ``HOT_KEYS``; the others meet in a shuffle, where none of them
+    is large. Both tables are read twice and should be written ones.
+    """
+    heavy = F.broadcast(facts.where("hot").drop("hot"))
+    light = facts.where("not hot").drop("hot")
+    others = rows.join(heavy.select(*keys), keys, "left_anti")
+    return rows.join(heavy, keys).unionByName(others.join(light, keys))
+
+
 def workspace(spark: SparkSession, label: str) -> Workspace:
     """Tables in the cluster's shared folder: they survive a lost executor and cut lineage."""
     return Workspace(spark, label)

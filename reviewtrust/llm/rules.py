@@ -10,7 +10,8 @@ and the smaller determinant wins. A row is rejected if its squared distance exce
 Scale: one pass over the texts writes a narrow table; each step is two aggregates with
 map-side combining, keyed by group, start and histogram bin. The share's threshold comes from a
 histogram of distances with bounded bins, so no group is ever sorted or gathered, however
-large. The estimates are one row a group; Spark broadcasts them only if their size allows it.
+large. The estimates are one row a group; groups that hold a large part of all rows meet them by a broadcast of
+bounded size, the others in a shuffle.
 Groups with fewer than ``MIN_ROWS`` rows share one pooled estimate, null languages and
 sources are groups of their own. Sums are of integers, so reruns agree exactly.
 """
@@ -22,7 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewtrust.llm.common import WORD, let, text_of, with_row_key, workspace
+from reviewtrust.llm.common import WORD, join_hot, let, mark_hot, text_of, with_row_key, workspace
+from reviewtrust.session import Workspace
 
 FEATURES = ("z_length", "z_symbols", "z_lines", "z_repeats", "z_upper")
 #: One step of the fixed-point grid.
@@ -81,7 +83,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """Base counts and the vector of every row.
 
     Null and empty texts have zero counts and fail the base rule. Returns the row key, doc_id, lang,
-    source, the counts, ``base_failed`` and the fixed-point features.
+    source, ``_group`` (both as one text), the counts, ``base_failed`` and the fixed-point features.
     """
     text = text_of(docs)
     measured = with_row_key(docs).select(
@@ -122,6 +124,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "source",
+        F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"}).alias("_group"),
         n.cast("bigint").alias("n_words"),
         chars.cast("bigint").alias("word_chars"),
         F.col("sym").cast("bigint").alias("n_symbols"),
@@ -183,23 +186,22 @@ def _moments(rows: DataFrame, scale: float) -> DataFrame:
     return sums.select("grp", "start", F.array(*mean).alias("m"), F.array(*c).alias("c"))
 
 
-def _medians(rows: DataFrame) -> DataFrame:
+def _medians(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """Start from medians and median absolute deviations. Exact, and bounded: the features have few distinct values."""
     half = F.lit(0.5)
     middle = rows.groupBy("grp").agg(F.array(*(F.percentile(f, half) for f in FEATURES)).alias("m"))
-    away = rows.join(middle, "grp").groupBy("grp", "m").agg(
+    middle = middle.join(hot, "grp")
+    away = join_hot(rows, middle, ["grp"]).groupBy("grp", "m").agg(
         F.array(*(F.percentile(F.abs(F.col(f) - F.col("m")[i]), half) for i, f in enumerate(FEATURES))).alias("d")
     )
     c = [F.pow(1.4826 * F.col("d")[i], 2) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]
     return away.select("grp", F.lit(0).alias("start"), "m", F.array(*c).alias("c"))
 
 
-def _nearest(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def _nearest(rows: DataFrame, estimates: DataFrame, space: Workspace) -> DataFrame:
     """The nearest SUPPORT of each group's rows by bins of the distance; a bin is taken or left whole."""
-    measured = rows.join(estimates, "grp").select(
-        "grp", "start", *FEATURES, F.floor(F.log2(1.0 + _squared_distance()) * BINS_PER_DOUBLING).alias("bin")
-    )
-    bins = measured.groupBy("grp", "start", "bin").agg(F.count("*").alias("n"))
+    bin_of = F.floor(F.log2(1.0 + _squared_distance()) * BINS_PER_DOUBLING).alias("bin")
+    bins = join_hot(rows, estimates, ["grp"]).groupBy("grp", "start", bin_of).agg(F.count("*").alias("n"))
     pairs = bins.groupBy("grp", "start").agg(
         F.sum("n").alias("all"), F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins")
     )
@@ -216,44 +218,35 @@ def _nearest(rows: DataFrame, estimates: DataFrame) -> DataFrame:
             lambda acc: acc["edge"],
         ).alias("edge"),
     )
-    return measured.join(edge, ["grp", "start"]).where("bin <= edge").select("grp", "start", *FEATURES)
+    edged = space.write(estimates.join(edge, ["grp", "start"]))
+    near = join_hot(rows, edged, ["grp"]).select("grp", "start", "edge", *FEATURES, bin_of)
+    return near.where("bin <= edge").select("grp", "start", *FEATURES)
 
 
 def fit(stats: DataFrame, steps: int = STEPS) -> DataFrame:
-    """One estimate for each (lang, source), also of the pooled ones: lang, source, start, m, p, log_det."""
+    """One estimate for each (lang, source), also of the pooled ones: _group, start, m, p, log_det (nulls where no row of
+    the group passed the base rule) and ``hot``."""
     space = workspace(stats.sparkSession, "quality-rules")
-    sizes = stats.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    groups = space.write(
-        sizes.select(
-            "lang",
-            "source",
-            F.when(F.col("n") < MIN_ROWS, F.lit("pooled")).otherwise(
-                F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
-            ).alias("grp"),
-        )
-    )
-    rows = space.write(
-        stats.where("not base_failed").alias("s")
-        .join(groups.alias("g"), F.col("s.lang").eqNullSafe(F.col("g.lang")) & F.col("s.source").eqNullSafe(F.col("g.source")))
-        .select("grp", *FEATURES)
-    )
+    sizes = space.write(stats.groupBy("_group").agg(F.count("*").alias("n")))
+    pooled = F.when(F.col("n") < MIN_ROWS, F.lit("pooled")).otherwise(F.col("_group")).alias("grp")
+    groups = space.write(mark_hot(sizes.select("_group", pooled, "n")))
+    rows = space.write(join_hot(stats.where("not base_failed"), groups, ["_group"]).select("grp", *FEATURES))
+    hot = space.write(mark_hot(rows.groupBy("grp").agg(F.count("*").alias("n"))))
     plain = _moments(rows.withColumn("start", F.lit(1)), 1.0)
-    estimates = space.write(_precision(_medians(rows).unionByName(plain)))
+    estimates = space.write(_precision(_medians(rows, hot).unionByName(plain)).join(hot, "grp"))
     for _ in range(steps):
-        estimates = space.write(_precision(_moments(_nearest(rows, estimates), CONSISTENCY)))
+        moments = _moments(_nearest(rows, estimates, space), CONSISTENCY)
+        estimates = space.write(_precision(moments).join(hot, "grp"))
     best = estimates.groupBy("grp").agg(
-        F.min_by(F.struct(*(c for c in estimates.columns if c != "grp")), F.struct("log_det", "start")).alias("e")
+        F.min_by(F.struct("start", "m", "p", "log_det"), F.struct("log_det", "start")).alias("e")
     )
-    return space.write(groups.join(best, "grp").select("lang", "source", "e.*"))
+    return space.write(groups.join(best, "grp", "left").select("_group", "hot", "e.*"))
 
 
 def judge(stats: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Adds ``distance`` (squared, null without an estimate) and ``kept``. Rows whose group has no estimate are kept
-    unless the base rule fails."""
-    e = estimates.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    joined = stats.join(
-        e, stats["lang"].eqNullSafe(e["_lang"]) & stats["source"].eqNullSafe(e["_source"]), "left"
-    ).withColumn("distance", _squared_distance())
+    """Adds ``distance`` (squared, 0 without an estimate) and ``kept``. A group has no estimate if the base rule rejects all
+    its rows."""
+    joined = join_hot(stats, estimates, ["_group"]).withColumn("distance", _squared_distance())
     return joined.select(
         *stats.columns,
         "distance",

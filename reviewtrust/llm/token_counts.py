@@ -5,9 +5,10 @@ by SHA-256 of their normalised content (null as empty; nothing else may change,
 character) and of the tokenizer's file and library version. Only distinct misses are encoded, one
 representative row for each digest, and appended to the cache.
 
-Scale: digests are narrow; texts are shuffled once, by document, to reach the representatives. Counts return to the rows by an
-equi-join on the digest, which AQE splits where one text has many copies. Two runs that append at the same time may both
-store a digest; readers take one of the equal counts.
+Scale: digests are narrow; texts are shuffled once, by document, to reach the representatives. Digests are counted with map-side
+combining before anything is joined to them; counts return to the rows by an equi-join on the digest, in which texts with
+very many copies are joined by a broadcast of bounded size. Two runs that append at the same time may both store a digest;
+readers take one of the equal counts.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewtrust.llm.chunks import worker_encoder
-from reviewtrust.llm.common import NO_ID, text_of, workspace
+from reviewtrust.llm.common import NO_ID, join_hot, mark_hot, text_of, workspace
 
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens bigint"
 
@@ -69,9 +70,8 @@ def token_counts(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
     space = workspace(spark, "token-counts")
     rows = space.write(keyed.select("doc_id", "doc", "content", F.octet_length("text").cast("bigint").alias("n_bytes")))
     known = _cache(docs, folder).where(F.col("tokenizer") == version).select("content")
-    wanted = space.write(
-        rows.join(known, "content", "left_anti").groupBy("content").agg(F.min("doc").alias("doc"))
-    )
+    digests = space.write(rows.groupBy("content").agg(F.min("doc").alias("doc"), F.count("*").alias("n")))
+    wanted = space.write(digests.join(known, "content", "left_anti").select("content", "doc"))
     # A repeated row gives its digest twice here: the least of the equal counts is stored.
     misses = keyed.select("doc", "content", "text").join(wanted, ["doc", "content"])
     fresh = _encoded(misses, tokenizer).groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
@@ -79,4 +79,5 @@ def token_counts(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
     counts = (
         _cache(docs, folder).where(F.col("tokenizer") == version).groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
     )
-    return rows.join(counts, "content").select("doc_id", "n_bytes", "n_tokens")
+    facts = space.write(counts.join(mark_hot(digests.select("content", "n")), "content"))
+    return join_hot(rows, facts, ["content"]).select("doc_id", "n_bytes", "n_tokens")
