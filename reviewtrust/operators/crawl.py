@@ -62,17 +62,16 @@ def rules_for_agent(rules: DataFrame, user_agent: str) -> DataFrame:
     chosen = mine.groupBy("host").agg(F.max_by("agent", F.struct(priority, F.col("agent"))).alias("agent"))
     body = F.regexp_replace("pattern", r"\$$", "")
     anchored = F.col("pattern").endswith("$")
-    escaped = F.replace(
-        F.regexp_replace(body, r"([\\.^$|?+()\[\]{}])", r"\\$1"), F.lit("*"), F.lit(".*")
-    )
+    parts = F.split(body, r"\*")
+    rest = F.slice(parts, 2, F.size(parts))
     entry = F.struct(
         F.length("pattern").alias("length"),
         F.col("allow"),
-        body.alias("prefix"),
-        F.when(
-            body.contains("*") | anchored,
-            F.concat(F.lit("^"), escaped, F.when(anchored, F.lit("$")).otherwise(F.lit(""))),
-        ).alias("regex"),
+        F.get(parts, F.lit(0)).alias("prefix"),
+        # Texts that must follow in this order; the last of an anchored pattern must end the path.
+        F.filter(F.when(anchored, F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))).otherwise(rest), lambda p: p != "").alias("middle"),
+        F.when(anchored & (F.size(parts) > 1), F.element_at(parts, -1)).alias("suffix"),
+        (anchored & (F.size(parts) == 1)).alias("whole"),
     )
     return (
         mine.join(chosen, ["host", "agent"])
@@ -81,6 +80,26 @@ def rules_for_agent(rules: DataFrame, user_agent: str) -> DataFrame:
     )
 
 
+def _fits(path: Column, rule: Column) -> Column:
+    """Does a rule's pattern match the path? By its parts between wildcards, leftmost first, so no pattern is compiled."""
+    reached = F.aggregate(
+        rule["middle"],
+        F.length(rule["prefix"]) + 1,
+        lambda at, part: F.when(
+            F.position(part, path, at) > 0, F.position(part, path, at) + F.length(part)
+        ),
+    )
+    ends = rule["suffix"].isNull() | (
+        path.endswith(rule["suffix"]) & (F.length(path) - F.length(rule["suffix"]) + 1 >= reached)
+    )
+    return F.coalesce(
+        F.when(rule["whole"], path == rule["prefix"]).otherwise(
+            path.startswith(rule["prefix"]) & reached.isNotNull() & ends
+        ),
+        F.lit(False),
+    )
+
+
 def request_path(url: Column) -> Column:
     """Decoded path plus the query as written."""
     raw = F.coalesce(F.nullif(part(url, "PATH"), F.lit("")), F.lit("/"))
@@ -93,12 +112,7 @@ def allowed_urls(urls: DataFrame, rules: DataFrame, user_agent: str, url: str =
     """Add ``crawl_allowed``; a URL without any matching rule is allowed."""
     keyed = urls.withColumns({"_host": host(F.col(url)), "_path": request_path(F.col(url))})
     arrays = rules_for_agent(rules, user_agent).withColumnRenamed("host", "_host")
-    hits = F.filter(
-        "rules",
-        lambda r: F.when(r["regex"].isNull(), F.col("_path").startswith(r["prefix"])).otherwise(
-            F.rlike(F.col("_path"), r["regex"])
-        ),
-    )
+    hits = F.filter("rules", lambda r: _fits(F.col("_path"), r))
     best = F.array_max(
         F.transform(hits, lambda r: F.struct(r["length"].alias("length"), r["allow"].alias("allow")))
     )

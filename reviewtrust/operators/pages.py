@@ -128,7 +128,6 @@ NEXT_GUESSES = [
     ("a", "aria-label", "like", "next"),
     ("a", "title", "like", "next"),
 ]
-CONTAINER_LIMIT = 400
 DESCRIPTION_CHARS = 500
 
 
@@ -300,7 +299,7 @@ def dom_reviews(pages: DataFrame, as_of: datetime.date) -> DataFrame:
         "selector_no",
         "nodes",
         F.posexplode_outer(
-            F.slice(F.filter(nodes, lambda n: H.matches(nodes, n, F.col("s"))), 1, CONTAINER_LIMIT)
+            F.filter(nodes, lambda n: H.matches(nodes, n, F.col("s")))
         ).alias("pos", "c"),
     ).where("c is not null")
     rows = H.bind(found, sub=H.inside(nodes, c)).drop("nodes")
@@ -337,7 +336,7 @@ def dom_reviews(pages: DataFrame, as_of: datetime.date) -> DataFrame:
         P.verified_badge(F.col("blob")).alias("verified_purchase"),
         P.helpful_votes(F.col("blob")).alias("helpful_votes"),
     )
-    # A page holds at most 13 x 400 container rows, so its group is small by construction.
+    # The rows of a group are elements of one page.
     of_page = Window.partitionBy("page_id")
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("page_id", "selector_no")))
     best = F.max(F.struct(F.col("n"), -F.col("selector_no"))).over(of_page)
@@ -479,7 +478,7 @@ def next_pages(pages: DataFrame) -> DataFrame:
 
 
 def search_listings(pages: DataFrame) -> DataFrame:
-    """Up to 20 listings per stored retailer search page, by that retailer's markup."""
+    """All listings of a stored retailer search page, by that retailer's markup."""
     nodes = F.col("nodes")
     cells = {
         "newegg": [(None, "class", "word", "item-cell"), (None, "class", "word", "item-container")],
@@ -504,7 +503,7 @@ def search_listings(pages: DataFrame) -> DataFrame:
     rows = rows.withColumns({"cells": by_site(cells), "links": by_site(links)}).where(F.col("cells").isNotNull())
     found = F.array_sort(F.array_distinct(F.transform(H.select(nodes, F.col("cells")), lambda n: F.struct(n["i"].alias("i"), n["last"].alias("last")))))
     rows = rows.select(
-        "page_id", "url", "site", "links", "nodes", F.posexplode_outer(F.slice(found, 1, 20)).alias("pos", "c")
+        "page_id", "url", "site", "links", "nodes", F.posexplode_outer(found).alias("pos", "c")
     ).where("c is not null")
     rows = rows.select(
         "page_id", "url", "site", "pos", "links", H.inside(nodes, F.col("c")).alias("sub"),
@@ -668,7 +667,7 @@ def detect_products(pages: DataFrame) -> DataFrame:
         scope.alias("scope"),
         F.nullif(heading, F.lit("")).alias("heading"),
         F.nullif(page_title, F.lit("")).alias("page_title"),
-        (F.coalesce(buy, F.lit(False)) & F.coalesce(F.left(body, F.lit(4000)).rlike(PRICE_NEAR_PATTERN), F.lit(False))).alias("buy_signals"),
+        (F.coalesce(buy, F.lit(False)) & F.coalesce(body.rlike(PRICE_NEAR_PATTERN), F.lit(False))).alias("buy_signals"),
         H.pick_attr(nodes, H.selector_list([("link", "rel", "like", "canonical")]), "href").alias("canonical"),
         _meta(nodes, ("property", "og:type"), ("name", "og:type")).alias("og_type"),
         _meta(nodes, ("property", "og:title"), ("name", "og:title"), ("property", "twitter:title"), ("name", "twitter:title")).alias("meta_title"),

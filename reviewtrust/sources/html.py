@@ -44,6 +44,21 @@ _ARROW_NODES = pa.list_(
 )
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
+#: Start tag to the open elements it ends where their end tags were left out, and the elements that search stops at.
+_ENDS = {
+    **dict.fromkeys(["li"], ({"li"}, {"ul", "ol", "menu"})),
+    **dict.fromkeys(["dt", "dd"], ({"dt", "dd"}, {"dl"})),
+    **dict.fromkeys(["td", "th"], ({"td", "th"}, {"tr", "table"})),
+    **dict.fromkeys(["tr"], ({"tr"}, {"table"})),
+    **dict.fromkeys(["thead", "tbody", "tfoot"], ({"thead", "tbody", "tfoot"}, {"table"})),
+    **dict.fromkeys(["option", "optgroup"], ({"option"}, {"select", "datalist"})),
+}
+#: A paragraph ends before these.
+_BLOCKS = set(
+    "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p "
+    "pre section table ul".split()
+)
+
 
 class _Nodes(HTMLParser):
     def __init__(self) -> None:
@@ -55,11 +70,29 @@ class _Nodes(HTMLParser):
         i = len(self.nodes)
         unique = {k: v or "" for k, v in reversed(attrs)}
         self.nodes.append({"i": i, "last": i, "tag": tag, "attrs": list(unique.items()), "text": text})
-        for parent in self.open:
-            self.nodes[parent]["last"] = i
         return i
 
+    def end(self, depth: int) -> None:
+        """End the open elements from ``depth`` on: all nodes since are inside them."""
+        for i in self.open[depth:]:
+            self.nodes[i]["last"] = len(self.nodes) - 1
+        del self.open[depth:]
+
+    def _end_implied(self, tag: str) -> None:
+        if tag in _BLOCKS and self.open and self.nodes[self.open[-1]]["tag"] == "p":
+            self.end(len(self.open) - 1)
+        ended, scope = _ENDS.get(tag, ((), ()))
+        if ended:
+            for depth in range(len(self.open) - 1, -1, -1):
+                name = self.nodes[self.open[depth]]["tag"]
+                if name in ended:
+                    return self.end(depth)
+                if name in scope:
+                    return None
+        return None
+
     def handle_starttag(self, tag, attrs):
+        self._end_implied(tag)
         i = self._add(tag, attrs, None)
         if tag not in _VOID:
             self.open.append(i)
@@ -70,7 +103,7 @@ class _Nodes(HTMLParser):
     def handle_endtag(self, tag):
         for depth in range(len(self.open) - 1, -1, -1):
             if self.nodes[self.open[depth]]["tag"] == tag:
-                del self.open[depth:]
+                self.end(depth)
                 return
 
     def handle_data(self, data):
@@ -83,6 +116,7 @@ def _parse(html: str | None) -> list[dict]:
     parser = _Nodes()
     parser.feed(html or "")
     parser.close()
+    parser.end(0)
     return parser.nodes
 
 
@@ -147,8 +181,8 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def inside(nodes: Column, n: Column) -> Column:
-    """The nodes below ``n``."""
-    return F.filter(nodes, lambda m: (m["i"] > n["i"]) & (m["i"] <= n["last"]))
+    """The nodes below ``n``, none for null; ``nodes`` are all of the page, so they are a slice."""
+    return F.when(n["i"].isNull(), F.slice(nodes, 1, 0)).otherwise(F.slice(nodes, n["i"] + 2, n["last"] - n["i"]))
 
 
 def text_of(nodes: Column, n: Column) -> Column:

@@ -27,14 +27,15 @@ LEADERS = "cache_key string, request_id bigint, leader_id bigint, starts_job boo
 class InflightLeaders(StatefulProcessor):
     """Per key: the running leader and when its claim ends.
 
-    State is one row per key, however many requests follow it. Requests of one batch are
-    taken in time order.
+    State is one row per key, however many requests follow it, and goes when the watermark passes
+    the claim's end. Requests of one batch are taken in time order.
     """
 
     def __init__(self, ttl_s: int):
         self.ttl_us = ttl_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.claim = handle.getValueState("claim", "leader_id bigint, ends_us bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -47,21 +48,30 @@ class InflightLeaders(StatefulProcessor):
                 leader, ends = int(request_id), int(ts_us) + self.ttl_us
             out.append((key[0], int(request_id), leader, starts))
         self.claim.update((leader, ends))
+        if any(starts for *_, starts in out):
+            self.handle.registerTimer(-(-ends // 1000))
         yield pd.DataFrame(out, columns=["cache_key", "request_id", "leader_id", "starts_job"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.claim.exists() and self.claim.get()[1] <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
+            self.claim.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def inflight_stream(requests: DataFrame, ttl_s: int) -> DataFrame:
-    """Leader of every request of a stream (request_id, ts, cache_key).
+def inflight_stream(requests: DataFrame, ttl_s: int, lateness: str = "10 minutes") -> DataFrame:
+    """Leader of every request of a stream (request_id, ts, cache_key) that is at most ``lateness`` late.
 
     Needs the RocksDB state store. A key's requests of one micro-batch are read by one
     task; bound the batch with the source's own limits (maxFilesPerTrigger and the like).
     """
-    rows = requests.select("cache_key", "request_id", F.unix_micros("ts").alias("ts_us"))
+    rows = requests.withWatermark("ts", lateness).select(
+        "cache_key", "request_id", "ts", F.unix_micros("ts").alias("ts_us")
+    )
     return rows.groupBy("cache_key").transformWithStateInPandas(
-        InflightLeaders(ttl_s), LEADERS, outputMode="Append", timeMode="None"
+        InflightLeaders(ttl_s), LEADERS, outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -69,10 +79,13 @@ FOLLOWED = "job_id bigint, seq bigint, event string, message string"
 
 
 class FollowJobs(StatefulProcessor):
-    """Deliver a job's events until a terminal one; report a timeout if none comes."""
+    """Deliver a job's events until a terminal one; report a timeout if none comes.
 
-    def __init__(self, timeout_s: int, terminal: list[str]):
-        self.timeout_ms = timeout_s * 1000
+    A job's state goes ``keep_s`` after its deadline: no event may come later than that, or it counts as a new job's.
+    """
+
+    def __init__(self, timeout_s: int, terminal: list[str], keep_s: int):
+        self.timeout_ms, self.keep_ms = timeout_s * 1000, keep_s * 1000
         self.terminal = set(terminal)
         self.message = (
             f"analysis did not complete within {timeout_s}s (worker may be unavailable)"
@@ -100,7 +113,11 @@ class FollowJobs(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         deadline, ended = self.job.get()
-        self.job.update((deadline, True))
+        if expiredTimerInfo.getExpiryTimeInMs() >= deadline + self.keep_ms:
+            self.job.clear()
+        else:
+            self.job.update((deadline, True))
+            self.handle.registerTimer(deadline + self.keep_ms)
         late = [] if ended else [(key[0], None, "error", self.message)]
         yield pd.DataFrame(late, columns=["job_id", "seq", "event", "message"]).astype({"seq": "Int64"})
 
@@ -108,14 +125,16 @@ class FollowJobs(StatefulProcessor):
         pass
 
 
-def follow_stream(log: DataFrame, timeout_s: int, terminal: list[str], lateness: str = "0 seconds") -> DataFrame:
+def follow_stream(
+    log: DataFrame, timeout_s: int, terminal: list[str], lateness: str = "0 seconds", keep_s: int = 30 * 86400
+) -> DataFrame:
     """Followed events of a stream of (job_id, seq, ts, event), by event time.
 
-    A job times out when the watermark passes its deadline.
+    A job times out when the watermark passes its deadline, and is forgotten ``keep_s`` later.
     """
     rows = log.withWatermark("ts", lateness).select(
         "job_id", "seq", "ts", F.unix_millis("ts").alias("ts_ms"), "event"
     )
     return rows.groupBy("job_id").transformWithStateInPandas(
-        FollowJobs(timeout_s, terminal), FOLLOWED, outputMode="Append", timeMode="EventTime"
+        FollowJobs(timeout_s, terminal, keep_s), FOLLOWED, outputMode="Append", timeMode="EventTime"
     )

@@ -75,6 +75,16 @@ def test_crawl_rule_precedence(spark):
     assert allowed("free")["http://a.com/x"] is True
 
 
+def test_crawl_wildcards(spark):
+    lines = ["/a*b*c$", "/d**e", "/f*ff$", "/g.h+", "/i*j*"]
+    files = spark.createDataFrame([("a.com", "User-agent: *\n" + "\n".join(f"Disallow: {p}" for p in lines))], "host string, text string")
+    refused = ["/abc", "/axbxbxc", "/de", "/d1/e2", "/ffff", "/g.h+k", "/i2j3"]
+    allowed = ["/abcd", "/acb", "/d", "/ff", "/gxh+", "/gh", "/i2k", "/x/abc"]
+    urls = spark.createDataFrame([(f"http://a.com{u}",) for u in refused + allowed], "url string")
+    got = CR.allowed_urls(urls, CR.parse_rules(files), "Mozilla").where("not crawl_allowed").collect()
+    assert sorted(r["url"] for r in got) == sorted(f"http://a.com{u}" for u in refused)
+
+
 def test_unsafe_targets(spark):
     cases = {
         "http://127.0.0.1/": "loopback address",

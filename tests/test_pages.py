@@ -87,3 +87,16 @@ def test_identity(spark):
 def test_block_pages(spark):
     df = spark.createDataFrame([("<p>Robot check</p>", 200), ("fine", 503), ("fine", 200), (None, None)], "html string, status int")
     assert [r[0] for r in df.select(PG.looks_blocked(F.col("html"), F.col("status"))).collect()] == [True, True, False, False]
+
+
+def test_elements_without_end_tags(spark):
+    items = "".join(f'<li class="review-item"><p>A long enough text about item {i}.' for i in range(2))
+    got = PG.dom_reviews(page(spark, f"<ul>{items}</ul>"), TODAY).orderBy("pos").collect()
+    assert [r["text"] for r in got] == ["A long enough text about item 0.", "A long enough text about item 1."]
+
+
+def test_long_lists_are_read_whole(spark):
+    cards = "".join(f'<div data-review-id="{i}"><p>A long enough text about item {i}.</p></div>' for i in range(450))
+    assert PG.dom_reviews(page(spark, cards), TODAY).count() == 450
+    cells = "".join(f'<div class="item-cell"><a class="item-title" href="/p/{i}">Lamp {i}</a></div>' for i in range(25))
+    assert PG.search_listings(page(spark, cells, url="https://www.newegg.com/p/pl?d=lamp")).count() == 25

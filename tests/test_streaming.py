@@ -76,3 +76,16 @@ def test_follow_matches_batch(spark, small, tmp_path):
     late = set(rows(got.where("seq is null").select("job_id", "message")))
     assert late <= set(rows(want.where("seq is null").select("job_id", "message")))
     assert late
+
+
+def test_inflight_state_ends(spark, tmp_path):
+    early = spark.range(200).selectExpr("id as request_id", "timestamp'2024-01-01' + make_interval(0,0,0,0,0,0,id) as ts", "concat('k', id) as cache_key")
+    late = spark.range(3).selectExpr("500 + id as request_id", "timestamp'2024-01-03' + make_interval(0,0,0,id) as ts", "'z' as cache_key")
+    stream = SR.inflight_stream(stream_of(spark, early.unionByName(late), tmp_path, files=4), 60)
+    query = (
+        stream.writeStream.format("memory").queryName("ends").option("checkpointLocation", str(tmp_path / "ck"))
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert spark.table("ends").where("starts_job").count() == 203
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] < 20
