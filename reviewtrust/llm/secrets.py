@@ -2,14 +2,17 @@
 
 Three patterns find labelled credentials (``base_spans``). The characters of at most ``MAX_EXAMPLES`` of each kind, those
 with the smallest hashes in the whole corpus, form a prefix tree; states whose outgoing and final frequencies agree
-within Hoeffding bounds are merged into a probabilistic automaton for the kind. Other tokens, chosen
-the same way, give a background model of neighbouring characters. Then every token of ``CANDIDATE`` in every text is
-scored: the best automaton's log likelihood less the background's, for each character. A token that beats all
-background examples, by at least ``LEAST_MARGIN``, and overlaps no base span is a further span, of kind
-``like_<kind>``.
-
-Two passes over the texts, nothing shuffled but the examples, of which each task passes on at most MAX_EXAMPLES a
-kind. Null and empty texts have no spans; a corpus without credentials adds none.
+within Hoeffding bounds are merged into a probabilistic automaton for the kind.
+
+All distinct other tokens of ``CANDIDATE`` give a background model of neighbouring characters, but for those that an
+automaton gives as high a likelihood for each character as it gives held-out labelled credentials: credentials without a label
+would otherwise make themselves usual. Every token in every text is scored: the best automaton's log
+likelihood less the background's, for each character. A token that scores over ``LEAST_MARGIN`` and overlaps no base span is a
+further span, of kind ``like_<kind>``. The margin is fixed, whatever the table's size.
+
+Three passes over the texts. Examples, of which each task passes on at most MAX_EXAMPLES a kind, and distinct tokens are
+shuffled; the driver gets the examples and one count for each pair of characters. Null and empty texts have no spans; a corpus
+without credentials adds none.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -41,6 +44,10 @@ ALPHA = 0.05
 LEAST_SEEN = 8
 UNSEEN = math.log(1e-4)
 LEAST_MARGIN = 0.5
+#: The part of held-out credentials that may fit their automaton worse than a token that is kept out of the background.
+HELD_OUT_LOW = 0.05
+#: Distinct tokens that a task holds before it passes them on.
+HELD_TOKENS = 200_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -167,11 +174,16 @@ class Automaton:
 
 @dataclass
 class Formats:
-    """Automata of the kinds, the background of neighbouring characters, and the score to beat."""
+    """Automata of the kinds, the likelihood for each character from which a token fits one, the background of
+    neighbouring characters, and the score to beat."""
 
     automata: dict[str, Automaton]
-    background: dict[str, float]
-    threshold: float = math.inf
+    levels: dict[str, float]
+    background: dict[str, float] = field(default_factory=dict)
+    threshold: float = LEAST_MARGIN
+
+    def fits(self, token: str) -> bool:
+        return any(a.log_likelihood(token) >= self.levels[k] * len(token) for k, a in self.automata.items())
 
     def score(self, token: str) -> tuple[float, str]:
         """Best log likelihood ratio for each character, and its kind."""
@@ -179,16 +191,38 @@ class Formats:
         best = max((a.log_likelihood(token), k) for k, a in self.automata.items())
         return (best[0] - usual) / len(token), best[1]
 
+    def pairs(self, tokens: Iterable[str]) -> Counter:
+        """Numbers of neighbouring characters in the tokens that fit no automaton."""
+        return Counter(a + b for s in tokens if not self.fits(s) for a, b in zip(s, s[1:], strict=False))
+
+    def learn(self, pairs: dict[str, int]) -> None:
+        firsts: Counter = Counter()
+        for p, n in pairs.items():
+            firsts[p[0]] += n
+        self.background = {p: math.log(n / firsts[p[0]]) for p, n in pairs.items()}
+
+
+def _level(credentials: list[str]) -> float:
+    """What held-out credentials reach with an automaton of the others, but for the lowest HELD_OUT_LOW of them. Not less
+    than half of UNSEEN, which is also the level of kinds with too few credentials to hold some out."""
+    if len(credentials) < 2 * LEAST_SEEN:
+        return UNSEEN / 2
+    dealt = sorted(credentials, key=_order)
+    known = Automaton(sorted(dealt[::2]))
+    reached = sorted(known.log_likelihood(s) / len(s) for s in dealt[1::2])
+    return max(UNSEEN / 2, reached[int(len(reached) * HELD_OUT_LOW)])
+
+
+def formats_of(labelled: dict[str, list[str]]) -> Formats:
+    """Automata of credentials by kind; the background is still to be learnt."""
+    given = {k: labelled[k] for k in KINDS if labelled.get(k)}
+    return Formats({k: Automaton(sorted(v)) for k, v in given.items()}, {k: _level(v) for k, v in given.items()})
+
 
 def infer(examples: dict[str, list[str]]) -> Formats:
-    """``examples``: credentials by kind, and tokens that are none under ``other``."""
-    others = examples.get("other", [])
-    pairs = Counter(a + b for s in others for a, b in zip(s, s[1:], strict=False))
-    firsts = Counter(p[0] for p in pairs.elements())
-    background = {p: math.log(n / firsts[p[0]]) for p, n in pairs.items()}
-    formats = Formats({k: Automaton(sorted(examples[k])) for k in KINDS if examples.get(k)}, background)
-    if formats.automata:
-        formats.threshold = max([LEAST_MARGIN, *(formats.score(s)[0] for s in others)])
+    """``examples``: credentials by kind, and the distinct tokens without a label under ``other``."""
+    formats = formats_of(examples)
+    formats.learn(formats.pairs(examples.get("other", [])))
     return formats
 
 
@@ -200,10 +234,10 @@ def _order(token: str) -> int:
 
 
 def examples(docs: DataFrame, most: int = MAX_EXAMPLES) -> dict[str, list[str]]:
-    """Distinct tokens of each kind with the smallest hashes, at most ``most`` a kind."""
+    """Distinct credentials of each kind with the smallest hashes, at most ``most`` a kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[str, int]] = {k: {} for k in (*KINDS, "other")}
+        held: dict[str, dict[str, int]] = {k: {} for k in KINDS}
         bound = dict.fromkeys(held, 2**63)
 
         def add(kind: str, token: str) -> None:
@@ -215,11 +249,8 @@ def examples(docs: DataFrame, most: int = MAX_EXAMPLES) -> dict[str, list[str]]:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                spans = base_spans(text)
-                for _, _, kind, token in spans:
+                for _, _, kind, token in base_spans(text):
                     add(kind, token)
-                for m in _free_candidates(text, spans):
-                    add("other", m[0])
         rows = [(k, t, o) for k, tokens in held.items() for t, o in sorted(tokens.items(), key=lambda x: x[1])[:most]]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())],
@@ -234,6 +265,30 @@ def examples(docs: DataFrame, most: int = MAX_EXAMPLES) -> dict[str, list[str]]:
     return {k: sorted(v) for k, v in found.items()}
 
 
+def background_pairs(docs: DataFrame, formats: Formats) -> dict[str, int]:
+    """Numbers of neighbouring characters over all distinct candidates that overlap no base span and fit no automaton."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[str] = set()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.update(m[0] for m in _free_candidates(text, base_spans(text)))
+                if len(held) > HELD_TOKENS:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["token"])
+                    held = set()
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["token"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: Counter = Counter()
+        for batch in batches:
+            pairs.update(formats.pairs(batch.column(0).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(pairs), pa.string()), pa.array(list(pairs.values()), pa.int64())], ["pair", "n"])
+
+    distinct = docs.select(text_of(docs).alias("text")).mapInArrow(tokens, "token string").distinct()
+    counts = distinct.mapInArrow(count, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return {r["pair"]: r["n"] for r in counts.collect()}
+
+
 SPANS = "array<struct<start:int,end:int,kind:string>>"
 
 
@@ -266,4 +321,7 @@ def scan(docs: DataFrame, formats: Formats) -> DataFrame:
 
 
 def secret_spans(docs: DataFrame, most: int = MAX_EXAMPLES) -> DataFrame:
-    return scan(docs, infer(examples(docs, most)))
+    formats = formats_of(examples(docs, most))
+    if formats.automata:
+        formats.learn(background_pairs(docs, formats))
+    return scan(docs, formats)

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from reviewtrust.llm import fingerprints
+from reviewtrust.llm import fingerprints, secrets
 from tests.llm import brute as B
 
 
@@ -29,3 +29,21 @@ def test_op4_leaves_no_sample_out(monkeypatch):
     monkeypatch.setattr(fingerprints, "_FIRST", 10**6)  # all pairs at once, none skipped
     assert all(np.array_equal(a, fingerprints.cells_of(t)) for a, t in zip(got, texts, strict=True))
     assert all((g > 0).all() for g in got) and not fingerprints.cells_of(" \n").any()
+
+
+def _secrets_table(words, seed):
+    """Texts with labelled credentials of one format, and the last 40 documents each with an unlabelled one of it."""
+    rng = np.random.default_rng(seed)
+    key = lambda: "QZ" + "".join(rng.choice(list("ABCDEFGHJK0123456789"), 18))
+    word = lambda: "".join(rng.choice(list("aeiourstln"), 14))
+    texts = [f"password = {key()} then " + " ".join(word() for _ in range(words // 200)) for _ in range(200)]
+    planted = [key() for _ in range(40)]
+    return [*texts, *(f"{word()} {k} {word()}" for k in planted)], planted
+
+
+def test_op5_unlabelled_credentials_come_out_of_small_and_large_tables(spark):
+    for words in (600, 6000):  # fewer distinct candidates than MAX_EXAMPLES, and more
+        texts, planted = _secrets_table(words, words)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        added = {(r["doc_id"], texts[r["doc_id"]][s["start"] : s["end"]]) for r in secrets.secret_spans(docs).collect() for s in r["added"]}
+        assert added == {(200 + k, token) for k, token in enumerate(planted)}
