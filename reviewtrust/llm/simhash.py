@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,12 @@ DISTANCE = 2
 SEGMENTS = 9
 BUCKET = 24
 BITS = 64
+#: What the pipeline's stage links besides: the Jaccard similarity of sets of so many words.
+STAGE_SHINGLE = 5
+STAGE_JACCARD = 0.8
+#: Shingles are counted in buckets; one with over COMMON times the mean holds a common shingle.
+BUCKETS = 1 << 20
+COMMON = 16
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -159,11 +166,119 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.join(named, "fp")
 
 
+def _shingle_hashes(text: str, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """The distinct shingles' hashes, ascending; a text of fewer words is one shingle."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    n = max(len(words) - shingle + 1, min(len(words), 1))
+    joined = (b" ".join(words[i : i + shingle]) for i in range(n))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 7) >> 1 for x in joined), np.int64, n))
+
+
+def _text_keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(docs["text"], F.lit(""))
+    return docs.select(F.xxhash64(F.lit(3), text).alias("ta"), F.xxhash64(F.lit(4), text).alias("tb"), text.alias("text"))
+
+
+def _common_buckets(texts: DataFrame) -> list[int]:
+    """Buckets of shingles that hold far more than the mean: at most BUCKETS / COMMON of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                np.add.at(counts, _shingle_hashes(text) & (BUCKETS - 1), 1)
+        full = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(counts[full], pa.int64())], ["bucket", "n"])
+
+    counts = workspace(texts.sparkSession, "simhash-buckets").write(
+        texts.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    )
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = COMMON * max(1.0, total / BUCKETS)
+    return [r["bucket"] for r in counts.where(F.col("n") > least).select("bucket").collect()]
+
+
+def _prefixes(texts: DataFrame, common: list[int]) -> DataFrame:
+    """(ta, tb, n, place, element) of the first shingles of each text: two texts that reach STAGE_JACCARD share one of them.
+
+    The order is one for all texts: shingles of common buckets last, by hash among themselves.
+    """
+    late = np.zeros(BUCKETS, bool)
+    late[common] = True
+    packed = np.packbits(late)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            sets, sizes = [], []
+            for text in batch.column("text").to_pylist():
+                made = _shingle_hashes(text)
+                n = len(made)
+                made = made[np.argsort(late[made & (BUCKETS - 1)], kind="stable")]
+                sets.append(made[: n - int(np.ceil(STAGE_JACCARD * n - 1e-9)) + 1] if n else made)
+                sizes.append(n)
+            elements = pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("ta"), batch.column("tb"), pa.array(sizes, pa.int32()), elements], ["ta", "tb", "n", "elements"])
+
+    made = texts.mapInArrow(run, "ta bigint, tb bigint, n int, elements array<bigint>")
+    return made.select("ta", "tb", "n", F.posexplode("elements").alias("place", "element"))
+
+
+def _whole_sets(texts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([_shingle_hashes(x).tolist() for x in batch.column("text").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("ta"), batch.column("tb"), sets], ["ta", "tb", "elements"])
+
+    return texts.mapInArrow(run, "ta bigint, tb bigint, elements array<bigint>").dropDuplicates(["ta", "tb"])
+
+
+def text_links(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges (a, b) between different roots of roots(ta, tb, root) whose texts have a Jaccard similarity of STAGE_JACCARD
+    or more in shingles of STAGE_SHINGLE words: an exact prefix join over different texts, then the exact check."""
+    space = workspace(docs.sparkSession, "simhash-texts")
+    texts, key = _text_keyed(docs), ["ta", "tb"]
+    prefix = space.write(_prefixes(texts, _common_buckets(texts)).dropDuplicates(["element", *key]))
+    shared = prefix.groupBy("element").agg(F.count("*").alias("holders")).where("holders > 1").select("element")
+    held = space.write(prefix.join(shared, "element").join(roots, key))
+    left, right = (held.select("element", *(F.col(c).alias(f"{s}_{c}") for c in (*key, "n", "place", "root"))) for s in ("l", "r"))
+    possible = F.least(F.col("l_n") - F.col("l_place"), F.col("r_n") - F.col("r_place"))
+    pairs = space.write(
+        left.join(right, "element")
+        .where(F.col("l_root") < F.col("r_root"))
+        .where(F.least("l_n", "r_n") >= (STAGE_JACCARD - 1e-9) * F.greatest("l_n", "r_n"))
+        .where(possible * (1 + STAGE_JACCARD) >= (STAGE_JACCARD - 1e-9) * (F.col("l_n") + F.col("r_n")))
+        .select(*(f"{s}_{c}" for s in ("l", "r") for c in (*key, "root")))
+        .distinct()
+    )
+    wanted = pairs.select(F.col("l_ta").alias("ta"), F.col("l_tb").alias("tb")).unionByName(
+        pairs.select(F.col("r_ta").alias("ta"), F.col("r_tb").alias("tb"))
+    )
+    sets = space.write(_whole_sets(texts.join(wanted.distinct(), key, "left_semi")))
+    a, b = (sets.select(*(F.col(c).alias(f"{s}_{c}") for c in (*key, "elements"))) for s in ("l", "r"))
+    both = pairs.join(a, ["l_ta", "l_tb"]).join(b, ["r_ta", "r_tb"])
+    common = F.size(F.array_intersect("l_elements", "r_elements"))
+    near = common >= (STAGE_JACCARD - 1e-9) * (F.size("l_elements") + F.size("r_elements") - common)
+    return both.where(near).select(F.col("r_root").alias("a"), F.col("l_root").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of each component (of equal ids, the smallest row key), once."""
+    """The row with the smallest doc_id of each group of near copies (of equal ids, the smallest row key), once.
+
+    Groups are joined by the fingerprints' links and by those of ``text_links``.
+    """
+    space = workspace(docs.sparkSession, "simhash-stage")
+    rows = space.write(components(docs).select("doc_id", "ka", "kb", "root"))
+    keyed = with_row_key(docs, ("ka", "kb"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    of_text = keyed.select("ka", "kb", F.xxhash64(F.lit(3), text).alias("ta"), F.xxhash64(F.lit(4), text).alias("tb")).distinct()
+    # Equal texts have equal fingerprints, and so one root.
+    roots = space.write(of_text.join(rows.select("ka", "kb", "root").distinct(), ["ka", "kb"]).groupBy("ta", "tb").agg(F.first("root").alias("root")))
+    edges = text_links(docs, roots).select(F.lit(0).alias("all"), "a", "b")
+    found = connected_components(edges, "all").select(F.col("node").alias("root"), F.col("component").alias("joined"))
     chosen = (
-        components(docs)
-        .groupBy("root")
+        rows.join(found, "root", "left")
+        .groupBy(F.coalesce("joined", "root").alias("group"))
         .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "ka", "kb")).alias("r"))
         .select(F.col("r.ka").alias("_ka"), F.col("r.kb").alias("_kb"))
     )

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from reviewtrust.llm import fingerprints, secrets
+from reviewtrust.llm import fingerprints, secrets, simhash
 from tests.llm import brute as B
 
 
@@ -47,3 +47,25 @@ def test_op5_unlabelled_credentials_come_out_of_small_and_large_tables(spark):
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
         added = {(r["doc_id"], texts[r["doc_id"]][s["start"] : s["end"]]) for r in secrets.secret_spans(docs).collect() for s in r["added"]}
         assert added == {(200 + k, token) for k, token in enumerate(planted)}
+
+
+def test_pipeline_removes_near_copies_that_fingerprints_miss(spark):
+    rng = np.random.default_rng(6)
+    rows, groups = [], []
+    for k in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        other = list(words)
+        for at in rng.choice(190, 3 if k < 15 else 12, replace=False):  # 12 changed words are too many
+            other[at] = f"x{k}{at}"
+        rows += [(2 * k, " ".join(words), "en", "s"), (2 * k + 1, " ".join(other), "en", "s")]
+        near = len(_shingles(words) & _shingles(other)) >= 0.8 * len(_shingles(words) | _shingles(other))
+        groups += [2 * k] if near else [2 * k, 2 * k + 1]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert 15 <= 60 - len(groups) < 30
+    prints = [simhash.simhash(r[1]) for r in rows]
+    assert any((prints[i] ^ prints[i + 1]).bit_count() > 2 for i in range(0, 30, 2))
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == groups
+
+
+def _shingles(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
