@@ -9,7 +9,8 @@ there and each distinct chunk encoded once by the library itself:
 
 A chunk of letters that ends in punctuation marks is cut before the marks as well. Where the tokenizer itself
 lower-cases, plain ASCII pieces are remembered in lower case. Anything unusual goes to the library in larger
-pieces. The memo is bounded and starts anew when full.
+pieces, and a text that holds an added token of the tokenizer's file (in any case) goes there whole, since the library
+takes those out before anything else. The memo is bounded in bytes and starts anew when full.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ _ODD_SPACE = re.compile(r"[ \n](?:\s|\Z)")
 _CUT = re.compile(r"(?=[ \n]\S)")
 #: No apostrophe: it starts contractions.
 _MARKS = ".,;:!?*#$%&"
-LIMIT = 600_000
+#: Bytes that one encoder's memo may take, and what an entry takes besides its characters and ids.
+LIMIT = 48 << 20
+_ENTRY = 220
 #: Words encoded as one text where their ends can be told from the ids.
 _JOINED = 1_000
 
@@ -55,32 +58,42 @@ class ChunkEncoder:
     """``encode(text)`` gives the ids of a text as little-endian unsigned 32-bit integers.
 
     ``library(texts)`` encodes a list of strings to such bytes each; ``spaces`` tells whether
-    white space belongs to the tokens, ``lower`` whether the library lower-cases ASCII letters itself.
+    white space belongs to the tokens, ``lower`` whether the library lower-cases ASCII letters itself, ``added`` which
+    strings it takes out of a text first. ``limit`` bounds the memo in bytes.
     """
 
-    def __init__(self, library: Callable[[list[str]], list[bytes]], spaces: bool, limit: int = LIMIT, lower: bool = False):
+    def __init__(
+        self,
+        library: Callable[[list[str]], list[bytes]],
+        spaces: bool,
+        limit: int = LIMIT,
+        lower: bool = False,
+        added: tuple[str, ...] = (),
+    ):
         self._library, self._spaces, self._lower = library, spaces, lower
+        self._added, self._opening = tuple(a.lower() for a in added), os.path.commonprefix([a.lower() for a in added])
         self._by_chunk: dict[str, bytes] = {}
-        # Without white space in the tokens a piece is a chunk as well: one memo serves both, and may hold as much.
+        # Without white space in the tokens a piece is a chunk as well: one memo serves both.
         self._by_piece: dict[str, bytes] = {} if spaces else self._by_chunk
-        self._limit = limit if spaces else 2 * limit
+        self._limit, self._held = limit, 0
 
     def _learn(self, wanted: set[str], whole: Callable[[str], str]) -> None:
         known, cut = self._by_piece, {c: _pieces(whole(c)) for c in wanted}
         fresh = list({p for pieces in cut.values() for p in pieces if p not in known})
         known.update(zip(fresh, self._library(fresh), strict=True))
-        self._by_chunk.update(
-            [(c, known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p])) for c, p in cut.items()]
-        )
+        joined = [(c, known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p])) for c, p in cut.items()]
+        self._by_chunk.update(joined)
+        self._held += sum(_ENTRY + len(c) + len(v) for c, v in joined) + sum(_ENTRY + len(p) + len(known[p]) for p in fresh)
 
     def _known(self, chunks: list[str], whole: Callable[[str], str]) -> bytes:
-        for memo in (self._by_chunk, self._by_piece):
-            if len(memo) > self._limit:
-                memo.clear()
+        if self._held > self._limit:
+            self._by_chunk.clear()
+            self._by_piece.clear()
+            self._held = 0
         found = list(map(self._by_chunk.get, chunks))
         if None in found:
             missing = {c for c, v in zip(chunks, found, strict=True) if v is None}
-            if len(missing) + len(self._by_chunk) > 2 * self._limit:  # one enormous text
+            if sum(map(len, missing)) + _ENTRY * len(missing) > self._limit:  # one enormous text
                 return b"".join(self._library([whole(c) for c in chunks]))
             self._learn(missing, whole)
             found = map(self._by_chunk.__getitem__, chunks)
@@ -89,9 +102,18 @@ class ChunkEncoder:
     def _as_lower(self, chunk: str) -> str:
         return chunk.lower() if self._lower and chunk.isascii() else chunk
 
+    def _holds_added(self, text: str) -> bool:
+        # The opening is looked for first where case can't matter to it: a cheap search that nearly no text passes.
+        if not self._added or (self._opening.upper() == self._opening and self._opening not in text):
+            return False
+        low = text.lower()
+        return any(a in low for a in self._added)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self._holds_added(text):
+            return self._library([text])[0]
         if not self._spaces:
             return self._known([c for c in text.replace("\n", " ").split(" ") if c], self._as_lower)
         if _ODD_SPACE.search(text):
@@ -144,12 +166,13 @@ def word_library(content: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
-def _word_vocabulary(content: str) -> tuple[bool, bool]:
-    """Whether words' last tokens are marked, and whether the tokenizer lower-cases."""
+def _word_vocabulary(content: str) -> tuple[bool, bool, tuple[str, ...]]:
+    """Whether words' last tokens are marked, whether the tokenizer lower-cases, and its added tokens."""
     described = json.loads(content)
     normalizer = described["normalizer"] or {}
     steps = normalizer.get("normalizers", [normalizer])
-    return bool(described["model"].get("end_of_word_suffix")), any(n.get("type") == "Lowercase" for n in steps)
+    added = tuple(a["content"] for a in described.get("added_tokens") or ())
+    return bool(described["model"].get("end_of_word_suffix")), any(n.get("type") == "Lowercase" for n in steps), added
 
 
 _ENCODERS: dict[tuple[int, int, bool], ChunkEncoder] = {}
@@ -159,7 +182,7 @@ def worker_encoder(content: str, spaces: bool) -> ChunkEncoder:
     """One encoder for each Python worker and tokenizer file, kept over its tasks."""
     key = (len(content), hash(content), spaces)
     if key not in _ENCODERS:
-        marked, lower = _word_vocabulary(content)
+        marked, lower, added = _word_vocabulary(content)
         library = word_library(content) if marked and not spaces else tokenizer_library(content)
-        _ENCODERS[key] = ChunkEncoder(library, spaces, lower=lower)
+        _ENCODERS[key] = ChunkEncoder(library, spaces, lower=lower, added=added)
     return _ENCODERS[key]
