@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from reviewtrust.llm import (
     byte_bpe,
+    collocations,
+    fill_middle,
     fingerprints,
     line_dedup,
     mixing,
+    packing,
     quality,
     repair,
     rules,
@@ -173,3 +176,64 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         _sha256(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    "op11_fill_middle",
+    r"""with doc as (select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+cut as (select doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as units, ('0x' || substr(h, 1, 8))::bigint as h1,
+  ('0x' || substr(h, 9, 8))::bigint as h2, ('0x' || substr(h, 25, 8))::bigint as h4 from doc),
+drawn as (select *, cast(len(units) as bigint) as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as a,
+  greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as b,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from cut),
+part as (select *, coalesce(array_to_string(units[1:a], ''), '') as prefix, coalesce(array_to_string(units[a + 1:b], ''), '') as middle,
+  coalesce(array_to_string(units[b + 1:], ''), '') as suffix from drawn)
+select doc_id, n, form, case when form <> 'plain' then cast(length(prefix) as bigint) end as prefix_chars,
+  case when form <> 'plain' then cast(length(middle) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256
+from part""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_middle.fill_middle(read(spark, sf_dir))
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return done.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        _sha256(F.col("output")).alias("output_sha256"),
+        _sha256(restored).alias("restored_sha256"),
+    )
+
+
+@query(
+    "op12_collocations",
+    r"""with doc as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+piece as (select lang, unnest(string_split_regex(text, '[.,;:!?
+-]')) as piece from doc),
+line as (select lang, regexp_extract_all(piece, '[^ 	]+') as words from piece),
+total as (select lang, sum(len(words))::hugeint as n from line group by lang),
+gram as (select lang, unnest(flatten(list_transform(range(1, len(words) + 1), lambda i: list_transform(range(i, least(i + 4, len(words)) + 1), lambda j: words[i:j])))) as words from line),
+f as (select lang, words, count(*) as a from gram group by lang, words having count(*) >= 100),
+cut as (select f.*, unnest(range(1, len(words))) as k from f where len(words) > 1),
+scored as (select c.lang, c.words, c.a, c.k, x.a as l, y.a as r, t.n, (1000 * c.a::hugeint * t.n) // (x.a::hugeint * y.a) as score
+  from cut c join f x on x.lang = c.lang and x.words = c.words[1:c.k] join f y on y.lang = c.lang and y.words = c.words[c.k + 1:]
+  join total t on t.lang = c.lang),
+lowest as (select * from scored qualify row_number() over (partition by lang, words order by score, k) = 1),
+inner_parts as (select lang, a, len(words) as size, unnest(flatten(list_transform(range(1, len(words) + 1), lambda i: list_transform(range(i, len(words) + 1), lambda j: words[i:j])))) as words from f),
+around as (select lang, words, max(a) as a from inner_parts where len(words) < size group by lang, words),
+kept as (select s.lang, array_to_string(s.words, ' ') as phrase, s.a, s.l, s.r, s.n, s.score from lowest s
+  left join around o on o.lang = s.lang and o.words = s.words where o.a is null or 100 * o.a < 100 * s.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from ranked where rank <= 2000""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir))
+
+
+@query("op13_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, _ = packing.pack(read(spark, sf_dir), _content("word_bpe_49k.json"))
+    return placed.select("doc_id", "start", F.col("length").cast("bigint"), "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -134,3 +134,64 @@ def secret_spans(text):
             if len(m[group]) >= least:
                 found.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
     return [s for *_, s in sorted(found)]
+
+
+def filled_middle(doc_id, text):
+    text, h = text or "", sha(f"7:{'' if doc_id is None else doc_id}")
+    h1, h2, _, h4 = (int(h[8 * k : 8 * k + 8], 16) for k in range(4))
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    a, b = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+    prefix, middle, suffix = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")):
+        return doc_id, len(units), "plain", None, None, sha(text), sha(text)
+    form = "spm" if h4 % 100 < 50 else "psm"
+    output = f"<P>{prefix}<S>{suffix}<M>{middle}" if form == "psm" else f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return doc_id, len(units), form, len(prefix), len(middle), sha(output), sha(text)
+
+
+def collocations(rows, longest=5, least=100, top=2000):
+    """(lang, text) to (lang, rank, phrase, a, l, r, n, score)."""
+    f, totals = Counter(), Counter()
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(lower)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            f.update((lang, *words[i:j]) for i in range(len(words)) for j in range(i + 1, min(i + longest, len(words)) + 1))
+    often = {p: a for p, a in f.items() if a >= least}
+    inside = Counter()
+    for (lang, *words), a in often.items():
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                if j - i < len(words):
+                    inside[lang, *words[i:j]] = max(inside[lang, *words[i:j]], a)
+    found = defaultdict(list)
+    for p, a in often.items():
+        lang, *words = p
+        if len(words) > 1 and 100 * inside[p] < 100 * a:
+            n = totals[lang]
+            cuts = [(1000 * a * n // (f[lang, *words[:k]] * f[lang, *words[k:]]), k) for k in range(1, len(words))]
+            score, k = min(cuts)
+            found[lang].append((-score, -a, " ".join(words).encode(), f[lang, *words[:k]], f[lang, *words[k:]], n))
+    return [
+        (lang, rank, phrase.decode(), -a, left, right, n, -score)
+        for lang, phrases in found.items()
+        for rank, (score, a, phrase, left, right, n) in enumerate(sorted(phrases)[:top], 1)
+    ]
+
+
+def best_fit(lengths, size):
+    """Windows and offsets by looking at every open window; of equal rooms the last one that came to have it."""
+    room, out, since = [], [], []
+    for step, n in enumerate(lengths):
+        fits = [w for w, r in enumerate(room) if r >= n]
+        if not fits:
+            room.append(size)
+            since.append(step)
+            fits = [len(room) - 1]
+        w = min(fits, key=lambda w: (room[w], -since[w]))
+        out.append((w, size - room[w]))
+        room[w] -= n
+        since[w] = step
+    return out

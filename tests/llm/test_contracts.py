@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from reviewtrust.llm import queries as Q
 from reviewtrust.llm import rules, simhash
-from reviewtrust.llm.chunks import ChunkEncoder, tokenizer_library
+from reviewtrust.llm.chunks import ChunkEncoder, tokenizer_library, worker_encoder
 from reviewtrust.llm.repair import compress, expand, expand_range
 from reviewtrust.llm.secrets import Automaton, infer
 
@@ -31,6 +31,8 @@ EDGES = [
     (15, "it's <|endoftext|> İ. é̀ \U0001f600!!.. x² 12345 don't 你好", "fr", "a"),
     (16, "z" * 5000 + "aaaa" * 700, "fr", "a"),
     (17, "a b c d e f g h " * 6, "en", "b"),
+    (18, "A<|ENDOFTEXT|>b.\n\n<|endoftext|>\n\n <|StartOfText|>x <|startoftext|>\n", "en", "a"),
+    (19, "a text with <P> in it\nand <M>", "en", "a"),
     *((k, "copied text of ten words that is here nine times", "es", "hot") for k in range(20, 29)),
 ]
 
@@ -172,6 +174,43 @@ def test_op10_ids_and_round_trip(data):
     assert run("op10_byte_bpe") == sorted(want)
 
 
+def test_op11_forms_and_restored_texts(data):
+    rows, run = data
+    assert run("op11_fill_middle") == sorted(B.filled_middle(d, x) for d, x, _ in rows)
+
+
+def test_op13_pieces(data):
+    rows, run = data
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    whole, places, got = defaultdict(list), defaultdict(list), run("op13_packing")
+    for d, x, _ in rows:
+        whole[d].append([*t.encode(x or "", add_special_tokens=False).ids, 1])
+    want = []
+    for d, copies in whole.items():
+        for ids in copies:
+            cuts = [(a, ids[a : a + 2048]) for a in range(0, len(ids), 2048)]
+            want += [(d, a, len(c), zlib.crc32(np.array(c, "<u4").tobytes()), len(ids)) for a, c in cuts]
+    assert [g[:5] for g in got] == sorted(want)
+    for _, _, length, _, _, sequence, offset in got:
+        places[sequence].append((offset, length))
+    for pieces in places.values():
+        ends = [0, *(a + n for a, n in sorted(pieces))]
+        assert [a for a, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= 2048
+    full = sum(len(i) for copies in whole.values() for i in copies)
+    assert len(places) <= -(-full // 2048) + max(1, 0.02 * len(places))
+
+
+@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+def test_null_ids_and_texts_that_share_one(spark, tmp_path, name):
+    rows = [(None, "one text", "en", "a"), (None, "another text", None, "a"), (3, "x y z", "en", None), (3, "u v\nw", "en", "b")]
+    rows += [(None, None, None, None), (3, None, "en", "b"), (3, "x y z", "en", None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = Q.QUERIES[name](spark, str(tmp_path)).collect()
+    if name != "op12_collocations":
+        assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+
+
 def test_pipeline_stages(spark, tables):
     import corpus_pipeline as C
 
@@ -250,11 +289,23 @@ def test_grammar_round_trip_and_random_access():
 def test_memo_that_overflows_stays_exact():
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        encoder = ChunkEncoder(tokenizer_library(f.read()), True, limit=20)
+        encoder = ChunkEncoder(tokenizer_library(f.read()), True, limit=9000)
     for x in [" ".join(f"w{i}{j}." for j in range(i + 1)) for i in range(60)]:
         assert encoder.encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@pytest.mark.parametrize(("name", "spaces"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_added_tokens_in_any_case_and_beside_anything(name, spaces):
+    rng = np.random.default_rng(11)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|StartOfText|>", "<|", "|>", " ", "\n", "\n\n", "  ", "\t", "."]
+    parts += ["!", "'s", "'", "word", "Word", "é", "İ", "12", "<", ">", "\x1c", "你", "x²"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(20000)]
+    with open(P.path(name), encoding="utf-8") as f:
+        content = f.read()
+    encoder, want = worker_encoder(content, spaces), Tokenizer.from_str(content).encode_batch(texts, add_special_tokens=False)
+    assert [encoder.encode(t) for t in texts] == [np.array(w.ids, "<u4").tobytes() for w in want]
+
+
 def test_automata_tell_formats_apart():
     rng = np.random.default_rng(4)
     draw = lambda letters, n: "".join(rng.choice(list(letters), n))
