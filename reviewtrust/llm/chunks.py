@@ -29,6 +29,7 @@ _CUT = re.compile(r"(?=[ \n]\S)")
 _MARKS = ".,;:!?*#$%&"
 #: Bytes that one encoder's memo may take, and what an entry takes besides its characters and ids.
 LIMIT = 48 << 20
+WORD_LIMIT = 192 << 20
 _ENTRY = 220
 #: Words encoded as one text where their ends can be told from the ids.
 _JOINED = 1_000
@@ -123,6 +124,76 @@ class ChunkEncoder:
         return first + self._known(rest, lambda c: c if c[0] == "\n" else f" {c}")
 
 
+#: The split pattern of word vocabularies, without the added tokens, and the same for texts of ASCII and Latin letters.
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f"
+_FIND_WORDS = re.compile(rf"[{_LATIN}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[\x00-\x08\x0e-\x1f!-/:-@\[-`{{-\x7f]+").findall
+#: Latin letters end here; beyond, lower case may depend on neighbours.
+_LATIN_END = 0x250
+
+
+def _latin(char: str) -> bool:
+    """A letter that is one letter when lower-cased and normalised."""
+    low = char.lower()
+    return ord(char) < _LATIN_END and char.isalpha() and len(low) == 1 and unicodedata.category(char)[0] == "L" and unicodedata.is_normalized("NFC", char + low)
+
+
+class _Generation(dict):
+    """A memo of strings' ids that makes what it lacks, or takes it from the memo before it."""
+
+    def __init__(self, make: Callable[[str], bytes], old: dict[str, bytes]):
+        super().__init__()
+        self._make, self._old, self.held = make, old, 0
+
+    def __missing__(self, item: str) -> bytes:
+        value = self._old.get(item)
+        if value is None:
+            value = self._make(item)
+        self[item] = value
+        self.held += _ENTRY + len(item) + len(value)
+        return value
+
+    def next(self) -> _Generation:
+        """An empty memo after this one."""
+        self._old = {}
+        return _Generation(self._make, self)
+
+
+class WordEncoder(ChunkEncoder):
+    """The same for a vocabulary that marks the last token of each word, lower-cases and splits as ``_WORD_SPLIT`` does.
+
+    A text of ASCII and Latin letters is split here, and ``word(string)`` gives the ids of a new pre-token; other texts go
+    the way of chunks.
+    """
+
+    def __init__(self, library, word: Callable[[str], bytes], memo: int = WORD_LIMIT, **options):
+        super().__init__(library, False, **options)
+        self._safe, self._memo = set(map(chr, range(128))), memo
+        # What is met again stays: each memo is followed by an empty one when it is half full.
+        self._chunks, self._words = _Generation(self._of_chunk, {}), _Generation(word, {})
+
+    def encode(self, text: str | None) -> bytes:
+        if not text or not self._splits(text) or self._holds_added(text):
+            return super().encode(text)
+        if self._chunks.held > self._memo // 3:
+            self._chunks = self._chunks.next()
+        if self._words.held > self._memo // 6:
+            self._words = self._words.next()
+        return b"".join(map(self._chunks.__getitem__, text.lower().replace("\n", " ").split(" ")))
+
+    def _of_chunk(self, chunk: str) -> bytes:
+        words = _FIND_WORDS(chunk)
+        return self._words[words[0]] if len(words) == 1 else b"".join(map(self._words.__getitem__, words))
+
+    def _splits(self, text: str) -> bool:
+        if text.isascii():
+            return True
+        others = set(text) - self._safe
+        fine = {c for c in others if _latin(c)}
+        self._safe |= fine
+        return len(fine) == len(others)
+
+
 def tokenizer_library(content: str) -> Callable[[list[str]], list[bytes]]:
     """The tokenizers library on a tokenizer file's content: no added special tokens, truncation or padding."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task for each core already
@@ -166,6 +237,34 @@ def word_library(content: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
+def pretoken_word(content: str) -> Callable[[str], bytes] | None:
+    """Ids of a pre-token by the library's model alone; None if the file splits otherwise than ``_WORD_SPLIT``."""
+    described = json.loads(content)
+    steps = (described["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    lower = [n.get("type") for n in (described["normalizer"] or {}).get("normalizers", ())]
+    if steps[0].get("pattern") != {"Regex": _WORD_SPLIT} or lower != ["NFC", "Replace", "Lowercase"] or len(steps) != 2 or steps[1]["type"] != "ByteLevel":
+        return None
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    tokenizer, level = Tokenizer.from_str(content), ByteLevel(add_prefix_space=False, use_regex=False)
+    tokenize = tokenizer.model.tokenize
+    # The library's character for each byte, by the Latin-1 character of that byte. No UTF-8 text has the bytes above 0xF4.
+    ascii_ = {k: level.pre_tokenize_str(chr(k))[0][0] for k in range(128)}
+    wide = {}
+    for lead in (*range(0x80, 0x800, 0x40), *range(0x80, 0xC0)):
+        for k, c in zip(chr(lead).encode(), level.pre_tokenize_str(chr(lead))[0][0], strict=True):
+            wide[k] = c
+    characters, as_bytes = ascii_ | wide, [k.to_bytes(4, "little") for k in range(tokenizer.get_vocab_size())]
+
+    def encode(word: str) -> bytes:
+        # Letters of ASCII stand for their own bytes; the others here are Latin, of two bytes.
+        coded = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(characters)
+        return b"".join([as_bytes[t.id] for t in tokenize(coded)])
+
+    return encode
+
+
 def _word_vocabulary(content: str) -> tuple[bool, bool, tuple[str, ...]]:
     """Whether words' last tokens are marked, whether the tokenizer lower-cases, and its added tokens."""
     described = json.loads(content)
@@ -184,5 +283,7 @@ def worker_encoder(content: str, spaces: bool) -> ChunkEncoder:
     if key not in _ENCODERS:
         marked, lower, added = _word_vocabulary(content)
         library = word_library(content) if marked and not spaces else tokenizer_library(content)
-        _ENCODERS[key] = ChunkEncoder(library, spaces, lower=lower, added=added)
+        word = pretoken_word(content) if marked and lower and not spaces else None
+        options = {"lower": lower, "added": added}
+        _ENCODERS[key] = WordEncoder(library, word, **options) if word else ChunkEncoder(library, spaces, **options)
     return _ENCODERS[key]
