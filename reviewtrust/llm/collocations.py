@@ -48,6 +48,10 @@ PART = 4 << 20
 #: Rows of each of so many parts are ranked before all of a language's are.
 RANK_PARTS = 64
 
+#: The phrases' counts are dealt to one part for each PART_WORDS words of the corpus, but to so many at least.
+PARTS = 64
+PART_WORDS = 1 << 20
+
 #: No byte of UTF-8 text: stands between pieces.
 _BREAK = b"\xff"
 _TABLE = bytes.maketrans(
@@ -135,9 +139,9 @@ def _add(counts: Counter, lang: str, words: list[bytes]) -> None:
         counts[lang, word] += n
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    """The counts as rows; empties them."""
-    items = [(lang, phrase, n) for (lang, phrase), n in counts.items() if phrase != _BREAK]
+def _counted(counts: Counter, least: int = 1) -> pa.RecordBatch:
+    """The counts from ``least`` on as rows; empties them."""
+    items = [(lang, phrase, n) for (lang, phrase), n in counts.items() if n >= least and phrase != _BREAK]
     counts.clear()
     langs, phrases, numbers = zip(*items, strict=True) if items else ((), (), ())
     return pa.RecordBatch.from_arrays(
@@ -200,20 +204,47 @@ def _filter(texts: DataFrame, order: int, passing: dict[int, np.ndarray], bits:
     return out
 
 
-def _run_counts(texts: DataFrame, passing: dict[int, np.ndarray], bits: int, longest: int) -> DataFrame:
-    """(lang, phrase, n) of the longest passing runs of two words or more."""
+def _run_counts(texts: DataFrame, passing: dict[int, np.ndarray], bits: int, longest: int, least: int, parts: int) -> DataFrame:
+    """(lang, phrase, n) of the phrases of two words or more that the longest passing runs begin with, from ``least`` on.
+
+    A task sends its counts by hash in ``parts`` parts, one row for each; the sums are made part by part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, hashes = Counter(), _Hashes()
         for lang, words in _parts(batches):
             runs = _runs(hashes.of(words), lang, passing, bits, longest)
-            at = np.flatnonzero(runs >= 2)
-            _add(counts, lang, [b" ".join(words[i:j]) for i, j in zip(at.tolist(), (at + runs[at]).tolist(), strict=True)])
+            for size in range(2, longest + 1):
+                at = np.flatnonzero(runs >= size).tolist()
+                _add(counts, lang, [b" ".join(words[i : i + size]) for i in at])
             if len(counts) > HELD:
-                yield _counted(counts)
-        yield _counted(counts)
+                yield from send(counts)
+        yield from send(counts)
+
+    def send(counts: Counter) -> Iterator[pa.RecordBatch]:
+        dealt: dict[int, list] = {}
+        for key, n in counts.items():
+            dealt.setdefault(xxhash.xxh3_64_intdigest(key[1], 5) % parts, []).append((*key, n))
+        counts.clear()
+        for part, items in dealt.items():
+            langs, phrases, numbers = zip(*items, strict=True)
+            columns = [pa.array([list(langs)]), pa.array([[p.decode() for p in phrases]]), pa.array([list(numbers)])]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *columns], ["part", "langs", "phrases", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, current = Counter(), None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                part, *lists = (batch.column(c)[row].as_py() for c in range(4))
+                if part != current:
+                    yield _counted(sums, least)
+                    current = part
+                for lang, phrase, n in zip(*lists, strict=True):
+                    sums[lang, phrase.encode()] += n
+        yield _counted(sums, least)
 
-    return texts.mapInArrow(run, "lang string, phrase string, n bigint")
+    sent = texts.mapInArrow(run, "part int, langs array<string>, phrases array<string>, counts array<bigint>")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(add, "lang string, phrase string, n bigint")
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -229,10 +260,8 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     for order in FILTERED:
         if order <= longest:
             passing[order] = _filter(texts, order, passing, bits, least)
-    parts = F.split("phrase", " ")
-    begun = F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.slice(parts, F.lit(1), k)))
-    runs = _run_counts(texts, passing, bits, longest).select("lang", begun.alias("words"), "n")
-    longer = runs.groupBy("lang", "words").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    counted = _run_counts(texts, passing, bits, longest, least, max(PARTS, corpus // PART_WORDS))
+    longer = counted.select("lang", F.split("phrase", " ").alias("words"), F.col("n").alias("a"))
     single = words.where(F.col("n") >= least).select("lang", F.array("phrase").alias("words"), F.col("n").alias("a"))
     return space.write(single.unionByName(longer)), totals
 
