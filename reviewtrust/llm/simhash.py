@@ -39,7 +39,7 @@ BITS = 64
 STAGE_SHINGLE = 5
 STAGE_JACCARD = 0.8
 #: Shingles are counted in buckets; one with over COMMON times the mean holds a common shingle.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 16
 COMMON = 16
 
 
@@ -174,9 +174,14 @@ def _shingle_hashes(text: str, shingle: int = STAGE_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 7) >> 1 for x in joined), np.int64, n))
 
 
-def _text_keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(docs["text"], F.lit(""))
-    return docs.select(F.xxhash64(F.lit(3), text).alias("ta"), F.xxhash64(F.lit(4), text).alias("tb"), text.alias("text"))
+def _different_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """id, root and text of every different text, from the rows (ka, kb, root, ta, tb): ids are numbers of a written table."""
+    space = workspace(docs.sparkSession, "simhash-texts")
+    first = rows.groupBy("ta", "tb").agg(F.min(F.struct("ka", "kb", "root")).alias("r")).select("r.ka", "r.kb", "r.root")
+    keyed = with_row_key(docs, ("ka", "kb")).select("ka", "kb", F.coalesce(docs["text"], F.lit("")).alias("text"))
+    # A repeated row has its key twice; both are in one task here.
+    once = keyed.join(first, ["ka", "kb"]).groupBy("ka", "kb").agg(F.first("root").alias("root"), F.first("text").alias("text"))
+    return space.write(once.select(F.monotonically_increasing_id().alias("id"), "root", "text"))
 
 
 def _common_buckets(texts: DataFrame) -> list[int]:
@@ -191,7 +196,7 @@ def _common_buckets(texts: DataFrame) -> list[int]:
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(counts[full], pa.int64())], ["bucket", "n"])
 
     counts = workspace(texts.sparkSession, "simhash-buckets").write(
-        texts.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+        texts.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     )
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = COMMON * max(1.0, total / BUCKETS)
@@ -199,7 +204,7 @@ def _common_buckets(texts: DataFrame) -> list[int]:
 
 
 def _prefixes(texts: DataFrame, common: list[int]) -> DataFrame:
-    """(ta, tb, n, place, element) of the first shingles of each text: two texts that reach STAGE_JACCARD share one of them.
+    """(element, id, root, n, place) of the first shingles of each text: two texts that reach STAGE_JACCARD share one of them.
 
     The order is one for all texts: shingles of common buckets last, by hash among themselves.
     """
@@ -210,56 +215,82 @@ def _prefixes(texts: DataFrame, common: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = np.unpackbits(packed).astype(bool)
         for batch in batches:
-            sets, sizes = [], []
-            for text in batch.column("text").to_pylist():
-                made = _shingle_hashes(text)
-                n = len(made)
-                made = made[np.argsort(late[made & (BUCKETS - 1)], kind="stable")]
-                sets.append(made[: n - int(np.ceil(STAGE_JACCARD * n - 1e-9)) + 1] if n else made)
-                sizes.append(n)
-            elements = pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("ta"), batch.column("tb"), pa.array(sizes, pa.int32()), elements], ["ta", "tb", "n", "elements"])
-
-    made = texts.mapInArrow(run, "ta bigint, tb bigint, n int, elements array<bigint>")
-    return made.select("ta", "tb", "n", F.posexplode("elements").alias("place", "element"))
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                elements, repeats, sizes, places = [], [], [], []
+                for text in part.column("text").to_pylist():
+                    made = _shingle_hashes(text)
+                    n = len(made)
+                    made = made[np.argsort(late[made & (BUCKETS - 1)], kind="stable")]
+                    made = made[: n - int(np.ceil(STAGE_JACCARD * n - 1e-9)) + 1] if n else made
+                    elements.append(made)
+                    repeats.append(len(made))
+                    sizes.append(n)
+                    places.append(np.arange(len(made), dtype=np.int32))
+                ids, roots = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), repeats) for c in ("id", "root"))
+                columns = (np.concatenate(elements), ids, roots, np.repeat(np.array(sizes, np.int32), repeats), np.concatenate(places))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["element", "id", "root", "n", "place"])
+
+    return texts.mapInArrow(run, "element bigint, id bigint, root bigint, n int, place int")
 
 
 def _whole_sets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = pa.array([_shingle_hashes(x).tolist() for x in batch.column("text").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("ta"), batch.column("tb"), sets], ["ta", "tb", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), sets], ["id", "root", "elements"])
 
-    return texts.mapInArrow(run, "ta bigint, tb bigint, elements array<bigint>").dropDuplicates(["ta", "tb"])
+    return texts.mapInArrow(run, "id bigint, root bigint, elements array<bigint>")
 
 
-def text_links(docs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Edges (a, b) between different roots of roots(ta, tb, root) whose texts have a Jaccard similarity of STAGE_JACCARD
-    or more in shingles of STAGE_SHINGLE words: an exact prefix join over different texts, then the exact check."""
-    space = workspace(docs.sparkSession, "simhash-texts")
-    texts, key = _text_keyed(docs), ["ta", "tb"]
-    prefix = space.write(_prefixes(texts, _common_buckets(texts)).dropDuplicates(["element", *key]))
-    shared = prefix.groupBy("element").agg(F.count("*").alias("holders")).where("holders > 1").select("element")
-    held = space.write(prefix.join(shared, "element").join(roots, key))
-    left, right = (held.select("element", *(F.col(c).alias(f"{s}_{c}") for c in (*key, "n", "place", "root"))) for s in ("l", "r"))
+def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
+    return rows.select("element", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "root", "n", "place", *more)))
+
+
+def _may_reach(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs of texts whose sizes and places of a common shingle still allow STAGE_JACCARD."""
     possible = F.least(F.col("l_n") - F.col("l_place"), F.col("r_n") - F.col("r_place"))
-    pairs = space.write(
-        left.join(right, "element")
-        .where(F.col("l_root") < F.col("r_root"))
-        .where(F.least("l_n", "r_n") >= (STAGE_JACCARD - 1e-9) * F.greatest("l_n", "r_n"))
+    return (
+        pairs.where(F.least("l_n", "r_n") >= (STAGE_JACCARD - 1e-9) * F.greatest("l_n", "r_n"))
         .where(possible * (1 + STAGE_JACCARD) >= (STAGE_JACCARD - 1e-9) * (F.col("l_n") + F.col("r_n")))
-        .select(*(f"{s}_{c}" for s in ("l", "r") for c in (*key, "root")))
+        .select("l_id", "r_id")
         .distinct()
     )
-    wanted = pairs.select(F.col("l_ta").alias("ta"), F.col("l_tb").alias("tb")).unionByName(
-        pairs.select(F.col("r_ta").alias("ta"), F.col("r_tb").alias("tb"))
-    )
-    sets = space.write(_whole_sets(texts.join(wanted.distinct(), key, "left_semi")))
-    a, b = (sets.select(*(F.col(c).alias(f"{s}_{c}") for c in (*key, "elements"))) for s in ("l", "r"))
-    both = pairs.join(a, ["l_ta", "l_tb"]).join(b, ["r_ta", "r_tb"])
-    common = F.size(F.array_intersect("l_elements", "r_elements"))
-    near = common >= (STAGE_JACCARD - 1e-9) * (F.size("l_elements") + F.size("r_elements") - common)
-    return both.where(near).select(F.col("r_root").alias("a"), F.col("l_root").alias("b")).distinct()
+
+
+def text_links(texts: DataFrame) -> DataFrame:
+    """Edges (a, b) between roots of texts(id, root, text) that join exactly what the links of Jaccard similarity STAGE_JACCARD or
+    more in shingles of STAGE_SHINGLE words join: an exact prefix join, then the exact check.
+
+    Shingles that one text alone holds end with the only shuffle of the prefixes. The others' holders are first checked against their
+    lowest one; of all other pairs only those are made whose ends then still lie in different components, so a family of near copies
+    gives a row a member.
+    """
+    space = workspace(texts.sparkSession, "simhash-links")
+    holders = F.count("*").over(Window.partitionBy("element"))
+    prefix = _prefixes(texts, _common_buckets(texts)).withColumn("holders", holders).where("holders > 1")
+    shared = space.write(prefix.drop("holders"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = space.write(_may_reach(pairs))
+        wanted = pairs.select(F.explode(F.array("l_id", "r_id")).alias("id")).distinct()
+        sets = space.write(_whole_sets(texts.join(wanted, "id", "left_semi")))
+        l, r = (sets.select(*(F.col(c).alias(f"{s}_{c}") for c in ("id", "root", "elements"))) for s in ("l", "r"))
+        common = F.size(F.array_intersect("l_elements", "r_elements"))
+        near = common >= (STAGE_JACCARD - 1e-9) * (F.size("l_elements") + F.size("r_elements") - common)
+        both = pairs.join(l, "l_id").join(r, "r_id").where(near)
+        return space.write(both.select(F.greatest("l_root", "r_root").alias("a"), F.least("l_root", "r_root").alias("b")).where("a <> b").distinct())
+
+    fields = ("id", "root", "n", "place")
+    low = shared.groupBy("element").agg(F.min(F.struct(*fields)).alias("low")).select("element", *(F.col(f"low.{c}").alias(f"r_{c}") for c in fields))
+    stars = checked(_side(shared, "l").join(low, "element").where("l_root <> r_root"))
+    found = connected_components(stars.select(F.lit(0).alias("all"), "a", "b"), "all").select(F.col("node").alias("root"), "component")
+    held = space.write(shared.join(found, "root", "left").withColumn("component", F.coalesce("component", "root")))
+    # Shingles of one component alone, as most of a family's are, make no further pair.
+    split = held.groupBy("element").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one < other")
+    open_ = held.join(split.select("element"), "element", "left_semi")
+    across = _side(open_, "l", "component").join(_side(open_, "r", "component"), "element").where("l_component < r_component")
+    return stars.unionByName(checked(across))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -268,13 +299,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Groups are joined by the fingerprints' links and by those of ``text_links``.
     """
     space = workspace(docs.sparkSession, "simhash-stage")
-    rows = space.write(components(docs).select("doc_id", "ka", "kb", "root"))
-    keyed = with_row_key(docs, ("ka", "kb"))
     text = F.coalesce(docs["text"], F.lit(""))
-    of_text = keyed.select("ka", "kb", F.xxhash64(F.lit(3), text).alias("ta"), F.xxhash64(F.lit(4), text).alias("tb")).distinct()
+    of_text = with_row_key(docs, ("ka", "kb")).select("ka", "kb", F.xxhash64(F.lit(3), text).alias("ta"), F.xxhash64(F.lit(4), text).alias("tb")).distinct()
     # Equal texts have equal fingerprints, and so one root.
-    roots = space.write(of_text.join(rows.select("ka", "kb", "root").distinct(), ["ka", "kb"]).groupBy("ta", "tb").agg(F.first("root").alias("root")))
-    edges = text_links(docs, roots).select(F.lit(0).alias("all"), "a", "b")
+    rows = space.write(components(docs).select("doc_id", "ka", "kb", "root").join(of_text, ["ka", "kb"]))
+    edges = text_links(_different_texts(docs, rows)).select(F.lit(0).alias("all"), "a", "b")
     found = connected_components(edges, "all").select(F.col("node").alias("root"), F.col("component").alias("joined"))
     chosen = (
         rows.join(found, "root", "left")

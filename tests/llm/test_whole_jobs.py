@@ -69,3 +69,61 @@ def test_pipeline_removes_near_copies_that_fingerprints_miss(spark):
 
 def _shingles(words):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_pipeline_family_of_different_near_copies_without_pairwise_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base, rows = [f"w{k}" for k in range(150)], []
+    for k in range(2000):
+        words = list(base)
+        words[int(rng.integers(0, 150))] = f"x{k}"
+        rows.append((k, " ".join(words), "en", "s"))
+    rows += [(5000 + k, " ".join(f"y{k}.{j}" for j in range(60)), "en", "s") for k in range(40)]
+    made = []
+    may_reach = simhash._may_reach
+
+    def counting(pairs):
+        out = may_reach(pairs)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "_may_reach", counting)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [0, *range(5000, 5040)]
+    assert sum(made) <= 35 * 2000
+
+
+def test_text_links_join_what_all_pairs_join(spark):
+    """Families of several sizes and drifting chains against brute force, every text its own root."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 400, int(rng.integers(1, 80)))]
+        for _ in range(int(rng.integers(1, 12))):
+            texts.append(" ".join(words))
+            for _ in range(int(rng.integers(0, 3))):
+                words[int(rng.integers(0, len(words)))] = f"w{rng.integers(0, 400)}"
+    texts = sorted(set(texts))
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "id bigint, root bigint, text string")
+    sets = [set(simhash._shingle_hashes(t).tolist()) for t in texts]
+    want, got = list(range(len(texts))), list(range(len(texts)))
+
+    def join(parent, a, b):
+        while parent[a] != a:
+            a = parent[a]
+        while parent[b] != b:
+            b = parent[b]
+        parent[max(a, b)] = min(a, b)
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                join(want, i, j)
+    for r in simhash.text_links(rows).collect():
+        join(got, r["a"], r["b"])
+
+    def root(parent, a):
+        return a if parent[a] == a else root(parent, parent[a])
+
+    assert [root(want, k) for k in range(len(texts))] == [root(got, k) for k in range(len(texts))]
+    assert len({root(want, k) for k in range(len(texts))}) < len(texts)
