@@ -28,7 +28,7 @@ _CUT = re.compile(r"(?=[ \n]\S)")
 #: No apostrophe: it starts contractions.
 _MARKS = ".,;:!?*#$%&"
 #: Bytes that one encoder's memo may take, and what an entry takes besides its characters and ids.
-LIMIT = 48 << 20
+LIMIT = 128 << 20
 WORD_LIMIT = 320 << 20
 _ENTRY = 220
 #: Words encoded as one text where their ends can be told from the ids.
