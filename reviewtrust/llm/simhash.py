@@ -38,9 +38,8 @@ BITS = 64
 #: What the pipeline's stage links besides: the Jaccard similarity of sets of so many words.
 STAGE_SHINGLE = 5
 STAGE_JACCARD = 0.8
-#: Shingles are counted in buckets; one with over COMMON times the mean holds a common shingle.
-BUCKETS = 1 << 16
-COMMON = 16
+#: Shingles are ordered by how often those of their bucket occur.
+BUCKETS = 1 << 18
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -184,8 +183,8 @@ def _different_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return space.write(once.select(F.monotonically_increasing_id().alias("id"), "root", "text"))
 
 
-def _common_buckets(texts: DataFrame) -> list[int]:
-    """Buckets of shingles that hold far more than the mean: at most BUCKETS / COMMON of them."""
+def _bucket_counts(texts: DataFrame) -> np.ndarray:
+    """How often the shingles of each bucket occur: BUCKETS numbers come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
@@ -195,25 +194,19 @@ def _common_buckets(texts: DataFrame) -> list[int]:
         full = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(counts[full], pa.int64())], ["bucket", "n"])
 
-    counts = workspace(texts.sparkSession, "simhash-buckets").write(
-        texts.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    )
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = COMMON * max(1.0, total / BUCKETS)
-    return [r["bucket"] for r in counts.where(F.col("n") > least).select("bucket").collect()]
+    found = texts.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
 
 
-def _prefixes(texts: DataFrame, common: list[int]) -> DataFrame:
+def _prefixes(texts: DataFrame, counts: np.ndarray) -> DataFrame:
     """(element, id, root, n, place) of the first shingles of each text: two texts that reach STAGE_JACCARD share one of them.
 
-    The order is one for all texts: shingles of common buckets last, by hash among themselves.
+    The order is one for all texts: shingles of the least full buckets first, by hash among equals.
     """
-    late = np.zeros(BUCKETS, bool)
-    late[common] = True
-    packed = np.packbits(late)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = np.unpackbits(packed).astype(bool)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
@@ -221,7 +214,7 @@ def _prefixes(texts: DataFrame, common: list[int]) -> DataFrame:
                 for text in part.column("text").to_pylist():
                     made = _shingle_hashes(text)
                     n = len(made)
-                    made = made[np.argsort(late[made & (BUCKETS - 1)], kind="stable")]
+                    made = made[np.argsort(counts[made & (BUCKETS - 1)], kind="stable")]
                     made = made[: n - int(np.ceil(STAGE_JACCARD * n - 1e-9)) + 1] if n else made
                     elements.append(made)
                     repeats.append(len(made))
@@ -268,7 +261,7 @@ def text_links(texts: DataFrame) -> DataFrame:
     """
     space = workspace(texts.sparkSession, "simhash-links")
     holders = F.count("*").over(Window.partitionBy("element"))
-    prefix = _prefixes(texts, _common_buckets(texts)).withColumn("holders", holders).where("holders > 1")
+    prefix = _prefixes(texts, _bucket_counts(texts)).withColumn("holders", holders).where("holders > 1")
     shared = space.write(prefix.drop("holders"))
 
     def checked(pairs: DataFrame) -> DataFrame:
