@@ -355,11 +355,24 @@ FRAGMENTS["shop"] = (
   || ({array(_PATHS)})[cast(p_partkey % {len(_PATHS)} as int) + 1] || lpad(cast(p_partkey as varchar), 8, '0') || case when p_partkey % 5 = 0 then '.p?page=2&ref=x' when p_partkey % 4 = 0 then '?sku=S1' else '' end as url from part""",
 )
 FRAGMENTS["shop2"] = (["shop"], f"select *, {HOST} as h, {PATH} as pth, {QRY} as q, regexp_extract(url, '^([a-z]+):', 1) as sch from shop")
-_GENERIC_ID = f"nullif(regexp_extract(pth || case when q <> '' then '?' || q else '' end, {quote(U.GENERIC_PATH_ID)}, 1), '')"
-_SITE_IDS = ", ".join(f"case when regexp_matches(h, {quote(s)}) then nullif(regexp_extract(pth, {quote(p)}, 1), '') end" for s, p in U.SITE_ID_PATTERNS)
+_GENERIC_PATH = r"(?i)/(?:dp|itm|ip|pd|prd|product|products|listing|item)/(?:[^/?#]+/)?([A-Za-z0-9][\w-]{3,})"
+_GENERIC_QUERY = r"(?i)[?&](?:product_?id|sku|pid|itemid)=([\w-]+)"
+_GENERIC_ID = f"nullif(regexp_extract(pth || case when q <> '' then '?' || q else '' end, {quote(_GENERIC_PATH)}, 1), '')"
+_SITE_IDS = ", ".join(
+    f"case when regexp_matches(h, {quote(rf'(?i)(^|[.]){s}[.]')}) then nullif(regexp_extract(pth, {quote(p)}, 1), '') end"
+    for s, p in [
+        ("amazon", r"(?i)/(?:dp|gp/product|gp/aw/d)/([A-Z0-9]{10})"),
+        ("ebay", r"/itm/(?:.*/)?(\d{9,})"),
+        ("walmart", r"/ip/(?:[^/]+/)?(\d+)"),
+        ("bestbuy", r"/(\d{6,})\.p"),
+        ("etsy", r"/listing/(\d+)"),
+        ("aliexpress", r"/item/(?:.*?)(\d{6,})\.html"),
+        ("jumia", r"-(\d+)\.html"),
+    ]
+)
 FRAGMENTS["shop3"] = (
     ["shop2"],
-    f"""select *, coalesce({_SITE_IDS}, {_GENERIC_ID}, nullif(regexp_extract(pth || case when q <> '' then '?' || q else '' end, {quote(U.GENERIC_QUERY_ID)}, 1), '')) as pid,
+    f"""select *, coalesce({_SITE_IDS}, {_GENERIC_ID}, nullif(regexp_extract(pth || case when q <> '' then '?' || q else '' end, {quote(_GENERIC_QUERY)}, 1), '')) as pid,
   case when regexp_matches(h, '(^|\\.)amazon\\.') then 'amazon' when regexp_matches(h, '(^|\\.)newegg\\.') then 'newegg' when regexp_matches(h, '(^|\\.)bestbuy\\.') then 'bestbuy'
     when regexp_matches(h, '(^|\\.)ebay\\.') then 'ebay' else 'generic' end as adapter,
   case when sch not in ('http', 'https') then 'scheme ''' || sch || ''' is not allowed' when h = '169.254.169.254' then 'cloud metadata endpoint' when h = '10.0.0.8' then 'private network address'

@@ -5,28 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Address ranges, hosts, site patterns and path shapes.
+from reviewtrust.sources.rules import ANY, DEFAULT, RuleSet, literal
+
+# Hosts, tracking parameters and path segments that name nothing.
 METADATA_HOSTS = ["169.254.169.254", "metadata.google.internal", "metadata.goog", "100.100.100.200"]
-RETAIL_SITES = ["amazon", "newegg", "bestbuy", "ebay"]
 TRACKING_PARAMETER = r"(?i)^(utm_|gclid|fbclid|ref_?|_encoding|psc|th|tag|linkCode)"
 STRUCTURAL_SEGMENTS = [
     "dp", "gp", "product", "products", "itm", "item", "site", "p", "ip", "pd",
     "s", "aspx", "html", "htm", "www",
 ]
-SITE_ID_PATTERNS = [
-    (r"(?i)(^|\.)amazon\.", r"(?i)/(?:dp|gp/product|gp/aw/d)/([A-Z0-9]{10})"),
-    (r"(?i)(^|\.)ebay\.", r"/itm/(?:.*/)?(\d{9,})"),
-    (r"(?i)(^|\.)walmart\.", r"/ip/(?:[^/]+/)?(\d+)"),
-    (r"(?i)(^|\.)bestbuy\.", r"/(\d{6,})\.p"),
-    (r"(?i)(^|\.)etsy\.", r"/listing/(\d+)"),
-    (r"(?i)(^|\.)aliexpress\.", r"/item/(?:.*?)(\d{6,})\.html"),
-    (r"(?i)(^|\.)jumia\.", r"-(\d+)\.html"),
-]
-GENERIC_PATH_ID = (
-    r"(?i)/(?:dp|itm|ip|pd|prd|product|products|listing|item)/(?:[^/?#]+/)?([A-Za-z0-9][\w-]{3,})"
-)
-GENERIC_QUERY_ID = r"(?i)[?&](?:product_?id|sku|pid|itemid)=([\w-]+)"
-ASIN_IN_URL = r"(?i)/(?:dp|gp/product|gp/aw/d|product-reviews)/([A-Z0-9]{10})"
 
 
 def part(url: Column, name: str) -> Column:
@@ -67,14 +54,22 @@ def source_name(url: Column, hint: Column) -> Column:
     return F.coalesce(_nonempty(hint), _nonempty(bare_host(url)), F.lit("host"))
 
 
-def site_adapter(url: Column, hint: Column) -> Column:
-    """Which retailer's rules apply: first of the known sites, else generic."""
-    choice = F.when(F.lit(False), F.lit(""))
-    for name in RETAIL_SITES:
-        matches = F.lower(F.coalesce(hint, F.lit(""))) == name
-        matches = matches | F.coalesce(netloc(url), F.lit("")).rlike(rf"(?i)(^|\.){name}\.")
-        choice = choice.when(matches, F.lit(name))
-    return choice.otherwise(F.lit("generic"))
+def host_labels(name: Column) -> Column:
+    """The parts of a host name but the last."""
+    labels = F.split(F.lower(F.coalesce(name, F.lit(""))), r"\.")
+    return F.slice(labels, F.lit(1), F.size(labels) - 1)
+
+
+def _first(values: Column) -> Column:
+    """The first value that is neither null nor empty."""
+    return F.get(F.filter(values, lambda v: v.isNotNull() & (v != "")), F.lit(0))
+
+
+def site_adapter(url: Column, hint: Column, rules: RuleSet = DEFAULT) -> Column:
+    """Which retailer's rules apply: the first whose name the hint or whose label the host has, else generic."""
+    labels, named = host_labels(netloc(url)), F.lower(F.coalesce(hint, F.lit("")))
+    held = F.filter(literal(rules.of_field("adapter")), lambda r: (r["site"] == named) | F.array_contains(labels, r["pattern"]))
+    return F.coalesce(F.get(held, F.lit(0))["site"], F.lit("generic"))
 
 
 def listing_facts(url: Column) -> Column:
@@ -111,22 +106,32 @@ def canonical_url(url: Column) -> Column:
     ).otherwise(url)
 
 
-def product_id_from_url(url: Column) -> Column:
-    """Site-specific id, else a generic path or query shape."""
-    where, tail = F.coalesce(host(url), F.lit("")), path(url)
-    full = F.concat(tail, F.coalesce(F.concat(F.lit("?"), part(url, "QUERY")), F.lit("")))
-    ids = [F.when(where.rlike(site), found(tail, shape)) for site, shape in SITE_ID_PATTERNS]
-    return F.coalesce(*ids, found(full, GENERIC_PATH_ID), found(full, GENERIC_QUERY_ID))
+def _path_query(url: Column) -> Column:
+    return F.concat(path(url), F.coalesce(F.concat(F.lit("?"), part(url, "QUERY")), F.lit("")))
 
 
-def site_of(url: Column) -> Column:
-    """The site whose id rule applies, else the host itself."""
-    where = F.coalesce(host(url), F.lit(""))
-    names = ["amazon", "ebay", "walmart", "bestbuy", "etsy", "aliexpress", "jumia"]
-    choice = F.when(F.lit(False), F.lit(""))
-    for name, (site, _) in zip(names, SITE_ID_PATTERNS):
-        choice = choice.when(where.rlike(site), F.lit(name))
-    return choice.otherwise(host(url))
+def url_site_rules(url: Column, rules: RuleSet = DEFAULT) -> Column:
+    """The sites whose host rule holds, in order."""
+    labels = host_labels(host(url))
+    held = F.filter(
+        literal([r for r in rules.of_field("applies") if r.source == "host"]), lambda r: F.array_contains(labels, r["pattern"])
+    )
+    return F.array_distinct(F.transform(held, lambda r: r["site"]))
+
+
+def shape_id(url: Column, rules: RuleSet = DEFAULT) -> Column:
+    """An id by the generic shapes of product URLs."""
+    full = _path_query(url)
+    shapes = [r for r in rules.of_field("product_id", generic=True) if r.source in ("path", "path_query")]
+    return _first(F.transform(literal(shapes), lambda r: F.call_function("regexp_extract", full, r["pattern"], F.lit(1))))
+
+
+def product_id_from_url(url: Column, rules: RuleSet = DEFAULT) -> Column:
+    """Site-specific id, else a generic path or query shape."""
+    tail, sites = path(url), url_site_rules(url, rules)
+    own = [r for r in rules.of_field("product_id", generic=False) if r.source == "path"]
+    by_site = F.filter(literal(own), lambda r: F.array_contains(sites, r["site"]))
+    return F.coalesce(_first(F.transform(by_site, lambda r: F.call_function("regexp_extract", tail, r["pattern"], F.lit(1)))), shape_id(url, rules))
 
 
 def name_from_url(url: Column) -> Column:
@@ -279,68 +284,61 @@ def entry_kind(value: Column) -> Column:
 # ---------------------------------------------------------------- review pages
 
 
-def review_page_urls(url: Column, product_id: Column, adapter: Column) -> Column:
+def _filled(template: Column, values: dict[str, Column]) -> Column:
+    """The template with its places filled; null if one it names is null."""
+    for name, value in values.items():
+        place = F.lit(f"{{{name}}}")
+        template = F.when(F.contains(template, place), F.replace(template, place, value)).otherwise(template)
+    return template
+
+
+def _of_adapter(rules: RuleSet, field: str, adapter: Column) -> Column:
+    """The rules of a field for a row's adapter; the generic ones where it has no rules at all."""
+    named = sorted({r.site for r in rules.rules if r.field == "adapter"})
+    site = F.when(adapter.isin(named), adapter).otherwise(F.lit(ANY))
+    return F.filter(literal(rules.of_field(field)), lambda r: r["site"] == site)
+
+
+def review_page_urls(url: Column, product_id: Column, adapter: Column, rules: RuleSet = DEFAULT) -> Column:
     """Where a listing's reviews may be found, best guess first."""
-    asin = F.upper(
-        F.coalesce(found(F.trim(product_id), r"(?i)^([A-Z0-9]{10})$"), found(url, ASIN_IN_URL))
-    )
-    shop = F.coalesce(netloc(url), F.lit("www.amazon.com"))
-    reviews = F.concat(F.lit("https://"), shop, F.lit("/product-reviews/"), asin)
-    amazon = F.array(
-        url,
-        F.concat(reviews, F.lit("?reviewerType=all_reviews&sortBy=recent&pageNumber=1")),
-        F.concat(reviews, F.lit("?pageNumber=1")),
-    )
-    newegg = F.array(
-        url,
-        F.concat(F.lit("https://www.newegg.com/product-reviews/"), found(url, r"/p/([A-Za-z0-9]+)")),
-    )
-    sku = F.coalesce(found(product_id, r"^(\d+)$"), found(url, r"/(\d{6,})\.p"))
-    bestbuy = F.array(url, F.concat(F.lit("https://www.bestbuy.com/site/reviews/product/"), sku))
-    base = F.regexp_replace(F.substring_index(F.substring_index(url, "?", 1), "#", 1), r"/+$", "")
-    generic = F.array(url, F.concat(base, F.lit("/reviews")), F.concat(base, F.lit("/review")))
-    return F.array_distinct(
-        F.array_compact(
-            F.when(adapter == "amazon", amazon)
-            .when(adapter == "newegg", newegg)
-            .when(adapter == "bestbuy", bestbuy)
-            .when(adapter == "ebay", F.array(url))
-            .otherwise(generic)
-        )
-    )
 
+    def read(r: Column) -> Column:
+        looked_at = F.when(r["source"] == "product_id", F.trim(product_id)).otherwise(url)
+        value = F.call_function("regexp_extract", F.coalesce(looked_at, F.lit("")), r["pattern"], F.lit(1))
+        return F.when(r["take"] == "upper", F.upper(value)).otherwise(value)
+
+    home = F.get(_of_adapter(rules, "home", adapter), F.lit(0))["pattern"]
+    places = {
+        "url": url,
+        "base": F.regexp_replace(F.substring_index(F.substring_index(url, "?", 1), "#", 1), r"/+$", ""),
+        "netloc": F.coalesce(netloc(url), home),
+        "id": _first(F.transform(_of_adapter(rules, "review_id", adapter), read)),
+    }
+    pages = F.transform(_of_adapter(rules, "review_page", adapter), lambda r: _filled(r["pattern"], places))
+    return F.array_distinct(F.array_compact(pages))
 
-def next_page_url(page_url: Column, page_number: Column, adapter: Column, advertised: Column) -> Column:
+
+def next_page_url(page_url: Column, page_number: Column, adapter: Column, advertised: Column, rules: RuleSet = DEFAULT) -> Column:
     """The following review page: counted up where the site counts, else as advertised."""
     following = (page_number + 1).cast("string")
     joiner = F.when(page_url.contains("?"), F.lit("&")).otherwise(F.lit("?"))
+    holding = F.filter(
+        _of_adapter(rules, "next_page", adapter), lambda r: F.contains(page_url, F.coalesce(r["take"], F.lit("")))
+    )
 
-    def counted(parameter: str) -> Column:
-        return F.when(
-            page_url.contains(f"{parameter}="),
-            F.regexp_replace(page_url, F.lit(f"{parameter}=\\d+"), F.concat(F.lit(f"{parameter}="), following)),
-        ).otherwise(F.concat(page_url, joiner, F.lit(f"{parameter}="), following))
+    def made(r: Column) -> Column:
+        name = F.concat(r["pattern"], F.lit("="))
+        added = F.concat(joiner, name, following)
+        counted = F.when(
+            F.contains(page_url, name), F.regexp_replace(page_url, F.concat(name, F.lit("\\d+")), F.concat(name, following))
+        ).otherwise(F.concat(page_url, added))
+        cut = F.get(F.split(page_url, F.concat(F.lit("&"), name)), F.lit(0))
+        return F.when(r["source"] == "count", counted).when(r["source"] == "append", F.concat(cut, added))
 
-    on_reviews = page_url.contains("/product-reviews/")
-    bestbuy = F.concat(F.substring_index(page_url, "&page=", 1), joiner, F.lit("page="), following)
-    return (
-        F.when(adapter == "amazon", F.when(on_reviews, counted("pageNumber")))
-        .when((adapter == "newegg") & on_reviews, counted("page"))
-        .when((adapter == "bestbuy") & page_url.contains("/site/reviews/"), bestbuy)
-        .otherwise(advertised)
-    )
+    return F.when(F.size(holding) > 0, _let(F.get(holding, F.lit(0)), made)).otherwise(advertised)
 
 
-def search_url(query: Column, adapter: Column) -> Column:
+def search_url(query: Column, adapter: Column, rules: RuleSet = DEFAULT) -> Column:
     """The retailer's own search page for a query."""
-    encoded = F.url_encode(query)
-    return (
-        F.when(adapter == "newegg", F.concat(F.lit("https://www.newegg.com/p/pl?d="), encoded))
-        .when(adapter == "bestbuy", F.concat(F.lit("https://www.bestbuy.com/site/searchpage.jsp?st="), encoded))
-        .when(
-            adapter == "ebay",
-            F.concat(
-                F.lit("https://www.ebay.com/sch/i.html?_nkw="), encoded, F.lit("&LH_ItemCondition=1000")
-            ),
-        )
-    )
+    template = F.get(_of_adapter(rules, "search", adapter), F.lit(0))["pattern"]
+    return _filled(template, {"query": F.url_encode(query)})

@@ -7,6 +7,7 @@ inside a page's row; only choosing among a page's strategies groups by page.
 from __future__ import annotations
 
 import datetime
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,11 +18,13 @@ from reviewtrust.functions.urls import (
     absolute_link,
     canonical_url,
     host,
-    product_id_from_url,
+    host_labels,
+    path,
+    shape_id,
     site_adapter,
-    site_of,
 )
 from reviewtrust.sources import html as H
+from reviewtrust.sources.rules import DEFAULT, RuleSet, literal
 
 # Block-page markers, page-furniture words and the selectors of each field.
 BLOCK_STATUSES = [401, 403, 407, 429, 503]
@@ -176,100 +179,112 @@ def _named(v: Column, key: str) -> Column:
     )
 
 
-def json_ld_reviews(pages: DataFrame, as_of: datetime.date) -> DataFrame:
-    """Reviews a page declares as JSON-LD."""
-    blocks = H.bind(
-        with_nodes(pages).select("page_id", "url", "nodes"),
-        blocks=H.script_blocks(F.col("nodes"), "(?i)ld\\+json"),
-    )
-    objects = blocks.select("page_id", "url", F.posexplode_outer(H.ld_objects(F.col("blocks"))).alias("pos", "o"))
-    rows = objects.select("page_id", "url", "pos", F.try_parse_json("o").alias("v"))
-    v = F.col("v")
-    rows = rows.where(_typed(v, r"(?i)^(review|userreview|criticreview)$"))
+# ---------------------------------------------------------------- reviews of a page
+
+#: Selectors of the one walk over a page, by their place in this list.
+_GROUPS = {
+    "container": CONTAINERS,
+    "title": TITLES,
+    "body": BODIES,
+    "rating": RATINGS,
+    "date": DATES,
+    "author": AUTHORS,
+    "noise": NOISE,
+    "scope": [(None, "itemtype", "like", "schema.org/Review"), (None, "itemtype", "like", "schema.org/UserReview")],
+    "nested": [(None, "data-hook", "eq", "review"), (None, "data-review-id", "has", None)],
+    "star": [(None, "class", "like", "star")],
+}
+_FIRST = dict(zip(_GROUPS, accumulate([0, *map(len, _GROUPS.values())]), strict=False))
+_SELECTORS = [H.of_fields(*s) for group in _GROUPS.values() for s in group]
+_NOISE = [_FIRST["noise"] + k for k in range(len(NOISE))]
+_LD_SCRIPT = ("type", "(?i)ld\\+json")
+_LD_REVIEW = r"(?i)^(review|userreview|criticreview)$"
+
+_page_reviews_parse = H.parsed_pages(_SELECTORS, _NOISE, _LD_SCRIPT, H.LD_KEYS, _LD_REVIEW)
+
+
+def _group(nodes: Column, name: str) -> Column:
+    return H.by_selector(nodes, _FIRST[name], len(_GROUPS[name]))
+
+
+def _in_group(n: Column, name: str) -> Column:
+    first, count = _FIRST[name], len(_GROUPS[name])
+    return F.exists(n["marks"], lambda m: (m["k"] >= first) & (m["k"] < first + count))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with value computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _review(kind: str, as_of: datetime.date, pos: Column, **fields: Column) -> Column:
+    """One review of a page; ``text`` is null or short where it is none."""
+    none = {"title": "string", "author": "string", "date_raw": "string", "rating": "double", "verified_purchase": "boolean", "helpful_votes": "int", "url": "string"}
+    given = {k: fields.get(k, F.lit(None).cast(t)).cast(t) for k, t in none.items()}
+
+    def dated(raw: Column) -> Column:
+        return F.struct(raw.alias("raw"), P.parse_date(raw, as_of).alias("day"))
+
+    return _let(_let(given["date_raw"], dated), lambda date: F.struct(
+        pos.cast("int").alias("pos"),
+        fields["text"].alias("text"),
+        given["rating"].alias("rating"),
+        date["day"].alias("review_date"),
+        date["raw"].alias("date_raw"),
+        given["author"].alias("author"),
+        given["title"].alias("title"),
+        given["verified_purchase"].alias("verified_purchase"),
+        given["helpful_votes"].alias("helpful_votes"),
+        given["url"].alias("url"),
+        fields.get("extracted_by", F.lit(kind)).alias("extracted_by"),
+    ))
+
+
+def _ld_review(v: Column, pos: Column, url: Column, as_of: datetime.date) -> Column:
     raw_rating = F.coalesce(*[_scalar(v, p) for p in ("$.reviewRating.ratingValue", "$.reviewRating[0].ratingValue", "$.reviewRating", "$.rating.ratingValue", "$.rating")])
     best = F.coalesce(*[_scalar(v, p).try_cast("double") for p in ("$.reviewRating.bestRating", "$.reviewRating[0].bestRating", "$.rating.bestRating")], F.lit(5.0))
-    date_raw = F.coalesce(_is(v, "$.datePublished"), _is(v, "$.dateCreated"))
-    rows = H.bind(
-        rows,
-        body=F.coalesce(_filled(v, "$.reviewBody"), _filled(v, "$.description"), _filled(v, "$.text")),
-        raw_rating=raw_rating,
-        best=best,
-        date_raw=date_raw,
+    link = _filled(v, "$.url")
+    return _review(
+        "json-ld",
+        as_of,
+        pos,
+        text=P.strip_boilerplate(F.coalesce(_filled(v, "$.reviewBody"), _filled(v, "$.description"), _filled(v, "$.text"))),
+        rating=_let(F.struct(raw_rating.alias("raw"), best.alias("best")), lambda r: P.normalize_rating(r["raw"], r["best"])),
+        date_raw=F.coalesce(_is(v, "$.datePublished"), _is(v, "$.dateCreated")),
         author=F.coalesce(_named(v, "author"), _named(v, "creator")),
         title=_is(v, "$.name"),
-        link=_filled(v, "$.url"),
-    ).drop("v")
-    rows = H.bind(rows, text=P.strip_boilerplate(F.col("body")))
-    link = F.col("link")
-    out = rows.select(
-        "page_id",
-        "pos",
-        "text",
-        P.normalize_rating(F.col("raw_rating"), F.col("best")).alias("rating"),
-        P.parse_date(F.col("date_raw"), as_of).alias("review_date"),
-        "date_raw",
-        "author",
-        "title",
-        F.lit(None).cast("boolean").alias("verified_purchase"),
-        F.lit(None).cast("int").alias("helpful_votes"),
-        F.when(link.isNotNull(), absolute_link(F.col("url"), link)).alias("url"),
-        F.lit("json-ld").alias("extracted_by"),
+        url=F.when(link.isNotNull(), absolute_link(url, link)),
     )
-    return out.where(F.length("text") >= 8)
 
 
-def microdata_reviews(pages: DataFrame, as_of: datetime.date) -> DataFrame:
-    """Reviews a page marks up as microdata."""
-    nodes = F.col("nodes")
-    scopes = F.filter(
-        nodes,
-        lambda n: F.coalesce(H.attr(n, "itemtype").rlike(r"(?i)schema\.org/(User)?Review"), F.lit(False)),
-    )
-    rows = with_nodes(pages).select("page_id", "nodes", F.posexplode_outer(scopes).alias("pos", "s")).where("s is not null")
-    rows = H.bind(rows.select("page_id", "pos", "nodes", "s"), sub=H.inside(nodes, F.col("s"))).drop("nodes", "s")
-    sub = F.col("sub")
+def _micro_review(sub: Column, pos: Column, as_of: datetime.date) -> Column:
+    def prop(name: str) -> Column:
+        return F.filter(sub, lambda n: F.coalesce(H.attr(n, "itemprop") == name, F.lit(False)))
 
-    def prop(*names: str) -> Column:
-        return H.selector_list([(None, "itemprop", "eq", n) for n in names])
+    def text_of_first(name: str) -> Column:
+        return F.nullif(_let(F.get(prop(name), F.lit(0)), lambda n: H.text_of(sub, n)), F.lit(""))
 
-    def first_node(name: str) -> Column:
-        return F.get(H.select(sub, prop(name)), F.lit(0))
+    def read(name: str, *attributes: str) -> Column:
+        return _let(F.get(prop(name), F.lit(0)), lambda n: H.first_value(F.array(*(H.attr(n, a) for a in attributes), H.text_of(sub, n))))
 
-    rating, date = first_node("ratingValue"), first_node("datePublished")
-    date_raw = H.first_value(F.array(H.attr(date, "datetime"), H.attr(date, "content"), H.text_of(sub, date)))
-    out = rows.select(
-        "page_id",
-        "pos",
-        H.pick_text(sub, H.selector_list([(None, "itemprop", "eq", "reviewBody"), (None, "itemprop", "eq", "description")])).alias("text"),
-        H.first_value(F.array(H.attr(rating, "content"), H.text_of(sub, rating))).alias("rating_raw"),
-        date_raw.alias("date_raw"),
-        F.nullif(H.text_of(sub, first_node("author")), F.lit("")).alias("author"),
-        F.nullif(H.text_of(sub, first_node("name")), F.lit("")).alias("title"),
-    )
-    return out.where(F.col("text").isNotNull()).select(
-        "page_id",
-        "pos",
-        "text",
-        P.normalize_rating(F.col("rating_raw")).alias("rating"),
-        P.parse_date(F.col("date_raw"), as_of).alias("review_date"),
-        "date_raw",
-        "author",
-        "title",
-        F.lit(None).cast("boolean").alias("verified_purchase"),
-        F.lit(None).cast("int").alias("helpful_votes"),
-        F.lit(None).cast("string").alias("url"),
-        F.lit("microdata").alias("extracted_by"),
+    bodies = F.concat(prop("reviewBody"), prop("description"))
+    return _review(
+        "microdata",
+        as_of,
+        pos,
+        text=H.first_value(F.transform(bodies, lambda n: H.text_of(sub, n))),
+        rating=_let(read("ratingValue", "content"), P.normalize_rating),
+        date_raw=read("datePublished", "datetime", "content"),
+        author=text_of_first("author"),
+        title=text_of_first("name"),
     )
 
 
-# ---------------------------------------------------------------- DOM heuristics
-
-
 def rating_in(nodes: Column) -> Column:
     """A rating from labels and texts that speak of stars, else from a class name."""
     candidates = F.flatten(
         F.transform(
-            H.select(nodes, H.selector_list(RATINGS)),
+            _group(nodes, "rating"),
             lambda n: F.array(
                 H.attr(n, "aria-label"), H.attr(n, "title"), H.attr(n, "content"), H.attr(n, "alt"), H.text_of(nodes, n)
             ),
@@ -279,7 +294,7 @@ def rating_in(nodes: Column) -> Column:
         candidates, lambda c: c.rlike(r"\d") & c.rlike(r"(?i)star|rating|out of|/\s*5|von 5")
     )
     coded = F.transform(
-        F.filter(nodes, lambda n: F.coalesce(F.contains(F.lower(H.attr(n, "class")), F.lit("star")), F.lit(False))),
+        F.filter(nodes, lambda n: _in_group(n, "star")),
         lambda n: F.regexp_extract(H.attr(n, "class"), r"(?i)(?:star|rating)[-_]?(\d(?:[.,]\d)?)", 1),
     )
     found = F.concat(
@@ -288,77 +303,107 @@ def rating_in(nodes: Column) -> Column:
     return F.get(F.array_compact(found), F.lit(0))
 
 
-def dom_reviews(pages: DataFrame, as_of: datetime.date) -> DataFrame:
-    """Reviews found in review-like containers; the selector yielding most wins per page."""
-    nodes, c = F.col("nodes"), F.col("c")
-    by_selector = with_nodes(pages).select(
-        "page_id", "nodes", F.posexplode(H.selector_list(CONTAINERS)).alias("selector_no", "s")
-    )
-    found = by_selector.select(
-        "page_id",
-        "selector_no",
-        "nodes",
-        F.posexplode_outer(
-            F.filter(nodes, lambda n: H.matches(nodes, n, F.col("s")))
-        ).alias("pos", "c"),
-    ).where("c is not null")
-    rows = H.bind(found, sub=H.inside(nodes, c)).drop("nodes")
-    sub = F.col("sub")
-    nested = F.filter(
-        sub,
-        lambda n: F.coalesce(H.attr(n, "data-hook") == "review", F.lit(False)) | H.attr(n, "data-review-id").isNotNull(),
-    )
-    noise = H.select(sub, H.selector_list(NOISE))
-    rows = H.bind(rows.where(F.size(nested) <= 1), noise=noise, blob=H.text_of(sub, c))
-    quiet = F.filter(
-        sub, lambda n: ~F.exists("noise", lambda z: (n["i"] >= z["i"]) & (n["i"] <= z["last"]))
-    )
-    rows = H.bind(rows, clean=quiet).drop("sub", "noise")
-    clean = F.col("clean")
-    rows = H.bind(rows, title_nodes=H.select(clean, H.selector_list(TITLES)))
-    body_nodes = F.filter(
-        H.select(clean, H.selector_list(BODIES)), lambda n: ~F.exists("title_nodes", lambda t: t["i"] == n["i"])
-    )
-    body = F.coalesce(
-        H.first_value(F.transform(body_nodes, lambda n: H.text_of(clean, n))), H.text_of(clean, c)
-    )
-    rows = H.bind(rows, body=body)
-    rows = H.bind(rows, text=P.strip_boilerplate(F.col("body")))
-    rows = rows.where(F.length("text") >= 20).select(
-        "page_id",
-        "selector_no",
-        "pos",
-        "text",
-        rating_in(clean).alias("rating"),
-        H.pick_text(clean, H.selector_list(DATES)).alias("date_raw"),
-        H.pick_text(clean, H.selector_list(AUTHORS)).alias("author"),
-        H.first_value(F.transform("title_nodes", lambda n: H.text_of(clean, n))).alias("title"),
-        P.verified_badge(F.col("blob")).alias("verified_purchase"),
-        P.helpful_votes(F.col("blob")).alias("helpful_votes"),
-    )
-    # The rows of a group are elements of one page.
-    of_page = Window.partitionBy("page_id")
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("page_id", "selector_no")))
-    best = F.max(F.struct(F.col("n"), -F.col("selector_no"))).over(of_page)
+def _card(nodes: Column, c: Column, as_of: datetime.date) -> Column:
+    """The review in a container, null where it holds several containers of reviews."""
+
+    def fields(sub: Column, clean: Column, titles: Column) -> Column:
+        bodies = F.filter(_group(clean, "body"), lambda n: ~F.exists(titles, lambda t: t["i"] == n["i"]))
+        body = F.coalesce(H.first_value(F.transform(bodies, lambda n: H.text_of(clean, n))), H.text_of(clean, c))
+        texts = F.struct(P.strip_boilerplate(body).alias("text"), H.text_of(sub, c).alias("blob"))
+        return _let(
+            texts,
+            lambda x: F.when(
+                F.length(x["text"]) >= 20,
+                _review(
+                    "dom",
+                    as_of,
+                    F.lit(0),
+                    text=x["text"],
+                    rating=rating_in(clean),
+                    date_raw=H.first_value(F.transform(_group(clean, "date"), lambda n: H.text_of(clean, n))),
+                    author=H.first_value(F.transform(_group(clean, "author"), lambda n: H.text_of(clean, n))),
+                    title=H.first_value(F.transform(titles, lambda n: H.text_of(clean, n))),
+                    verified_purchase=P.verified_badge(x["blob"]),
+                    helpful_votes=P.helpful_votes(x["blob"]),
+                ),
+            ),
+        )
+
+    def whole(sub: Column) -> Column:
+        quiet = F.filter(sub, lambda n: n["noise"] <= c["i"])
+        made = _let(quiet, lambda clean: _let(_group(clean, "title"), lambda titles: fields(sub, clean, titles)))
+        return F.when(F.size(F.filter(sub, lambda n: _in_group(n, "nested"))) <= 1, made)
+
+    return _let(H.inside(nodes, c), whole)
+
+
+def _cards(nodes: Column, as_of: datetime.date) -> Column:
+    """Reviews of the container selector that yields most; of equal ones the first. Each container is read once."""
+    first, count = _FIRST["container"], len(CONTAINERS)
+    containers = F.filter(nodes, lambda n: _in_group(n, "container"))
+    read = F.transform(containers, lambda c: F.struct(c["marks"].alias("marks"), _card(nodes, c, as_of).alias("review")))
     names = F.array(*[F.lit(_css(s)) for s in CONTAINERS])
-    return (
-        rows.withColumn("best", best)
-        .where(F.col("selector_no") == -F.col("best.col2"))
-        .select(
-            "page_id",
-            "pos",
-            "text",
-            "rating",
-            P.parse_date(F.col("date_raw"), as_of).alias("review_date"),
-            "date_raw",
-            "author",
-            "title",
-            "verified_purchase",
-            "helpful_votes",
-            F.lit(None).cast("string").alias("url"),
-            F.concat(F.lit("dom:"), F.get(names, F.col("selector_no"))).alias("extracted_by"),
+
+    def of_selector(cards: Column, k: Column) -> Column:
+        mine = F.filter(cards, lambda x: x["review"].isNotNull() & F.exists(x["marks"], lambda m: m["k"] == k))
+
+        def placed(x: Column) -> Column:
+            nth = F.get(F.filter(x["marks"], lambda m: m["k"] == k), F.lit(0))["nth"]
+            return x["review"].withField("pos", nth).withField("extracted_by", F.concat(F.lit("dom:"), F.get(names, k - first)))
+
+        return F.transform(mine, placed)
+
+    def best(cards: Column) -> Column:
+        numbers = F.transform(
+            F.sequence(F.lit(first), F.lit(first + count - 1)),
+            lambda k: F.struct(
+                F.size(F.filter(cards, lambda x: x["review"].isNotNull() & F.exists(x["marks"], lambda m: m["k"] == k))).alias("n"),
+                (-k).alias("k"),
+            ),
         )
-    )
+        return of_selector(cards, -F.array_max(numbers)["k"])
+
+    return _let(read, best)
+
+
+def _review_arrays(pages: DataFrame, as_of: datetime.date, *wanted: str) -> DataFrame:
+    """page_id and the wanted arrays of reviews, one for each strategy, from one parse of the page."""
+    parsed = pages.select("page_id", "url", _page_reviews_parse(F.col("html")).alias("page"))
+    rows = H.bind(parsed, nodes=F.col("page.nodes"), objects=F.col("page.objects")).drop("page")
+    nodes, url = F.col("nodes"), F.col("url")
+
+    def ld() -> Column:
+        found = F.transform("objects", lambda o, i: _let(F.try_parse_json(o), lambda v: _ld_review(v, i, url, as_of)))
+        return F.filter(found, lambda r: F.length(r["text"]) >= 8)
+
+    def micro() -> Column:
+        scopes = F.filter(nodes, lambda n: _in_group(n, "scope"))
+        found = F.transform(scopes, lambda s, i: _let(H.inside(nodes, s), lambda sub: _micro_review(sub, i, as_of)))
+        return F.filter(found, lambda r: r["text"].isNotNull())
+
+    made = {"ld": ld, "micro": micro, "dom": lambda: _cards(nodes, as_of)}
+    return rows.select("page_id", *(made[name]().alias(name) for name in wanted))
+
+
+def _listed(rows: DataFrame, reviews: str, *more: str) -> DataFrame:
+    # A plain explode adds a test of its input that would be made of the whole expression again.
+    rows = H.bind(rows.select("page_id", reviews, *more), **{reviews: F.col(reviews)})
+    return rows.select("page_id", *more, F.explode(reviews).alias("r")).select("page_id", "r.*", *more)
+
+
+def json_ld_reviews(pages: DataFrame, as_of: datetime.date) -> DataFrame:
+    """Reviews a page declares as JSON-LD."""
+    return _listed(_review_arrays(pages, as_of, "ld"), "ld")
+
+
+def microdata_reviews(pages: DataFrame, as_of: datetime.date) -> DataFrame:
+    """Reviews a page marks up as microdata."""
+    return _listed(_review_arrays(pages, as_of, "micro"), "micro")
+
+
+def dom_reviews(pages: DataFrame, as_of: datetime.date) -> DataFrame:
+    """Reviews found in review-like containers; the selector yielding most wins per page."""
+    return _listed(_review_arrays(pages, as_of, "dom"), "dom")
 
 
 def _css(selector: tuple) -> str:
@@ -368,20 +413,16 @@ def _css(selector: tuple) -> str:
 
 
 def page_reviews(pages: DataFrame, as_of: datetime.date) -> DataFrame:
-    """Reviews of every page by its better strategy: the DOM only if it found strictly more."""
-    structured = json_ld_reviews(pages, as_of).unionByName(microdata_reviews(pages, as_of))
-    both = structured.withColumn("strategy", F.lit("structured-data")).unionByName(
-        dom_reviews(pages, as_of).withColumn("strategy", F.lit("dom"))
-    )
-    of_page = Window.partitionBy("page_id")
-    counted = both.withColumns(
-        {
-            "n_dom": F.count_if(F.col("strategy") == "dom").over(of_page),
-            "n_structured": F.count_if(F.col("strategy") != "dom").over(of_page),
-        }
+    """Reviews of every page by its better strategy: the DOM only if it found strictly more.
+
+    The choice is made inside the page's row: nothing is shuffled.
+    """
+    found = H.bind(_review_arrays(pages, as_of, "ld", "micro", "dom"), structured=F.concat("ld", "micro"), dom=F.col("dom")).drop("ld", "micro")
+    by_dom = F.size("dom") > F.size("structured")
+    chosen = found.select(
+        "page_id", F.when(by_dom, F.col("dom")).otherwise(F.col("structured")).alias("reviews"), F.when(by_dom, "dom").otherwise("structured-data").alias("strategy")
     )
-    chosen = F.when(F.col("n_dom") > F.col("n_structured"), "dom").otherwise("structured-data")
-    return counted.where(F.col("strategy") == chosen).drop("n_dom", "n_structured")
+    return _listed(chosen, "reviews", "strategy")
 
 
 # ---------------------------------------------------------------- product facts
@@ -397,7 +438,7 @@ def product_facts(pages: DataFrame) -> DataFrame:
     rows = H.bind(
         with_nodes(pages).select("page_id", "url", "nodes"), blocks=H.script_blocks(nodes, "(?i)ld\\+json")
     )
-    rows = rows.select("page_id", "url", "nodes", H.ld_objects(F.col("blocks")).alias("objects"))
+    rows = rows.select("page_id", "url", "nodes", H.ld_products(F.col("blocks")).alias("objects"))
     rows = H.bind(rows, objects=F.col("objects"))
     parsed = F.transform("objects", lambda o: F.try_parse_json(o))
     products = F.filter(parsed, lambda v: _typed(v, "(?i)^product$"))
@@ -629,21 +670,53 @@ def short_videos(pages: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- product identity
 
 
-def detect_products(pages: DataFrame) -> DataFrame:
+def by_site_rules(nodes: Column, url: Column, rules: RuleSet = DEFAULT) -> Column:
+    """(site, id, title, confidence) of the first site whose rules apply and find an id or a title; ``nodes`` are
+    marked by the rules' selectors."""
+    selectors, labels, tail = rules.selectors(), host_labels(host(url)), path(url)
+
+    def marked(mark: Column) -> Column:
+        return F.filter(nodes, lambda n: F.exists(n["marks"], lambda m: m["k"] == mark))
+
+    def applies(r: Column) -> Column:
+        return F.when(r["source"] == "host", F.array_contains(labels, r["pattern"])).otherwise(F.size(marked(r["mark"])) > 0)
+
+    def read(r: Column) -> Column:
+        in_url = F.call_function("regexp_extract", tail, r["pattern"], F.lit(1))
+        on_page = _let(
+            F.get(marked(r["mark"]), F.lit(0)),
+            lambda n: squeeze(F.when(r["take"].isNull(), H.text_of(nodes, n)).otherwise(H.attr(n, r["take"]))),
+        )
+        return F.when(r["source"] == "page", on_page).otherwise(in_url)
+
+    def first(field: str, site: Column) -> Column:
+        mine = F.filter(literal(rules.of_field(field, generic=False), selectors), lambda r: r["site"] == site)
+        return H.first_value(F.transform(mine, read))
+
+    held = F.filter(literal(rules.of_field("applies"), selectors), applies)
+    confidences = literal(rules.of_field("confidence"))
+    found = F.transform(
+        F.array_distinct(F.transform(held, lambda r: r["site"])),
+        lambda s: F.struct(
+            s.alias("site"),
+            first("product_id", s).alias("id"),
+            first("title", s).alias("title"),
+            F.get(F.filter(confidences, lambda r: r["site"] == s), F.lit(0))["pattern"].alias("confidence"),
+        ),
+    )
+    return F.get(F.filter(found, lambda x: x["id"].isNotNull() | x["title"].isNotNull()), F.lit(0))
+
+
+def detect_products(pages: DataFrame, rules: RuleSet = DEFAULT) -> DataFrame:
     """Product id, title, canonical URL and confidence of each page.
 
-    Strategies in order of trust: JSON-LD, microdata, site URL rules, meta tags, URL shape,
+    Strategies in order of trust: JSON-LD, microdata, the table of site rules, meta tags, URL shape,
     and last the page's own heading. The first value found wins per field.
     """
     nodes = F.col("nodes")
-    rows = H.bind(
-        with_nodes(pages).select("page_id", "url", "nodes"),
-        blocks=H.script_blocks(nodes, r"^application/ld\+json$"),
-    )
-    rows = rows.select("page_id", "url", "nodes", H.identity_objects(F.col("blocks")).alias("objects"))
-    rows = H.bind(rows, objects=F.col("objects"))
-    parsed = F.transform("objects", lambda o: F.try_parse_json(o))
-    product = F.get(F.filter(parsed, lambda v: _typed(v, "(?i)product")), F.lit(0))
+    parse = H.parsed_pages([H.css(s) for s in rules.selectors()], [], ("type", r"^application/ld\+json$"), H.IDENTITY_KEYS, "(?i)product")
+    rows = H.bind(pages.select("page_id", "url", parse(F.col("html")).alias("page")), nodes=F.col("page.nodes"), objects=F.col("page.objects")).drop("page")
+    product = F.try_parse_json(F.get("objects", F.lit(0)))
     scope = F.get(
         F.filter(nodes, lambda n: F.coalesce(H.attr(n, "itemtype").rlike(r"(?i)schema\.org/Product"), F.lit(False))), F.lit(0)
     )
@@ -665,6 +738,7 @@ def detect_products(pages: DataFrame) -> DataFrame:
         "nodes",
         product.alias("ld"),
         scope.alias("scope"),
+        by_site_rules(nodes, F.col("url"), rules).alias("rule"),
         F.nullif(heading, F.lit("")).alias("heading"),
         F.nullif(page_title, F.lit("")).alias("page_title"),
         (F.coalesce(buy, F.lit(False)) & F.coalesce(body.rlike(PRICE_NEAR_PATTERN), F.lit(False))).alias("buy_signals"),
@@ -690,31 +764,28 @@ def detect_products(pages: DataFrame) -> DataFrame:
     ld = F.col("ld")
     ld_id = F.coalesce(*[_scalar(ld, f"$.{k}") for k in ("sku", "mpn", "productID", "gtin13", "gtin")])
     rows = rows.select(
-        "page_id", "url", "heading", "page_title", "buy_signals", "canonical", "og_type", "meta_title", "meta_url", "meta_id",
+        "page_id", "url", "rule", "heading", "page_title", "buy_signals", "canonical", "og_type", "meta_title", "meta_url", "meta_id",
         F.trim(ld_id).alias("ld_id"),
         _filled(ld, "$.name").alias("ld_title"),
         _filled(ld, "$.url").alias("ld_url"),
         F.coalesce(prop("sku"), prop("mpn"), prop("productID")).alias("micro_id"),
         prop("name").alias("micro_title"),
         prop("url").alias("micro_url"),
-        product_id_from_url(F.col("url")).alias("url_id"),
-        site_of(F.col("url")).alias("site"),
+        F.col("rule.id").alias("rule_id"),
+        shape_id(F.col("url"), rules).alias("shape_id"),
     )
-    by_rule = F.col("site") != host(F.col("url"))
-    rule_id = F.when(by_rule, F.col("url_id"))
-    shape_id = F.when(~by_rule, F.col("url_id"))
     ids = [("json-ld", "ld_id"), ("microdata", "micro_id"), ("site-rules", "rule_id"), ("meta", "meta_id"), ("url-shape", "shape_id")]
-    rows = rows.withColumns({"rule_id": rule_id, "shape_id": shape_id})
     known = F.coalesce(*[F.col(c) for _, c in ids])
     candidate = F.coalesce("heading", F.get(F.split("page_title", r"\s+[|–—·:]\s+"), F.lit(0)))
     furniture = F.coalesce(candidate.rlike(NOT_A_PRODUCT_PATTERN), F.lit(False))
     trusted = F.col("heading").isNotNull() | known.isNotNull() | F.col("buy_signals")
     guess = F.when(~furniture & trusted, candidate)
-    title = F.coalesce("ld_title", "micro_title", F.when(by_rule, F.col("heading")), "meta_title", guess)
+    title = F.coalesce("ld_title", "micro_title", F.col("rule.title"), "meta_title", guess)
     via = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(name)) for name, c in ids])
     meta_confidence = F.when(F.col("og_type").rlike("(?i)product"), "high").otherwise("medium")
     confidence = (
-        F.when(via.isin("json-ld", "microdata", "site-rules"), "high")
+        F.when(via.isin("json-ld", "microdata"), "high")
+        .when(via == "site-rules", F.col("rule.confidence"))
         .when(via == "meta", meta_confidence)
         .when(via == "url-shape", "low")
         .when(title.isNotNull(), "low")
@@ -727,7 +798,7 @@ def detect_products(pages: DataFrame) -> DataFrame:
         known.alias("product_id"),
         title.alias("title"),
         F.coalesce(declared, fallback).alias("canonical_url"),
-        "site",
+        F.coalesce("rule.site", host(F.col("url"))).alias("site"),
         via.alias("id_from"),
         confidence.alias("confidence"),
         (known.isNotNull() | title.isNotNull()).alias("detected"),

@@ -8,7 +8,9 @@ Spark expressions on the array, without a shuffle.
 from __future__ import annotations
 
 import json
+import re
 import sys
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -28,9 +30,14 @@ NODES = T.ArrayType(
             T.StructField("tag", T.StringType()),
             T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
             T.StructField("text", T.StringType()),
+            # Selectors that the node matches: number in the list, and how many matched before it on the page.
+            T.StructField("marks", T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("nth", T.IntegerType())]))),
+            # The innermost noise element that the node is or lies in; -1: none.
+            T.StructField("noise", T.IntegerType()),
         ]
     )
 )
+PAGE = T.StructType([T.StructField("nodes", NODES), T.StructField("objects", T.ArrayType(T.StringType()))])
 _ARROW_NODES = pa.list_(
     pa.struct(
         [
@@ -39,9 +46,12 @@ _ARROW_NODES = pa.list_(
             ("tag", pa.string()),
             ("attrs", pa.map_(pa.string(), pa.string())),
             ("text", pa.string()),
+            ("marks", pa.list_(pa.struct([("k", pa.int32()), ("nth", pa.int32())]))),
+            ("noise", pa.int32()),
         ]
     )
 )
+_ARROW_PAGE = pa.struct([("nodes", _ARROW_NODES), ("objects", pa.list_(pa.string()))])
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 #: Start tag to the open elements it ends where their end tags were left out, and the elements that search stops at.
@@ -60,16 +70,127 @@ _BLOCKS = set(
 )
 
 
+_COMPOUND = re.compile(
+    r"""(?P<tag>^[a-z][a-z0-9]*)|\#(?P<id>[\w-]+)|\.(?P<class>[\w-]+)
+    |\[(?P<name>[\w:-]+)(?:(?P<op>[*^!~]?)=(?P<quote>["']?)(?P<value>.*?)(?P=quote)(?P<any>\s+i)?)?\]""",
+    re.VERBOSE,
+)
+
+
+def css(selector: str) -> tuple:
+    """A CSS selector as (tag, tests, ancestor's (tag, tests) or None).
+
+    Known are tag, #id, .class, [a], [a="v"], [a*="v"] and [a^="v"] (both in any case), [a~="v"], [a!="v"] (has the
+    attribute with another value), and one ancestor before a space.
+    """
+
+    def compound(text: str) -> tuple:
+        tag, tests, at = None, [], 0
+        while at < len(text):
+            m = _COMPOUND.match(text, at) if at else _COMPOUND.match(text)
+            if not m:
+                raise ValueError(f"unknown selector {selector!r}")
+            at = m.end()
+            if m["tag"]:
+                tag = m["tag"]
+            elif m["id"] or m["class"]:
+                tests.append(("id", "eq", m["id"]) if m["id"] else ("class", "word", m["class"]))
+            else:
+                kind = {"*": "like", "^": "start", "!": "other", "~": "word", "": "same" if m["any"] else "eq", None: "has"}[m["op"]]
+                tests.append((m["name"], kind, m["value"]))
+        return tag, tuple(tests)
+
+    parts = re.split(r"\s+(?![^\[]*\])", selector.strip())
+    if not 1 <= len(parts) <= 2 or not parts[0]:
+        raise ValueError(f"unknown selector {selector!r}")
+    return (*compound(parts[-1]), compound(parts[0]) if len(parts) == 2 else None)
+
+
+def of_fields(tag: str | None, name: str | None = None, op: str | None = None, value: str | None = None, in_attr: str | None = None, in_value: str | None = None) -> tuple:
+    """The same form of a selector given as fields (see ``selector_list``)."""
+    within = (None, ((in_attr, "word" if in_attr == "class" else "eq", in_value),)) if in_attr else None
+    return tag, ((name, op, value),) if op else (), within
+
+
+def _holds(tests: tuple, attrs: dict[str, str]) -> bool:
+    for name, op, value in tests:
+        had = attrs.get(name)
+        if op == "absent":
+            if had is not None:
+                return False
+        elif had is None:
+            return False
+        elif op == "eq":
+            if had != value:
+                return False
+        elif op == "like":
+            if value.lower() not in had.lower():
+                return False
+        elif op == "start":
+            if not had.lower().startswith(value.lower()):
+                return False
+        elif op == "word":
+            if value not in had.split(" "):
+                return False
+        elif op == "same":
+            if had.lower() != value.lower():
+                return False
+        elif op == "other" and had == value:
+            return False
+    return True
+
+
+class Matcher:
+    """Which of a list of selectors an element matches, by its tag, attributes and open ancestors.
+
+    Selectors are filed under one attribute they ask for, or else their tag, so that an element is held against few of them.
+    """
+
+    def __init__(self, selectors: list[tuple], noise: frozenset[int] = frozenset()):
+        self.selectors, self.noise = selectors, noise
+        self.by_tag: dict[str | None, list[int]] = {}
+        self.by_attr: dict[str, list[int]] = {}
+        for k, (tag, tests, _) in enumerate(selectors):
+            asked = [name for name, op, _ in tests if op != "absent"]
+            if asked:
+                self.by_attr.setdefault(asked[0], []).append(k)
+            else:
+                self.by_tag.setdefault(tag, []).append(k)
+
+    def matches(self, tag: str, attrs: dict[str, str], ancestors) -> list[int]:
+        tried = [*self.by_tag.get(tag, ()), *self.by_tag.get(None, ())]
+        for name in attrs:
+            tried += self.by_attr.get(name, ())
+        found = []
+        for k in tried:
+            wanted, tests, within = self.selectors[k]
+            if (wanted is None or wanted == tag) and _holds(tests, attrs):
+                if within is None or any((within[0] is None or within[0] == t) and _holds(within[1], a) for t, a in ancestors()):
+                    found.append(k)
+        return sorted(found)
+
+
 class _Nodes(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, matcher: Matcher) -> None:
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.open: list[int] = []
+        self.matcher, self.seen = matcher, {}
+
+    def _ancestors(self):
+        return ((self.nodes[i]["tag"], self.nodes[i]["had"]) for i in self.open)
 
     def _add(self, tag: str, attrs: list, text: str | None) -> int:
-        i = len(self.nodes)
+        i, marks = len(self.nodes), []
+        noise = self.nodes[self.open[-1]]["noise"] if self.open else -1
         unique = {k: v or "" for k, v in reversed(attrs)}
-        self.nodes.append({"i": i, "last": i, "tag": tag, "attrs": list(unique.items()), "text": text})
+        if text is None:
+            for k in self.matcher.matches(tag, unique, self._ancestors):
+                nth = self.seen.get(k, 0)
+                self.seen[k] = nth + 1
+                marks.append({"k": k, "nth": nth})
+                noise = i if k in self.matcher.noise else noise
+        self.nodes.append({"i": i, "last": i, "tag": tag, "attrs": list(unique.items()), "text": text, "marks": marks, "noise": noise, "had": unique})
         return i
 
     def end(self, depth: int) -> None:
@@ -112,8 +233,11 @@ class _Nodes(HTMLParser):
             self._add("#data" if inside in ("script", "style") else "#text", [], data)
 
 
-def _parse(html: str | None) -> list[dict]:
-    parser = _Nodes()
+_NO_SELECTORS = Matcher([])
+
+
+def _parse(html: str | None, matcher: Matcher = _NO_SELECTORS) -> list[dict]:
+    parser = _Nodes(matcher)
     parser.feed(html or "")
     parser.close()
     parser.end(0)
@@ -126,44 +250,81 @@ def dom_nodes(html: pa.Array) -> pa.Array:
     return pa.array([_parse(h.as_py()) for h in html], type=_ARROW_NODES)
 
 
-def _objects(value, keys, depth: int, found: list[str]) -> None:
-    if depth < 0:
-        return
-    if isinstance(value, list):
-        for item in value:
-            _objects(item, keys, depth - 1, found)
-    elif isinstance(value, dict):
-        found.append(json.dumps(value))
-        for key in value if keys is None else keys:
-            if key in value:
-                _objects(value[key], keys, depth - 1, found)
+def walk(value, keys: list[str] | None, wanted) -> Iterator[dict]:
+    """The wanted objects of a JSON value, outer ones first, to any depth; ``keys`` limits which fields are followed."""
+    waiting = [value]
+    while waiting:
+        value = waiting.pop()
+        if isinstance(value, list):
+            waiting.extend(reversed(value))
+        elif isinstance(value, dict):
+            if wanted(value):
+                yield value
+            waiting.extend(value[k] for k in reversed(list(value) if keys is None else keys) if k in value)
 
 
-def json_objects(keys: list[str] | None, depth: int):
-    """A column function: JSON blocks to every object reached in them, as JSON text.
+def _wanted(types: str | None, fields: list[str]):
+    """Objects whose @type, alone or in a list, matches a pattern, and that have one of ``fields`` at least."""
+    shape = re.compile(types) if types else None
+
+    def test(value: dict) -> bool:
+        kinds = value.get("@type")
+        kinds = kinds if isinstance(kinds, list) else [kinds]
+        return (shape is None or any(isinstance(k, str) and shape.search(k) for k in kinds)) and (not fields or any(f in value for f in fields))
+
+    return test
 
-    ``keys`` limits which fields are followed; a malformed block yields nothing.
-    """
+
+def _found(blocks: list[str], keys: list[str] | None, wanted) -> list[str]:
+    """JSON text of the wanted objects; a malformed block has none."""
+    found: list[str] = []
+    for block in blocks:
+        try:
+            found += [json.dumps(o) for o in walk(json.loads(block), keys, wanted)]
+        except (ValueError, RecursionError):
+            continue
+    return found
+
+
+def json_objects(keys: list[str] | None, types: str | None = None, fields: list[str] | None = None):
+    """A column function: JSON blocks to the objects reached in them, as JSON text (see ``walk`` and ``_wanted``)."""
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def objects(blocks: pa.Array) -> pa.Array:
-        rows = []
-        for page in blocks:
-            found: list[str] = []
-            for block in page.as_py() or []:
-                try:
-                    _objects(json.loads(block), keys, depth, found)
-                except ValueError:
-                    continue
-            rows.append(found)
-        return pa.array(rows, type=pa.list_(pa.string()))
+        wanted = _wanted(types, fields or [])
+        return pa.array([_found(page.as_py() or [], keys, wanted) for page in blocks], type=pa.list_(pa.string()))
 
     return objects
 
 
-ld_objects = json_objects(["@graph", "review", "reviews", "mainEntity", "itemListElement", "item"], 8)
-identity_objects = json_objects(["@graph", "mainEntity", "item"], 6)
-state_objects = json_objects(None, 10)
+def parsed_pages(selectors: list[tuple], noise: list[int], script: tuple[str, str], keys: list[str] | None, types: str | None = None, fields: list[str] | None = None):
+    """A column function: a page to its nodes, each with the selectors it matches, and the wanted JSON objects of its scripts.
+
+    One parse of the page and one walk over its tags, whatever the number of selectors. ``script`` is an attribute of script elements
+    and the pattern its value has where they hold JSON.
+    """
+
+    @F.arrow_udf(PAGE)
+    def parse(html: pa.Array) -> pa.Array:
+        matcher, wanted, shape = Matcher(selectors, frozenset(noise)), _wanted(types, fields or []), re.compile(script[1])
+        rows = []
+        for page in html:
+            nodes = _parse(page.as_py(), matcher)
+            blocks = [
+                "".join(m["text"] or "" for m in nodes[n["i"] + 1 : n["last"] + 1])
+                for n in nodes
+                if n["tag"] == "script" and shape.search(n["had"].get(script[0], ""))
+            ]
+            rows.append({"nodes": nodes, "objects": _found(blocks, keys, wanted)})
+        return pa.array(rows, type=_ARROW_PAGE)
+
+    return parse
+
+
+LD_KEYS = ["@graph", "review", "reviews", "mainEntity", "itemListElement", "item"]
+IDENTITY_KEYS = ["@graph", "mainEntity", "item"]
+ld_products = json_objects(LD_KEYS, "(?i)^product$")
+state_objects = json_objects(None, fields=["desc"])
 
 
 # ---------------------------------------------------------------- expressions over node arrays
@@ -266,6 +427,19 @@ def pick_attr(nodes: Column, selectors: Column, name: str) -> Column:
     return first_value(F.transform(select(nodes, selectors), lambda n: attr(n, name)))
 
 
+def marked(nodes: Column, first: int, count: int) -> Column:
+    """Nodes that match one of ``count`` selectors of the parse, from number ``first`` on."""
+    return F.filter(nodes, lambda n: F.exists(n["marks"], lambda m: (m["k"] >= first) & (m["k"] < first + count)))
+
+
+def by_selector(nodes: Column, first: int, count: int) -> Column:
+    """The same, selector by selector, each in document order; ``nodes`` is walked once."""
+    few = F.array(marked(nodes, first, count))
+    ranks = F.sequence(F.lit(first), F.lit(first + count - 1))
+    each = F.transform(few, lambda f: F.flatten(F.transform(ranks, lambda k: F.filter(f, lambda n: F.exists(n["marks"], lambda m: m["k"] == k)))))
+    return F.get(each, F.lit(0))
+
+
 def script_blocks(nodes: Column, type_pattern: str) -> Column:
     scripts = F.filter(
         nodes,

@@ -2,9 +2,13 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from reviewtrust.functions import urls as U
 from reviewtrust.operators import pages as PG
+from reviewtrust.sources import html as H
+from reviewtrust.sources import rules
 
 TODAY = datetime.date(2024, 6, 15)
 LD = """<script type="application/ld+json">{"@graph":[{"@type":"Product","name":"Lamp","sku":"L1","image":["/i.png"],
@@ -100,3 +104,76 @@ def test_long_lists_are_read_whole(spark):
     assert PG.dom_reviews(page(spark, cards), TODAY).count() == 450
     cells = "".join(f'<div class="item-cell"><a class="item-title" href="/p/{i}">Lamp {i}</a></div>' for i in range(25))
     assert PG.search_listings(page(spark, cells, url="https://www.newegg.com/p/pl?d=lamp")).count() == 25
+
+
+SHOPS = [
+    ("https://www.amazon.co.uk/x/dp/B0ABCDEFGH?th=1", '<span id="productTitle"> Acme   lamp </span>', "B0ABCDEFGH", "Acme lamp", "amazon", "high"),
+    ("https://www.amazon.com/x", '<input id="ASIN" value="B0INPUT000"><b id="title">Lamp</b>', "B0INPUT000", "Lamp", "amazon", "high"),
+    ("https://www.amazon.com/x", '<p data-asin=""></p><p data-asin="B0DATA0000"></p>', "B0DATA0000", None, "amazon", "high"),
+    ("https://ebay.de/itm/lamp/123456789", '<h1><i class="a ux-textspans--BOLD">Bold lamp</i> rest</h1>', "123456789", "Bold lamp", "ebay", "high"),
+    ("https://www.walmart.com/ip/lamp/55", '<h1>No</h1><h1 itemprop="name">Lamp</h1>', "55", "Lamp", "walmart", "high"),
+    ("https://www.bestbuy.com/site/lamp/6501234.p", '<h1 class="heading-5 v">Lamp</h1>', "6501234", "Lamp", "bestbuy", "high"),
+    ("https://www.etsy.com/listing/77", "<h1 data-buy-box-listing-title>Lamp</h1>", "77", "Lamp", "etsy", "high"),
+    ("https://de.aliexpress.com/item/x1234567.html", "<h1 data-pl>Lamp</h1>", "1234567", "Lamp", "aliexpress", "high"),
+    ("https://www.jumia.com.ng/lamp-123.html", '<div data-sku="SK9"></div><h1 class="-fs20">Lamp</h1>', "SK9", "Lamp", "jumia", "high"),
+    ("https://lamps.example/products/desk-lamp", '<script src="https://CDN.shopify.com/a.js"></script><h1 class="product__title">Lamp</h1>', "desk-lamp", "Lamp", "shopify", "medium"),
+    ("https://lamps.example/products/desk-lamp", "<h1>Lamp</h1>", "desk-lamp", "Lamp", "lamps.example", "low"),
+    ("https://myamazon.org/dp/B0ABCDEFGH", "<h1>Lamp</h1>", "B0ABCDEFGH", "Lamp", "myamazon.org", "low"),
+]
+
+
+def _shops(spark):
+    rows = [(i, url, f"<html><body>{body}</body></html>") for i, (url, body, *_) in enumerate(SHOPS)]
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string")
+
+
+def test_site_rules_of_every_shop(spark):
+    got = PG.detect_products(_shops(spark)).orderBy("page_id").collect()
+    assert [(r["product_id"], r["title"], r["site"], r["confidence"]) for r in got] == [s[2:] for s in SHOPS]
+
+
+def test_a_new_shop_is_a_row_of_the_stored_table(spark, tmp_path):
+    more = [
+        ("lampshop", -1, "applies", 0, "host", "lamps", None),
+        ("lampshop", -1, "product_id", 0, "page", "div.buy[data-lamp]", "data-lamp"),
+        ("lampshop", -1, "title", 0, "page", "main [role=heading]", None),
+        ("lampshop", -1, "confidence", 0, "fixed", "medium", None),
+        ("lampshop", 9, "adapter", 0, "host", "lamps", None),
+        ("lampshop", 9, "review_id", 0, "url", r"/products/([\w-]+)", None),
+        ("lampshop", 9, "review_page", 0, "template", "https://{netloc}/r/{id}", None),
+        ("lampshop", 9, "next_page", 0, "count", "p", None),
+    ]
+    known = rules.DEFAULT.table(spark)
+    known.unionByName(spark.createDataFrame(more, known.schema)).write.parquet(f"{tmp_path}/rules")
+    table = rules.read_rules(spark, f"{tmp_path}/rules")
+    body = '<div class="buy x" data-lamp="L7"></div><main><b role="heading">Desk  lamp</b></main><h1>Other</h1>'
+    url = "https://lamps.example/products/desk-lamp"
+    row = PG.detect_products(page(spark, body, url=url), table).first()
+    assert (row["product_id"], row["title"], row["site"], row["confidence"]) == ("L7", "Desk lamp", "lampshop", "medium")
+    c = spark.range(1).select(F.lit(url).alias("u"))
+    adapter = U.site_adapter(F.col("u"), F.lit(None).cast("string"), table)
+    one = c.select(adapter, U.review_page_urls(F.col("u"), F.lit("x"), adapter, table), U.next_page_url(F.lit("https://a?p=2"), F.lit(2), adapter, F.lit("adv"), table)).first()
+    assert tuple(one) == ("lampshop", ["https://lamps.example/r/desk-lamp"], "https://a?p=3")
+    assert PG.detect_products(_shops(spark), table).orderBy("page_id").first()["site"] == "amazon"
+
+
+def test_selectors_that_are_not_known_are_refused(spark):
+    for bad in ("a > b", "a b c", "", "a:hover", "[x"):
+        with pytest.raises(ValueError, match="unknown selector"):
+            H.css(bad)
+
+
+def test_json_is_walked_to_any_depth_without_copies_of_what_is_around():
+    deep = {"@type": "Review", "reviewBody": "deep"}
+    for _ in range(400):
+        deep = {"@graph": [{"item": deep}]}
+    assert [o["reviewBody"] for o in H.walk(deep, H.LD_KEYS, H._wanted("Review", []))] == ["deep"]
+    assert list(H.walk([{"a": 1, "b": {"desc": 1, "c": {"desc": 2}}}, {"desc": 3}], None, H._wanted(None, ["desc"]))) == [
+        {"desc": 1, "c": {"desc": 2}}, {"desc": 2}, {"desc": 3},
+    ]
+
+
+def test_one_python_evaluation_and_no_shuffle_for_page_reviews(spark):
+    for made in (PG.page_reviews, PG.dom_reviews):
+        plan = made(page(spark, LD + CARDS), TODAY)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
