@@ -238,3 +238,40 @@ def test_claimed_high_on_ten_reviews(spark):
     got = V.apply_caution(row).first()
     assert got["confidence"] == "low" and len(got["caveats"]) == 3
     assert got["trust_score"] == 100 and got["star_rating"] == 4.5 and len(got["adjustments"]) == 3
+
+
+def test_free_form_dates_read_as_a_date_parser_reads_them(spark):
+    """Random dates in many layouts against a public date parser that fills what is missing from the same day."""
+    import random
+
+    from dateutil import parser
+
+    random.seed(3)
+    today = datetime.date.today()
+    layouts = [
+        "%B %d, %Y", "%d %b %Y", "%b %Y", "%B %d", "%Y", "%m/%d/%Y", "%m/%d/%y", "%d.%m.%Y", "%Y/%m/%d", "%Y-%m-%dT%H:%M:%SZ",
+        "%Y-%m-%d %H:%M:%S.%f", "%a, %d %b %Y %H:%M:%S +0200", "%A %dth of %B %Y", "%d-%b-%y", "%b-%d-%Y", "%Y %B %d", "%Y%m%d", "%I:%M %p, %B %d, %Y",
+        "%y-%b-%d", "%B '%y was bought", "%d %B %Y at %H:%M", "in %B of %Y", "%d/%m/%Y", "%m-%d-%Y %I%p", "%Y-%m", "%d%b%Y", "%H:%M %d %b %y",
+    ]
+    texts = []
+    for _ in range(1500):
+        day = datetime.datetime(1990, 1, 1) + datetime.timedelta(days=random.randrange(365 * 37), seconds=random.randrange(86400))
+        texts.append(day.strftime(random.choice(layouts)))
+    texts += ["13/13/2020", "31 Feb 2021", "2024-02-30", "May 2021 June", "march", "12/11/2023/9", "March 99 2020", "no date 2023 here"]
+    start = datetime.datetime(today.year, today.month, today.day)
+
+    def read(text):
+        try:
+            got = parser.parse(text, fuzzy=True, default=start)
+        except (ValueError, OverflowError):
+            return None
+        return got.date() if 1995 <= got.year <= today.year + 1 else None
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = df.select("i", P.parse_date(F.col("text"), today).alias("d")).orderBy("i").collect()
+    wrong = [(texts[r["i"]], r["d"], read(texts[r["i"]])) for r in got if P_looks_like_date(texts[r["i"]]) and r["d"] != read(texts[r["i"]])]
+    assert not wrong, wrong[:20]
+
+
+def P_looks_like_date(text):
+    return re.search(P.DATE_LIKE_PATTERN, text) is not None
