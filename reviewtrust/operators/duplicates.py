@@ -3,15 +3,20 @@
 Copies of one text (the same words) are one class, named by its lowest review id: however many copies there are, they
 cost one aggregate and one join, and only the class takes part in the search for similar texts.
 
-Similar texts are found by an exact prefix join. Two sets that overlap by a share t must meet in the rarest n - ceil(t n) + 1
-elements of each, so only these are joined, rarest first, and a pair goes on only if its sizes and the places of
-the common element still allow t. No element is skipped for being frequent, and no list of holders is collected: each step is
-an equi-join or an aggregate keyed by (product, element) or (product, review), which AQE splits where it is skewed.
+Similar texts are found by an exact prefix join. Two sets that overlap by a share t must meet in the first n - ceil(t n) + 1
+elements of each under any one order of elements; the order puts frequent ones last, by counts of ``ORDER_BUCKETS`` hash buckets
+that every task holds, so a review's prefix is cut where the review is read and only prefixes are shuffled, once. A pair
+goes on only if its sizes and the places of the common element still allow t. No element is skipped for being frequent, and
+no list of holders is collected.
+
+Clusters need no list of all links (``family_clusters``): the holders of an element are first checked against one of them, and
+after that only pairs that still lie in different components are made, so a family of near copies costs rows in
+proportion to its members.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewtrust.config import DEFAULTS, Settings
@@ -26,13 +31,16 @@ from reviewtrust.functions.text import (
 from reviewtrust.operators.components import connected_components
 
 KEY = ["product_id", "review_id"]
+#: Where a review's peak similarity weighs in full.
+SURE = 0.8
 
 
-def review_sets(reviews: DataFrame) -> DataFrame:
+def review_sets(reviews: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Hashed word pairs, triples and content words of each review; ``copy_key`` is null without words."""
-    words = reviews.select(*KEY, tokens(F.col("text")).alias("w"))
+    words = reviews.select(*KEY, *keep, tokens(F.col("text")).alias("w"))
     return words.select(
         *KEY,
+        *keep,
         hashed_shingles(F.col("w"), 2).alias("pairs"),
         hashed_shingles(F.col("w"), 3).alias("triples"),
         hashed_content(F.col("w")).alias("content"),
@@ -53,35 +61,65 @@ def _overlaps(threshold: float) -> dict[str, float]:
     return {"triples": threshold, "pairs": threshold / 0.85, "content": dice / (2 - dice)}
 
 
+#: Buckets by which elements are ordered: one short list of counts, whatever the input.
+ORDER_BUCKETS = 1 << 16
+_HOLDER = ["review_id", "n", "place"]
+
+
+def _kinds(threshold: float) -> dict[str, float]:
+    return {k: t - 1e-9 for k, t in _overlaps(threshold).items()}
+
+
+def element_weights(sets: DataFrame) -> Column:
+    """How often the elements of each bucket occur, as a literal array: ``ORDER_BUCKETS`` numbers come to the driver."""
+    elements = sets.select(F.explode_outer(F.concat(*_overlaps(0.5))).alias("e")).where(F.col("e").isNotNull())
+    counted = elements.groupBy(F.pmod("e", F.lit(ORDER_BUCKETS)).alias("bucket")).agg(F.count("*").alias("n")).collect()
+    counts = {r["bucket"]: r["n"] for r in counted}
+    return F.split(F.lit(",".join(str(counts.get(k, 0)) for k in range(ORDER_BUCKETS))), ",").cast("array<bigint>")
+
+
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(kind, product_id, element, review_id, n, place): the first elements of each set, the least frequent buckets first."""
+    weights = element_weights(sets)
+
+    def cut(kind: str, t: float) -> Column:
+        keyed = F.transform(kind, lambda e: F.struct(F.get(weights, F.pmod(e, F.lit(ORDER_BUCKETS)).cast("int")).alias("w"), e.alias("e")))
+        first = F.slice(F.array_sort(keyed), F.lit(1), (F.size(kind) - F.ceil(F.lit(t) * F.size(kind)) + 1).cast("int"))
+        taken = F.when(F.size(kind) > 0, F.transform(first, lambda x: x["e"])).otherwise(F.array().cast("array<bigint>"))
+        return F.struct(F.lit(kind).alias("kind"), F.size(kind).alias("n"), taken.alias("elements"))
+
+    each = F.explode(F.array(*(cut(k, t) for k, t in _kinds(threshold).items())))
+    held = sets.select(*KEY, each.alias("s")).select(*KEY, "s.*")
+    # posexplode_outer: a plain explode makes the optimizer push a "not empty" filter down to the scan.
+    rows = held.select(*KEY, "kind", "n", F.posexplode_outer("elements").alias("at", "element")).where("element is not null")
+    return rows.select("kind", "product_id", "element", "review_id", "n", (F.col("at") + 1).alias("place"))
+
+
+_ELEMENT = ["kind", "product_id", "element"]
+
+
+def _possible(threshold: float) -> Column:
+    """Do sizes and places of a common element still allow the overlap its kind needs? For columns l_n, l_place, r_n, r_place."""
+    t = F.create_map(*(x for k, v in _kinds(threshold).items() for x in (F.lit(k), F.lit(v))))[F.col("kind")]
+    rest = F.least(F.col("l_n") - F.col("l_place"), F.col("r_n") - F.col("r_place")) + 1
+    return (F.least("l_n", "r_n") >= t * F.greatest("l_n", "r_n")) & (rest >= t / (t + 1) * (F.col("l_n") + F.col("r_n")))
+
+
+def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
+    return rows.select(*_ELEMENT, *(F.col(c).alias(f"{side}_{c}") for c in (*_HOLDER, *more)))
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Distinct pairs, the lower review on the left."""
+    ids = ("l_review_id", "r_review_id")
+    return rows.select("product_id", F.least(*ids).alias("left_id"), F.greatest(*ids).alias("right_id")).distinct()
+
+
 def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """Review pairs (left_id < right_id) among which are all that reach ``threshold`` (at most 0.75) in some set."""
-    needed = {k: t - 1e-9 for k, t in _overlaps(threshold).items()}
-    held = sets.select(*KEY, F.explode(F.array(*(
-        F.struct(F.lit(k).alias("kind"), F.lit(t).alias("t"), F.size(k).alias("n"), F.col(k).alias("elements"))
-        for k, t in needed.items()
-    ))).alias("s")).select(*KEY, "s.*")
-    # explode_outer: a plain explode makes the optimizer push a "not empty" filter down to the scan.
-    held = held.withColumn("element", F.explode_outer("elements")).drop("elements").where(F.col("element").isNotNull())
-    key = ["element", "kind", "product_id"]
-    # An element that one review alone holds joins nothing, but takes its place among the rarest.
-    shared = held.groupBy(*key).agg(F.count("*").alias("holders")).where("holders > 1")
-    inside = Window.partitionBy(*KEY, "kind")
-    ranked = held.join(shared, key).withColumn(
-        "place",
-        F.row_number().over(inside.orderBy("holders", "element")) + F.col("n") - F.count("*").over(inside),
-    )
-    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("t") * F.col("n")) + 1)
-    left = prefix.select(*key, "t", F.col("review_id").alias("left_id"), F.col("n").alias("ln"), F.col("place").alias("lp"))
-    right = prefix.select(*key, F.col("review_id").alias("right_id"), F.col("n").alias("rn"), F.col("place").alias("rp"))
-    possible = F.least(F.col("ln") - F.col("lp"), F.col("rn") - F.col("rp")) + 1
-    return (
-        left.join(right, key)
-        .where(F.col("left_id") < F.col("right_id"))
-        .where(F.least("ln", "rn") >= F.col("t") * F.greatest("ln", "rn"))
-        .where(possible >= F.col("t") / (F.col("t") + 1) * (F.col("ln") + F.col("rn")))
-        .select("product_id", "left_id", "right_id")
-        .distinct()
-    )
+    prefix = prefixes(sets, threshold)
+    joined = _side(prefix, "l").join(_side(prefix, "r"), _ELEMENT)
+    return _in_order(joined.where(F.col("l_review_id") < F.col("r_review_id")).where(_possible(threshold)))
 
 
 def pair_similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -243,6 +281,80 @@ def duplication_findings(reviews: DataFrame, settings: Settings = DEFAULTS) -> D
     )
 
 
+def family_clusters(reviews: DataFrame, settings: Settings = DEFAULTS, sure: float = SURE) -> DataFrame:
+    """The clusters of ``review_clusters`` without a list of all links, see ``clusters_of_sets``."""
+    from reviewtrust.session import Workspace
+
+    return clusters_of_sets(Workspace(reviews.sparkSession, "sets").write(review_sets(reviews)), settings, sure)
+
+
+def clusters_of_sets(sets: DataFrame, settings: Settings = DEFAULTS, sure: float = SURE) -> DataFrame:
+    """Clusters of a written table of ``review_sets``.
+
+    ``max_similarity`` is exact below ``sure``; from there on it is the similarity of some linked pair, ``sure`` or more. Three steps:
+
+    1. stars: every holder of an element is compared with the element's lowest holder, one row a holder;
+    2. bridges: of the pairs that share an element, those whose ends the stars left in different components;
+    3. peaks: pairs inside a component, for members without a link of ``sure`` or more so far.
+
+    A family whose members all resemble its lowest one by ``sure`` ends after the stars.
+    """
+    from reviewtrust.session import Workspace
+
+    space, threshold = Workspace(sets.sparkSession, "families"), settings.duplicate_similarity
+    classes = space.write(copy_classes(sets))
+    firsts = classes.where(F.col("review_id") == F.col("first_id")).select(*KEY)
+    texts = space.write(sets.select(*KEY, "pairs", "triples", "content").join(firsts, KEY, "left_semi"))
+    prefix = space.write(prefixes(texts, threshold))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return space.write(pair_similarity(_in_order(pairs.where(_possible(threshold))), texts).where(F.col("similarity") >= threshold))
+
+    def components(links: DataFrame) -> DataFrame:
+        found = connected_components(links.select("product_id", F.col("left_id").alias("a"), F.col("right_id").alias("b")))
+        return found.select("product_id", F.col("node").alias("review_id"), "component")
+
+    def labelled(named: DataFrame) -> DataFrame:
+        return space.write(prefix.join(named, KEY, "left").withColumn("component", F.coalesce("component", "review_id")))
+
+    lowest = prefix.groupBy(*_ELEMENT).agg(F.min(F.struct(*_HOLDER)).alias("low"), F.count("*").alias("holders"))
+    low = lowest.where("holders > 1").select(*_ELEMENT, *(F.col(f"low.{c}").alias(f"r_{c}") for c in _HOLDER))
+    stars = scored(_side(prefix, "l").join(low, _ELEMENT).where("l_review_id <> r_review_id"))
+
+    named = space.write(components(stars))
+    held = labelled(named)
+    # Elements of one component alone, as most of a family's are, make no bridge.
+    split = held.groupBy(*_ELEMENT).agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one < other")
+    open_ = held.join(split.select(*_ELEMENT), _ELEMENT, "left_semi")
+    across = _side(open_, "l", "component").join(_side(open_, "r", "component"), _ELEMENT).where("l_component < r_component")
+    bridges = scored(across)
+    links = stars
+    if not bridges.isEmpty():
+        links = stars.unionByName(bridges)
+        named = space.write(components(links))
+        held = labelled(named)
+
+    best = _endpoints(links).groupBy(*KEY).agg(F.max("similarity").alias("best"))
+    unsure = held.join(best.where(F.col("best") < sure).select(*KEY), KEY, "left_semi")
+    around = _side(unsure, "l", "component").join(_side(held, "r", "component"), _ELEMENT)
+    peaks = scored(around.where("l_component = r_component and l_review_id <> r_review_id"))
+    best = _endpoints(links.unionByName(peaks)).groupBy(*KEY).agg(F.max("similarity").alias("best"))
+
+    # A class of copies is a member of its text's component; a copy's peak is the copy.
+    first = ["product_id", "first_id"]
+    facts = (
+        classes.groupBy(*first).agg(F.count("*").alias("copies"))
+        .join(named.withColumnRenamed("review_id", "first_id"), first, "left")
+        .join(best.withColumnRenamed("review_id", "first_id"), first, "left")
+        .withColumn("cluster_id", F.coalesce("component", "first_id"))
+    )
+    sizes = facts.groupBy("product_id", "cluster_id").agg(F.sum("copies").alias("cluster_size")).where("cluster_size > 1")
+    known = facts.join(sizes, ["product_id", "cluster_id"]).select(
+        *first, "cluster_id", "cluster_size", F.when(F.col("copies") > 1, 1.0).otherwise(F.col("best")).alias("max_similarity")
+    )
+    return classes.join(known, first).select(*KEY, "cluster_id", "cluster_size", "max_similarity")
+
+
 def top_clusters(clusters: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """The largest clusters per product (lowest id first among equals)."""
     sizes = clusters.select("product_id", "cluster_id", "cluster_size").distinct()

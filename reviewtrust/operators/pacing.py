@@ -82,9 +82,13 @@ def burst_days(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 def pacing_report(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One row per product: sample size, span, burst days and the reason if not analyzed."""
+    return pacing_of_days(reviews.select("product_id").distinct(), day_report(reviews, settings), settings)
+
+
+def pacing_of_days(products: DataFrame, days: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """The same for distinct products, of the rows of :func:`day_report`."""
     per_product = (
-        day_report(reviews, settings)
-        .groupBy("product_id")
+        days.groupBy("product_id")
         .agg(
             F.first("usable_dates").alias("usable_dates"),
             F.first("distinct_days").alias("distinct_days"),
@@ -99,7 +103,6 @@ def pacing_report(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFram
             F.sum(F.when(F.col("in_burst"), F.col("day_count"))).alias("burst_reviews"),
         )
     )
-    products = reviews.select("product_id").distinct()
     usable = F.coalesce("usable_dates", F.lit(0))
     done = F.coalesce("analyzed", F.lit(False))
     return products.join(per_product, "product_id", "left").select(

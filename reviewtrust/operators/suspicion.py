@@ -64,6 +64,19 @@ def _signal(rule: str, fired: Column, weight: Column, detail: Column) -> Column:
     )
 
 
+def measure(reviews: DataFrame, settings: Settings = DEFAULTS, keep: tuple[str, ...] = ("source", "rating")) -> DataFrame:
+    """What the verdict needs of each review's own row; the text stays behind unless it is kept."""
+    measured = with_sentiment(reviews, praise_only=True)
+    return measured.select(
+        *KEY,
+        *keep,
+        *(c for c in ("verified_purchase", "review_date", "date_raw") if c not in keep),
+        _signal(
+            "contentless_praise", contentless(), contentless_weight(settings), contentless_detail()
+        ).alias("praise"),
+    )
+
+
 def score_reviews(
     reviews: DataFrame,
     clusters: DataFrame,
@@ -75,21 +88,20 @@ def score_reviews(
     ``clusters`` is the output of :func:`duplicates.review_clusters`; ``keep`` names review
     columns to carry along.
     """
-    measured = with_sentiment(reviews, praise_only=True)
-    bare = contentless()
-    measured = measured.select(
-        *KEY,
-        *keep,
-        "verified_purchase",
-        F.when(usable_date(), F.col("review_date")).alias("day"),
-        _signal(
-            "contentless_praise", bare, contentless_weight(settings), contentless_detail()
-        ).alias("praise"),
-    )
-    bursts = burst_days(reviews, settings).select(
-        "product_id", "day", "day_count", "usable_dates", "day_share"
-    )
-    joined = measured.join(
+    return score_measured(measure(reviews, settings, keep), clusters, burst_days(reviews, settings), settings, keep)
+
+
+def score_measured(
+    measured: DataFrame,
+    clusters: DataFrame,
+    bursts: DataFrame,
+    settings: Settings = DEFAULTS,
+    keep: tuple[str, ...] = ("source", "rating"),
+) -> DataFrame:
+    """Score and judge the rows of :func:`measure`; ``bursts`` are the rows of :func:`pacing.burst_days`."""
+    bursts = bursts.select("product_id", "day", "day_count", "usable_dates", "day_share")
+    dated = measured.withColumn("day", F.when(usable_date(), F.col("review_date")))
+    joined = dated.join(
         clusters.select(*KEY, "cluster_size", "max_similarity"), KEY, "left"
     ).join(bursts, ["product_id", "day"], "left")
     signals = F.array_compact(
@@ -115,7 +127,9 @@ def score_reviews(
             ),
         )
     ).cast(SIGNALS)
-    scored = joined.select(*KEY, *keep, "verified_purchase", signals.alias("signals"))
+    scored = joined.select(
+        *KEY, *keep, *(c for c in ("verified_purchase",) if c not in keep), signals.alias("signals")
+    )
     return judge(scored, settings)
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from reviewtrust.config import DEFAULTS, Settings
 from reviewtrust.operators import score as S
-from reviewtrust.operators.duplicates import review_clusters
-from reviewtrust.operators.pacing import pacing_report
+from reviewtrust.operators.duplicates import clusters_of_sets, review_clusters, review_sets
+from reviewtrust.operators.pacing import day_report, pacing_of_days
 from reviewtrust.operators.risk import review_risk
-from reviewtrust.operators.suspicion import score_reviews
+from reviewtrust.operators.suspicion import measure, score_measured, score_reviews
 from reviewtrust.operators.verdict import confidence_ceiling, run_status
 from reviewtrust.session import Workspace
 
@@ -18,12 +18,19 @@ from reviewtrust.session import Workspace
 def judged_reviews(
     reviews: DataFrame, settings: Settings = DEFAULTS, keep: tuple[str, ...] = ("source", "rating")
 ) -> tuple[DataFrame, DataFrame]:
-    """Verdict per review, and the clusters behind it."""
+    """Verdict per review, and the clusters behind it, with exact peak similarities for the details."""
     space = Workspace(reviews.sparkSession, "clusters")
     clusters = space.write(review_clusters(reviews, settings))
     return score_reviews(reviews, clusters, settings, keep), clusters
 
 
+def measured_reviews(reviews: DataFrame, settings: Settings = DEFAULTS, keep: tuple[str, ...] = ("source", "rating")) -> DataFrame:
+    """One written table with all that is read from a review's row: its sets, its praise signal, its dates."""
+    facts = tuple(dict.fromkeys((*keep, "verified_purchase", "review_date", "date_raw", "text")))
+    rows = measure(reviews, settings, facts)
+    return Workspace(reviews.sparkSession, "measured").write(review_sets(rows, (*facts[:-1], "praise")))
+
+
 def trust_inputs(
     reviews: DataFrame,
     products: DataFrame,
@@ -32,7 +39,11 @@ def trust_inputs(
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """Everything the score needs, one row per product."""
-    verdicts, clusters = judged_reviews(reviews, settings)
+    measured, space = measured_reviews(reviews, settings), Workspace(reviews.sparkSession, "clusters")
+    clusters = space.write(clusters_of_sets(measured, settings))
+    days = space.write(day_report(measured, settings))
+    rows = measured.drop("pairs", "triples", "content", "copy_key")
+    verdicts = score_measured(rows, clusters, days.where("in_burst"), settings)
     # One pass over the verdicts gives per-source counts of all and of surviving reviews.
     alive = F.col("passed")
     per_source = Workspace(reviews.sparkSession, "sources").write(
@@ -46,7 +57,7 @@ def trust_inputs(
     totals = per_source.groupBy("product_id").agg(
         F.sum("total").alias("total"), F.sum(F.col("total") - F.col("n")).alias("failed")
     )
-    risk = review_risk(totals, clusters, pacing_report(reviews, settings), settings)
+    risk = review_risk(totals, clusters, pacing_of_days(totals.select("product_id"), days, settings), settings)
     survivors = S.review_summary(per_source.where("n > 0").drop("total"))
     penalties = S.evidence_penalties(S.evidence_totals(evidence))
     rows = (

@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Broadcast joins are left to Spark: a side is broadcast only when its measured size is
 # under spark.sql.autoBroadcastJoinThreshold; larger sides shuffle, with AQE splitting
-# skewed partitions.
+# skewed partitions. The corpus operators hint at a broadcast only where the rows are bounded by a constant.
 RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # The call site of every column expression is looked up otherwise: as much time as building the plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
