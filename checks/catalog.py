@@ -33,7 +33,7 @@ def title_models(t: str) -> str:
   or (regexp_matches(t, '^[0-9]{{1,3}}$') and i > 1 and list_contains({array(TI.GENERATION_WORDS)}, {t}[i - 1])))), lambda t: regexp_replace(t, '[-/]', '', 'g'))"""
 
 
-_UNIT_MAP = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in {**TI.SPEC_UNITS, '"': "size"}.items()) + "}"
+_UNIT_MAP = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in TI.SPEC_UNITS.items()) + "}"
 _SPEC = quote(rf'(\d+(?:\.\d+)?)\s*({TI.UNITS}|")s?(?:\b|\s|$)')
 
 

@@ -204,3 +204,84 @@ from (select *, trim(regexp_replace(replace(regexp_extract(html, '(?s)<h1[^>]*>(
 )
 def page_identity(spark, sf):
     return PG.detect_products(T.read_table(spark, sf, "pages"))
+
+
+# ------------------------------------------------------------------ pages built around parts
+
+
+def _part_pages(spark, sf, url, *bodies):
+    """A page for every part: body number key % len(bodies)."""
+    key = F.col("p_partkey")
+    body = F.element_at(F.array(*bodies), (key % len(bodies) + 1).cast("int"))
+    return T.read_table(spark, sf, "part").select(
+        key.alias("page_id"), url.alias("url"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html")
+    )
+
+
+def _text(*parts):
+    """Text with columns: names between braces."""
+    return F.concat(*(F.col(p[1:-1]).cast("string") if p[:1] == "{" and p[1:-1].isidentifier() else F.lit(p) for p in parts))
+
+
+@query(
+    "product_images",
+    compose(
+        [],
+        """select p_partkey as page_id, case p_partkey % 4 when 0 then 'https://shop.example/img/' || cast(p_partkey as varchar) || '.png' when 1 then 'https://cdn.example/' || cast(p_partkey as varchar) || '.jpg'
+when 2 then 'https://shop.example/parts/' || cast(p_partkey as varchar) || '.gif' end as image_url from part""",
+    ),
+)
+def product_images(spark, sf):
+    pages = _part_pages(
+        spark, sf, _text("https://shop.example/parts/x", "{p_partkey}"),
+        _text('<meta property="og:image" content="/img/', "{p_partkey}", '.png">'),
+        _text('<meta name="twitter:image" content=" https://cdn.example/', "{p_partkey}", '.jpg">'),
+        _text('<script type="application/ld+json">[{"@type":["Thing","Product"],"image":[{"url":"', "{p_partkey}", '.gif"}]}]</script>'),
+        _text("<p>no image of ", "{p_partkey}", "</p>"),
+    )
+    return PG.product_facts(pages).select("page_id", "image_url")
+
+
+@query(
+    "search_listings",
+    compose(
+        [],
+        """select p_partkey as page_id, site, cast(case site when 'newegg' then 0 else 1 end as bigint) as pos, p_name as title, case site when 'newegg' then 'https://www.newegg.com/p/N' || k when 'bestbuy' then 'https://www.bestbuy.com/site/' || k || '.p'
+else 'https://www.ebay.com/itm/' || k end as url, case when site = 'newegg' then p_brand end as brand, case when site = 'bestbuy' then k end as sku
+from (select *, cast(p_partkey as varchar) as k, ['newegg', 'bestbuy', 'ebay'][cast(p_partkey % 3 as int) + 1] as site from part)""",
+    ),
+)
+def search_listings(spark, sf):
+    site = F.element_at(F.array(F.lit("newegg"), F.lit("bestbuy"), F.lit("ebay")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    pages = _part_pages(
+        spark, sf, F.concat(F.lit("https://www."), site, F.lit(".com/search")),
+        _text('<div class="item-cell"><a class="item-brand"><img title="', "{p_brand}", '"></a><a class="item-title" href="/p/N', "{p_partkey}", '">', "{p_name}", "</a></div>"),
+        _text('<ul><li class="sku-item"><b>advert</b><li class="x sku-item" data-sku-id="', "{p_partkey}", '"><h4 class="sku-title"><a href="/site/', "{p_partkey}", '.p">', "{p_name}", "</a></h4></ul>"),
+        _text('<li class="s-item"><a class="s-item__link" href="/x"><i class="s-item__title">Shop on eBay</i></a></li><li class="s-item"><a class="s-item__link" href="https://www.ebay.com/itm/', "{p_partkey}", '?a=1"><i class="s-item__title">New Listing ', "{p_name}", "</i></a></li>"),
+    )
+    return PG.search_listings(pages).withColumn("pos", long("pos"))
+
+
+@query(
+    "short_videos",
+    compose(
+        [],
+        """select p_partkey as page_id, cast(1000000 + p_partkey as varchar) as video_id, p_name as title, 'https://www.tiktok.com/@' || p_brand || '/video/' || cast(1000000 + p_partkey as varchar) as url, '@' || p_brand as channel,
+case when p_partkey % 3 < 2 then cast(p_size as bigint) end as duration_seconds, case when p_partkey % 3 < 2 then p_partkey * 7 end as views
+from (select * replace (replace(p_brand, '#', '_') as p_brand) from part)""",
+    ),
+)
+def short_videos(spark, sf):
+    state = ['{"id":"', "{video}", '","desc":"', "{p_name}", '","author":{"uniqueId":"', "{brand}", '"},"stats":{"playCount":', "{plays}", '},"video":{"duration":', "{p_size}", "}}"]
+    deep = 14
+    rows = T.read_table(spark, sf, "part").withColumns(
+        {"video": F.col("p_partkey") + 1000000, "plays": F.col("p_partkey") * 7, "brand": F.replace("p_brand", F.lit("#"), F.lit("_"))}
+    )
+    bodies = [
+        _text('<script id="SIGI_STATE">{"a":{"b":[', *state, ",", *state, "]}}</script>"),
+        _text('<script id="__UNIVERSAL_DATA_FOR_REHYDRATION__">' + '{"x":[' * deep, *state, "]}" * deep + "</script>"),
+        _text('<div><div><a href="/@', "{brand}", "/video/", "{video}", '">go</a></div><p class="caption">', "{p_name}", "</p></div>"),
+    ]
+    body = F.element_at(F.array(*bodies), (F.col("p_partkey") % 3 + 1).cast("int"))
+    pages = rows.select(F.col("p_partkey").alias("page_id"), F.lit("https://www.tiktok.com/search").alias("url"), body.alias("html"))
+    return PG.short_videos(pages).select("page_id", "video_id", "title", "url", "channel", "duration_seconds", "views")

@@ -22,7 +22,7 @@ TITLE_STOP_WORDS = [
 ]
 SPEC_UNITS = {
     "gb": "capacity", "tb": "capacity", "mb": "capacity",
-    "mm": "size", "cm": "size", "inch": "size", "in": "size",
+    "mm": "size", "cm": "size", "inch": "size", "in": "size", '"': "size",
     "oz": "volume", "ml": "volume", "l": "volume", "litre": "volume", "liter": "volume",
     "quart": "volume", "qt": "volume", "gallon": "volume", "gal": "volume",
     "pint": "volume", "pt": "volume",
@@ -107,7 +107,7 @@ def specs(title: Column) -> Column:
     text = normalize_title(title)
     values = F.regexp_extract_all(text, F.lit(SPEC_PATTERN), F.lit(1))
     units = F.regexp_extract_all(text, F.lit(SPEC_PATTERN), F.lit(2))
-    dimension = F.create_map(*[F.lit(x) for pair in {**SPEC_UNITS, '"': "size"}.items() for x in pair])
+    dimension = F.create_map(*[F.lit(x) for pair in SPEC_UNITS.items() for x in pair])
 
     def plain(v: Column) -> Column:
         trimmed = F.regexp_replace(v, r"^0+(\d)", "$1")
