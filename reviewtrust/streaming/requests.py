@@ -21,6 +21,62 @@ def rate_windows(requests: DataFrame, limit: int, window_s: int, lateness: str =
     return counted.withColumn("refused", F.greatest(F.col("n") - limit, F.lit(0)))
 
 
+VERDICTS = "request_id bigint, client string, bucket bigint, allowed boolean, remaining bigint, retry_after bigint"
+
+
+class WindowLimits(StatefulProcessor):
+    """Per client: a counter for each open window; a window's counter goes when the watermark passes its end."""
+
+    def __init__(self, limit: int, window_s: int):
+        self.limit, self.window_s = limit, window_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "bucket bigint", "n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["ts_us", "request_id"])
+        seconds = batch["ts_us"] // 1_000_000
+        bucket = seconds // self.window_s
+        before = {}
+        for b in map(int, bucket.unique()):
+            before[b] = self.seen.getValue((b,))[0] if self.seen.containsKey((b,)) else 0
+            if not before[b]:
+                self.handle.registerTimer((b + 1) * self.window_s * 1000)
+        n = bucket.map(before) + bucket.groupby(bucket).cumcount() + 1
+        for b, last in n.groupby(bucket).max().items():
+            self.seen.updateValue((int(b),), (int(last),))
+        allowed = n <= self.limit
+        wait = (self.window_s - seconds % self.window_s).where(~allowed, 0)
+        yield pd.DataFrame(
+            {
+                "request_id": batch["request_id"], "client": key[0], "bucket": bucket, "allowed": allowed,
+                "remaining": (self.limit - n).clip(lower=0), "retry_after": wait,
+            }
+        )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ended = expiredTimerInfo.getExpiryTimeInMs() // 1000 // self.window_s
+        for (bucket,) in list(self.seen.keys()):
+            if bucket < ended:
+                self.seen.removeKey((bucket,))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit_stream(requests: DataFrame, limit: int, window_s: int, lateness: str = "10 minutes") -> DataFrame:
+    """The verdict of :func:`operators.events.rate_limit` for every request of a stream (request_id, ts, client).
+
+    Requests of one micro-batch are taken in time order; one that is late counts when it comes. Needs the RocksDB state store.
+    """
+    rows = requests.withWatermark("ts", lateness).select("client", "request_id", "ts", F.unix_micros("ts").alias("ts_us"))
+    return rows.groupBy("client").transformWithStateInPandas(
+        WindowLimits(limit, window_s), VERDICTS, outputMode="Append", timeMode="EventTime"
+    )
+
+
 LEADERS = "cache_key string, request_id bigint, leader_id bigint, starts_job boolean"
 
 

@@ -89,3 +89,58 @@ def test_inflight_state_ends(spark, tmp_path):
     query.awaitTermination()
     assert spark.table("ends").where("starts_job").count() == 203
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] < 20
+
+
+def state_rows(stream, tmp_path, name):
+    query = (
+        stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "ck"))
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_rate_verdicts_match_batch_and_state_ends(spark, small, tmp_path):
+    reqs = T.requests(spark, small).select("request_id", "ts", "client")
+    last = reqs.agg(F.max("ts")).first()[0]
+    # A request long after the others lets the watermark pass every window.
+    after = spark.createDataFrame([(10**9, last, "late")], "request_id bigint, ts timestamp, client string").withColumn("ts", F.col("ts") + F.expr("interval 9 days"))
+    stream = SR.rate_limit_stream(stream_of(spark, reqs.unionByName(after), tmp_path, files=5), 2, 86400, "1 day")
+    left = state_rows(stream, tmp_path, "verdicts")
+    got = spark.table("verdicts").where("client <> 'late'").select("request_id", "client", "bucket", "allowed", "remaining", "retry_after")
+    want = E.rate_limit(reqs, 2, 86400)
+    assert rows(got) == rows(want) and want.where("not allowed").count() > 0
+    assert left <= 4
+
+
+def _ending_log(spark, small):
+    """Each job's events up to its first terminal one."""
+    log = T.event_log(spark, small).select("job_id", "seq", "ts", "event", F.col("data").cast("string").alias("data"))
+    end = log.where("event = 'done'").groupBy("job_id").agg(F.min("ts").alias("end"))
+    return log.join(end, "job_id", "left").where("end is null or ts <= end").drop("end")
+
+
+def test_ended_folds_match_batch_and_leave_no_state(spark, small, tmp_path):
+    kinds = ["click", "done", "error"]
+    log = _ending_log(spark, small)
+    ended = log.where("event = 'done'").select("job_id").distinct()
+    stream = SJ.ended_folds(stream_of(spark, log.join(ended, "job_id"), tmp_path), kinds, ["done"])
+    left = state_rows(stream, tmp_path, "folds")
+    want = E.fold_jobs(log.join(ended, "job_id"), kinds)
+    assert rows(spark.table("folds").select(want.columns)) == rows(want) and want.count() > 5
+    assert left == 0
+
+
+def test_barrier_releases_a_job_once_and_in_order(spark, small, tmp_path):
+    reports = _ending_log(spark, small).withColumnsRenamed({"event": "source", "data": "payload"})
+    expected = ["click", "done"]
+    stream = SJ.barrier_stream(stream_of(spark, reports, tmp_path, files=4), expected)
+    collect(stream, "append", tmp_path, "barrier")
+    ready = E.readiness(reports, expected).where("ready").select("job_id")
+    mine = reports.where(F.col("source").isin(expected)).join(ready, "job_id").select("job_id", "seq", "source", "payload")
+    got = spark.table("barrier")
+    assert rows(got.select("job_id", "seq", "source", "payload")) == rows(mine) and ready.count() >= 5
+    in_order = {}
+    for r in sorted(got.collect(), key=lambda r: (r["job_id"], r["place"])):
+        in_order.setdefault(r["job_id"], []).append(r["seq"])
+    assert all(s == sorted(s) for s in in_order.values())
