@@ -32,6 +32,8 @@ TREES = 80
 DEPTH = 4
 RATE = 0.1
 SHRINK = 1.0
+#: Words of a window whose repetition counts.
+WINDOW = 8
 MIN_HESSIAN = 2.0
 
 STATISTICS = (
@@ -42,6 +44,18 @@ _SYMBOLS, _MARKS = re.compile(r"[#*$%&<>@=+^~_\\/{}\[\]]"), re.compile(r"[!?]")
 _DIGITS, _UPPER = re.compile(r"[0-9]"), re.compile(r"[A-ZÀ-ÖØ-Þ]")
 
 
+def _repeated_windows(words: list[str]) -> float:
+    """The part of all eight-word windows, at every offset, that an earlier one equals (by 64-bit hashes)."""
+    count = len(words) - WINDOW + 1
+    if count < 1:
+        return 0.0
+    hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    windows = np.zeros(count, np.uint64)
+    for k in range(WINDOW):
+        windows = windows * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + count]
+    return 1.0 - len(np.unique(windows)) / count
+
+
 def statistics(text: str) -> list[float]:
     """STATISTICS of one whole text."""
     words = text.split()
@@ -51,8 +65,6 @@ def statistics(text: str) -> list[float]:
     lines = [x for x in text.split("\n") if x.strip()]
     counts = Counter(words)
     letters = sum(map(len, words))
-    # Non-overlapping windows of eight words from two offsets find repetition at a bounded cost.
-    windows = [tuple(words[i : i + 8]) for o in (0, 4) for i in range(o, n - 7, 8)]
     return [
         float(np.log(n)),
         letters / n,
@@ -69,7 +81,7 @@ def statistics(text: str) -> list[float]:
         float(np.log1p(len(lines))),
         n / len(lines),
         1.0 - len(set(lines)) / len(lines),
-        1.0 - len(set(windows)) / len(windows) if windows else 0.0,
+        _repeated_windows(words),
         text.count(",") / n,
         sum(x.rstrip()[-1] in ".!?" for x in lines) / len(lines),
     ]

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from reviewtrust.llm import fingerprints, secrets, simhash
+from reviewtrust.llm import fingerprints, quality, secrets, simhash
 from tests.llm import brute as B
 
 
@@ -127,3 +127,15 @@ def test_text_links_join_what_all_pairs_join(spark):
 
     assert [root(want, k) for k in range(len(texts))] == [root(got, k) for k in range(len(texts))]
     assert len({root(want, k) for k in range(len(texts))}) < len(texts)
+
+
+def test_op1_sees_repeated_windows_at_every_offset():
+    rng = np.random.default_rng(12)
+    at = quality.STATISTICS.index("repeated_windows")
+    for gap in range(9):
+        passage, fill = [f"p{k}" for k in range(15)], [f"f{x}" for x in rng.integers(0, 10**6, 40 + gap)]
+        words = [*passage, *fill, *passage]
+        windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        got = quality.statistics(" ".join(words))[at]
+        assert abs(got - (1 - len(set(windows)) / len(windows))) < 1e-12 and got > 0
+    assert quality.statistics("one two")[at] == 0.0
