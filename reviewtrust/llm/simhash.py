@@ -266,7 +266,7 @@ def text_links(texts: DataFrame) -> DataFrame:
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = space.write(_may_reach(pairs))
-        wanted = pairs.select(F.explode(F.array("l_id", "r_id")).alias("id")).distinct()
+        wanted = pairs.select(F.col("l_id").alias("id")).union(pairs.select("r_id")).distinct()
         sets = space.write(_whole_sets(texts.join(wanted, "id", "left_semi")))
         l, r = (sets.select(*(F.col(c).alias(f"{s}_{c}") for c in ("id", "root", "elements"))) for s in ("l", "r"))
         common = F.size(F.array_intersect("l_elements", "r_elements"))
