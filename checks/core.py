@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from checks.core_sql import FRAGMENTS, array, compose, fixed, normalize, percent, squeeze, words  # noqa: F401
 from reviewtrust.functions import sentiment as SE
 from reviewtrust.functions import text as X
-from reviewtrust.config import DEFAULTS
 from reviewtrust.operators import duplicates as D
 from reviewtrust.operators import pacing as P
 from reviewtrust.operators import risk as R
@@ -162,8 +161,7 @@ join tok t on t.product_id = c.product_id and array_to_string(t.w, ' ') = c.k an
 @query("candidate_pairs", compose(["textlinks"], "select product_id, l as left_id, r as right_id from textlinks"))
 def candidate_pairs(spark, sf):
     """The candidates among different texts that prove similar."""
-    sets = D.review_sets(T.reviews(spark, sf))
-    return D.similar_texts(sets, D.copy_classes(sets), DEFAULTS.duplicate_similarity).drop("similarity")
+    return D.text_links(T.reviews(spark, sf)).drop("similarity")
 
 
 @query(

@@ -78,6 +78,20 @@ def hashed_content(words: Column) -> Column:
     return F.array_distinct(F.transform(kept, lambda t: F.xxhash64(t)))
 
 
+def hashed_words(words: Column) -> Column:
+    """One hash a word, in order, the lowest bit 1 for stop words: what travels, and what the sets are made of."""
+
+    def coded(t: Column) -> Column:
+        return F.when(t.isin(STOP_WORDS), F.xxhash64(t).bitwiseOR(F.lit(1))).otherwise(F.xxhash64(t).bitwiseAND(F.lit(-2)))
+
+    return F.transform(words, coded)
+
+
+def content_of_hashes(words: Column) -> Column:
+    """:func:`hashed_content` of words that are hashed already."""
+    return F.array_distinct(F.filter(words, lambda h: h.bitwiseAND(F.lit(1)) == 0))
+
+
 def jaccard_from(shared: Column, left_size: Column, right_size: Column) -> Column:
     return F.when(shared > 0, shared / (left_size + right_size - shared)).otherwise(F.lit(0.0))
 

@@ -3,6 +3,10 @@
 Copies of one text (the same words) are one class, named by its lowest review id: however many copies there are, they
 cost one aggregate and one join, and only the class takes part in the search for similar texts.
 
+What travels is one 64-bit hash a word; the sets of word pairs, triples and content words are made where they are compared.
+A product of few texts (``FEW_TEXTS``, ``FEW_WORDS``) is compared text by text, at most ``FEW_TEXTS`` / 2 pairs a text: its words are
+shuffled once (see ``operators.compare``). All other products, however large, take the way below.
+
 Similar texts are found by an exact prefix join. Two sets that overlap by a share t must meet in the first n - ceil(t n) + 1
 elements of each under any one order of elements; the order puts frequent ones last, by counts of ``ORDER_BUCKETS`` hash buckets
 that every task holds, so a review's prefix is cut where the review is read and only prefixes are shuffled, once. A pair
@@ -22,12 +26,14 @@ from pyspark.sql import functions as F
 from reviewtrust.config import DEFAULTS, Settings
 from reviewtrust.functions.text import (
     composite,
+    content_of_hashes,
     dice_from,
-    hashed_content,
     hashed_shingles,
+    hashed_words,
     jaccard_from,
     tokens,
 )
+from reviewtrust.operators.compare import LINKS, links_in_product
 from reviewtrust.operators.components import connected_components
 
 KEY = ["product_id", "review_id"]
@@ -35,19 +41,33 @@ KEY = ["product_id", "review_id"]
 SURE = 0.8
 
 
+#: A product with at most so many reviews and words is compared text by text, all others by shared elements.
+FEW_TEXTS = 256
+FEW_WORDS = 1_000_000
+
+
 def review_sets(reviews: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Hashed word pairs, triples and content words of each review; ``copy_key`` is null without words."""
+    """Hashed words of each review, from which ``with_sets`` makes its sets; ``copy_key`` is null without words."""
     words = reviews.select(*KEY, *keep, tokens(F.col("text")).alias("w"))
     return words.select(
         *KEY,
         *keep,
-        hashed_shingles(F.col("w"), 2).alias("pairs"),
-        hashed_shingles(F.col("w"), 3).alias("triples"),
-        hashed_content(F.col("w")).alias("content"),
+        hashed_words(F.col("w")).alias("words"),
         F.when(F.size("w") > 0, F.sha2(F.array_join("w", " "), 256)).alias("copy_key"),
     )
 
 
+def with_sets(sets: DataFrame) -> DataFrame:
+    """Word pairs, triples and content words in place of ``words``."""
+    words = F.col("words")
+    return sets.select(
+        *(c for c in sets.columns if c != "words"),
+        hashed_shingles(words, 2).alias("pairs"),
+        hashed_shingles(words, 3).alias("triples"),
+        content_of_hashes(words).alias("content"),
+    )
+
+
 def copy_classes(sets: DataFrame) -> DataFrame:
     """product_id, review_id and ``first_id``, the lowest review with the same words, of all reviews with words."""
     keyed = sets.select(*KEY, "copy_key").where(F.col("copy_key").isNotNull())
@@ -157,12 +177,35 @@ def pair_similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return counted.where("shared2 > 0").select("product_id", "left_id", "right_id", score.alias("similarity"))
 
 
+def _products_by_size(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The products compared text by text, and all others."""
+    from reviewtrust.session import Workspace
+
+    counted = sets.groupBy("product_id").agg(F.count("*").alias("texts"), F.sum(F.size("words")).alias("n_words"))
+    few = (F.col("texts") <= FEW_TEXTS) & (F.col("n_words") <= FEW_WORDS)
+    sized = Workspace(sets.sparkSession, "products").write(counted.select("product_id", few.alias("few")))
+    return sized.where("few").select("product_id"), sized.where("not few").select("product_id")
+
+
+def _links_of_few(sets: DataFrame, products: DataFrame, threshold: float) -> DataFrame:
+    """Links between the different texts of small products, each named by its lowest review; words are shuffled once."""
+    rows = sets.select(*KEY, "words").join(products, "product_id", "left_semi")
+    return rows.groupBy("product_id").applyInArrow(links_in_product(threshold), LINKS)
+
+
+def _first_texts(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    return sets.join(classes.where(F.col("review_id") == F.col("first_id")).select(*KEY), KEY, "left_semi")
+
+
 def similar_texts(sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different texts, by their classes' ids, at or above the threshold."""
-    firsts = classes.where(F.col("review_id") == F.col("first_id")).select(*KEY)
-    texts = sets.join(firsts, KEY, "left_semi")
+    """Pairs of different texts, by their classes' ids, at or above the threshold; ``sets`` is best a written table."""
+    few, many = _products_by_size(sets)
+    links = _links_of_few(sets, few, threshold)
+    if many.isEmpty():
+        return links
+    texts = with_sets(_first_texts(sets.join(many, "product_id", "left_semi"), classes))
     scored = pair_similarity(candidate_pairs(texts, threshold), texts)
-    return scored.where(F.col("similarity") >= threshold)
+    return links.unionByName(scored.where(F.col("similarity") >= threshold))
 
 
 def _copy_links(classes: DataFrame) -> DataFrame:
@@ -204,6 +247,11 @@ def _linked(reviews: DataFrame, settings: Settings, threshold: float | None = No
     )
 
 
+def text_links(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Links between different texts alone, each named by its lowest review."""
+    return _linked(reviews, settings)[1]
+
+
 def near_duplicate_edges(
     reviews: DataFrame, settings: Settings = DEFAULTS, threshold: float | None = None
 ) -> DataFrame:
@@ -289,7 +337,22 @@ def family_clusters(reviews: DataFrame, settings: Settings = DEFAULTS, sure: flo
 
 
 def clusters_of_sets(sets: DataFrame, settings: Settings = DEFAULTS, sure: float = SURE) -> DataFrame:
-    """Clusters of a written table of ``review_sets``.
+    """Clusters of a written table of ``review_sets``: of products of few texts from all links, of others by ``_families``."""
+    from reviewtrust.session import Workspace
+
+    space = Workspace(sets.sparkSession, "families")
+    classes = space.write(copy_classes(sets))
+    few, many = _products_by_size(sets)
+    links = space.write(_links_of_few(sets, few, settings.duplicate_similarity))
+    clusters = clusters_from_edges(links.unionByName(_copy_links(classes.join(few, "product_id", "left_semi"))))
+    if many.isEmpty():
+        return clusters
+    rest = (df.join(many, "product_id", "left_semi") for df in (sets, classes))
+    return clusters.unionByName(_families(*rest, settings, sure).select(*clusters.columns))
+
+
+def _families(sets: DataFrame, classes: DataFrame, settings: Settings, sure: float) -> DataFrame:
+    """Clusters of large products.
 
     ``max_similarity`` is exact below ``sure``; from there on it is the similarity of some linked pair, ``sure`` or more. Three steps:
 
@@ -302,9 +365,7 @@ def clusters_of_sets(sets: DataFrame, settings: Settings = DEFAULTS, sure: float
     from reviewtrust.session import Workspace
 
     space, threshold = Workspace(sets.sparkSession, "families"), settings.duplicate_similarity
-    classes = space.write(copy_classes(sets))
-    firsts = classes.where(F.col("review_id") == F.col("first_id")).select(*KEY)
-    texts = space.write(sets.select(*KEY, "pairs", "triples", "content").join(firsts, KEY, "left_semi"))
+    texts = space.write(with_sets(_first_texts(sets.select(*KEY, "words"), classes)))
     prefix = space.write(prefixes(texts, threshold))
 
     def scored(pairs: DataFrame) -> DataFrame:

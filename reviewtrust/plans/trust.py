@@ -42,7 +42,7 @@ def trust_inputs(
     measured, space = measured_reviews(reviews, settings), Workspace(reviews.sparkSession, "clusters")
     clusters = space.write(clusters_of_sets(measured, settings))
     days = space.write(day_report(measured, settings))
-    rows = measured.drop("pairs", "triples", "content", "copy_key")
+    rows = measured.drop("words", "copy_key")
     verdicts = score_measured(rows, clusters, days.where("in_burst"), settings)
     # One pass over the verdicts gives per-source counts of all and of surviving reviews.
     alive = F.col("passed")
