@@ -39,11 +39,26 @@ def duration(seconds: Column) -> Column:
     return F.when(F.coalesce(seconds, F.lit(0)) == 0, F.lit("")).otherwise(text)
 
 
+def _tenths(x: Column) -> Column:
+    """A number from 1 on with one decimal, rounded by its exact binary value, ties to even digits, as C's printf does.
+
+    ``format_string`` and ``round`` go by the shortest decimal that reads back as the number: 1.15 is a little less than that.
+    """
+    # Below a number's whole part lie at most 52 bits, so everything here is exact.
+    bits = 1 << 52
+    scaled = ((x - F.floor(x)) * F.lit(float(bits))).cast("bigint") * 10
+    down = F.shiftright(scaled, 52)
+    rest = scaled - F.shiftleft(down, 52)
+    up = (rest > bits // 2) | ((rest == bits // 2) & (down % 2 == 1))
+    tenths = F.floor(x) * 10 + down + up.cast("bigint")
+    return join_text(F.floor(tenths / 10), ".", tenths % 10)
+
+
 def views(count: Column) -> Column:
-    # Half a unit rounds up here, as it is shown to people.
+    # Half a thousand rounds up here, as it is shown to people.
     return (
         F.when(F.coalesce(count, F.lit(0)) == 0, F.lit(""))
-        .when(count >= 1_000_000, F.concat(F.format_string("%.1f", count / 1e6), F.lit("M views")))
+        .when(count >= 1_000_000, F.concat(_tenths(count / 1e6), F.lit("M views")))
         .when(count >= 1_000, join_text(F.floor(count / 1e3 + 0.5), "K views"))
         .otherwise(join_text(count, " views"))
     )
