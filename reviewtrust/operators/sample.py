@@ -19,12 +19,12 @@ def numbered(df: DataFrame, by: list, order: list, limit: int, name: str = "rn")
 
 
 def stratified_sample(
-    reviews: DataFrame, limit: int | None = None, settings: Settings = DEFAULTS
+    reviews: DataFrame, limit: int | None = None, settings: Settings = DEFAULTS, whole_in_order: bool = True
 ) -> DataFrame:
     """Round-robin over (source, rating band) buckets per product, in input order.
 
-    A product with at most ``limit`` reviews is returned whole and in input order. Adds
-    ``position``, 1-based.
+    A product with at most ``limit`` reviews is returned whole and, unless ``whole_in_order`` is False, in input
+    order instead of turns. Adds ``position``, 1-based.
     """
     limit = settings.prompt_max_reviews if limit is None else limit
     rows = reviews.withColumns(
@@ -36,6 +36,8 @@ def stratified_sample(
     # One row more than the limit survives each cut: enough to tell "more than the limit".
     bucket = numbered(rows, ["product_id", "_source", "_band"], ["review_id"], limit + 1, "_round")
     turn = numbered(bucket, ["product_id"], ["_round", "_source", "_band"], limit + 1, "_turn")
+    if not whole_in_order:
+        return turn.where(F.col("_turn") <= limit).withColumnRenamed("_turn", "position").drop("_source", "_band", "_round")
     of_product = Window.partitionBy("product_id")
     kept = turn.withColumn("_n", F.max("_turn").over(of_product))
     in_order = F.row_number().over(of_product.orderBy("review_id"))
