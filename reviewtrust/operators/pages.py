@@ -381,7 +381,10 @@ def _review_arrays(pages: DataFrame, as_of: datetime.date, *wanted: str) -> Data
         found = F.transform(scopes, lambda s, i: _let(H.inside(nodes, s), lambda sub: _micro_review(sub, i, as_of)))
         return F.filter(found, lambda r: r["text"].isNotNull())
 
-    made = {"ld": ld, "micro": micro, "dom": lambda: _cards(nodes, as_of)}
+    def declared() -> Column:
+        return F.size("objects") + F.size(F.filter(nodes, lambda n: _in_group(n, "scope")))
+
+    made = {"ld": ld, "micro": micro, "dom": lambda: _cards(nodes, as_of), "declared": declared}
     return rows.select("page_id", *(made[name]().alias(name) for name in wanted))
 
 
@@ -412,13 +415,15 @@ def _css(selector: tuple) -> str:
     return (tag or "") + forms[op]
 
 
-def page_reviews(pages: DataFrame, as_of: datetime.date) -> DataFrame:
+def page_reviews(pages: DataFrame, as_of: datetime.date, than_declared: bool = False) -> DataFrame:
     """Reviews of every page by its better strategy: the DOM only if it found strictly more.
 
-    The choice is made inside the page's row: nothing is shuffled.
+    More than the reviews read from structured data or, with ``than_declared``, than the page declares, also those too short
+    to be one. The choice is made inside the page's row: nothing is shuffled.
     """
-    found = H.bind(_review_arrays(pages, as_of, "ld", "micro", "dom"), structured=F.concat("ld", "micro"), dom=F.col("dom")).drop("ld", "micro")
-    by_dom = F.size("dom") > F.size("structured")
+    arrays = _review_arrays(pages, as_of, "ld", "micro", "dom", "declared")
+    found = H.bind(arrays, structured=F.concat("ld", "micro"), dom=F.col("dom"), declared=F.col("declared")).drop("ld", "micro")
+    by_dom = F.size("dom") > (F.col("declared") if than_declared else F.size("structured"))
     chosen = found.select(
         "page_id", F.when(by_dom, F.col("dom")).otherwise(F.col("structured")).alias("reviews"), F.when(by_dom, "dom").otherwise("structured-data").alias("strategy")
     )
