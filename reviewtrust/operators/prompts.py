@@ -54,14 +54,20 @@ def _block(lines: DataFrame) -> DataFrame:
     )
 
 
+def shortened(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Reviews with just as much text as a prompt needs to show an excerpt: what goes through joins and samples."""
+    # Two characters more than shown: one may be a space, and the other still tells that the text goes on.
+    return reviews.withColumn("text", F.left(squeeze(F.col("text")), F.lit(settings.prompt_review_chars + 2)))
+
+
 def review_prompts(
-    survivors: DataFrame, products: DataFrame, summary: DataFrame, settings: Settings = DEFAULTS
+    survivors: DataFrame, products: DataFrame, summary: DataFrame, settings: Settings = DEFAULTS, whole_in_order: bool = True
 ) -> DataFrame:
-    """One prompt per product from a stratified sample of its surviving reviews.
+    """One prompt per product from a stratified sample (see ``stratified_sample``) of its surviving reviews.
 
     ``summary`` is :func:`score.review_summary` plus total_scraped and filtered_out.
     """
-    sample = stratified_sample(survivors, settings=settings)
+    sample = stratified_sample(survivors, settings=settings, whole_in_order=whole_in_order)
     if "title" not in sample.columns:
         sample = sample.withColumn("title", F.lit(None).cast("string"))
     lines = sample.select("product_id", "position", "source", review_line(settings).alias("line"))
