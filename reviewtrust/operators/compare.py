@@ -28,19 +28,29 @@ def _runs(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, base: int, r
     return owners, element
 
 
-def _shared(owners: np.ndarray, elements: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct elements of each text, and how many each two texts share."""
-    ranks = np.unique(elements, return_inverse=True)[1]
-    held = np.unique(ranks.astype(np.int64) * texts + owners)
-    rank, owner = held // texts, held % texts
+def _shared(owners: np.ndarray, elements: np.ndarray, texts: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct elements of each text, and how many each two texts share. Elements are below ``span``.
+
+    An element and its owner are one number, so one sort of plain numbers finds both.
+    """
+    bits = (texts - 1).bit_length()
+    if span > 1 << (63 - bits):
+        elements = np.unique(elements, return_inverse=True)[1].astype(np.int64)
+    held = np.sort(elements << bits | owners)
+    if len(held):
+        held = held[np.concatenate(([True], held[1:] != held[:-1]))]
+    element, owner = held >> bits, held & ((1 << bits) - 1)
     sizes = np.bincount(owner, minlength=texts)
-    common = np.bincount(rank)[rank] > 1 if len(rank) else np.zeros(0, bool)
-    rank, owner = rank[common], owner[common]
-    column = np.cumsum(np.diff(rank, prepend=rank[:1]) > 0)
+    same = element[1:] == element[:-1]
+    none = np.zeros(min(len(held), 1), bool)
+    common = np.concatenate((same, none)) | np.concatenate((none, same))
+    element, owner = element[common], owner[common]
+    column = np.cumsum(np.diff(element, prepend=element[:1]) > 0)
+    columns = int(column[-1]) + 1 if len(column) else 0
     together = np.zeros((texts, texts))
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, _WIDTH):
+    for first in range(0, columns, _WIDTH):
         lo, hi = np.searchsorted(column, [first, first + _WIDTH])
-        holds = np.zeros((texts, _WIDTH), np.float32)
+        holds = np.zeros((texts, min(_WIDTH, columns - first)), np.float32)
         holds[owner[lo:hi], column[lo:hi] - first] = 1
         together += holds @ holds.T
     return sizes, together
@@ -69,11 +79,12 @@ def links_in_product(threshold: float):
             return none
         distinct, codes = np.unique(words, return_inverse=True)
         codes = codes.astype(np.int64)
-        owners, each = _runs(codes, starts, sizes, len(distinct), 1)
+        base = len(distinct)
+        owners, each = _runs(codes, starts, sizes, base, 1)
         content = (distinct[each] & 1) == 0
-        n2, s2 = _shared(*_runs(codes, starts, sizes, len(distinct), 2), texts)
-        n3, s3 = _shared(*_runs(codes, starts, sizes, len(distinct), 3), texts)
-        nc, sc = _shared(owners[content], each[content], texts)
+        n2, s2 = _shared(*_runs(codes, starts, sizes, base, 2), texts, base**2)
+        n3, s3 = _shared(*_runs(codes, starts, sizes, base, 3), texts, base**3)
+        nc, sc = _shared(owners[content], each[content], texts, base)
         left, right = np.nonzero(np.triu(s2, 1))
 
         def ratio(shared: np.ndarray, total: np.ndarray) -> np.ndarray:
