@@ -27,21 +27,24 @@ def _phrase_words(phrases: list[str]) -> Column:
     return F.create_map(*[F.lit(x) for p, n in sizes.items() for x in (p, n)])
 
 
-def with_sentiment(df: DataFrame, text: str = "text", praise_only: bool = False) -> DataFrame:
+def with_sentiment(df: DataFrame, text: str = "text", praise_only: bool = False, words: str | None = None) -> DataFrame:
     """Add word_count, polarity, intensity, generic_*, specific_markers and specificity.
 
     With ``praise_only`` the phrase and pattern searches run only on one-sidedly positive
     texts, and the other rows keep zeros there. :func:`contentless` is the same either way.
+    ``words`` names a column that keeps the tokens.
     """
-    df = df.withColumn("_norm", normalize(F.col(text)))
-    df = df.withColumn("_words", tokens(F.col("_norm")))
-    words, n = F.col("_words"), F.col("word_count")
+    # Normalizing leaves the tokens' characters and the breaks between them alone: these are the normalized text's tokens too.
+    df = df.withColumn("_words", tokens(F.col(text)))
+    listed = [*lexicon.POSITIVE, *lexicon.NEGATIVE, *lexicon.INTENSIFIERS]
+    df = df.withColumn("_listed", F.filter("_words", lambda w: w.isin(listed)))
+    n = F.col("word_count")
     df = df.withColumns(
         {
-            "word_count": F.size(words),
-            "_pos": F.size(F.filter(words, lambda w: w.isin(lexicon.POSITIVE))),
-            "_neg": F.size(F.filter(words, lambda w: w.isin(lexicon.NEGATIVE))),
-            "_int": F.size(F.filter(words, lambda w: w.isin(lexicon.INTENSIFIERS))),
+            "word_count": F.size("_words"),
+            "_pos": F.size(F.filter("_listed", lambda w: w.isin(lexicon.POSITIVE))),
+            "_neg": F.size(F.filter("_listed", lambda w: w.isin(lexicon.NEGATIVE))),
+            "_int": F.size(F.filter("_listed", lambda w: w.isin(lexicon.INTENSIFIERS))),
         }
     )
     hits = F.col("_pos") + F.col("_neg")
@@ -52,6 +55,7 @@ def with_sentiment(df: DataFrame, text: str = "text", praise_only: bool = False)
         }
     )
     searched = (F.col("polarity") >= 0.8) if praise_only else F.lit(True)
+    df = df.withColumn("_norm", F.when(searched, normalize(F.col(text))))
 
     def count(column: str, pattern: str) -> Column:
         found = F.regexp_count(F.coalesce(F.col(column), F.lit("")), F.lit(pattern))
@@ -91,7 +95,9 @@ def with_sentiment(df: DataFrame, text: str = "text", praise_only: bool = False)
             ).otherwise(F.lit(0.0)),
         }
     )
-    return df.drop("_norm", "_words", "_pos", "_neg", "_int", "_units", "_numbers", "_prices")
+    if words:
+        df = df.withColumn(words, F.col("_words"))
+    return df.drop("_norm", "_words", "_listed", "_pos", "_neg", "_int", "_units", "_numbers", "_prices")
 
 
 def contentless() -> Column:

@@ -64,12 +64,18 @@ def _signal(rule: str, fired: Column, weight: Column, detail: Column) -> Column:
     )
 
 
-def measure(reviews: DataFrame, settings: Settings = DEFAULTS, keep: tuple[str, ...] = ("source", "rating")) -> DataFrame:
-    """What the verdict needs of each review's own row; the text stays behind unless it is kept."""
-    measured = with_sentiment(reviews, praise_only=True)
+def measure(
+    reviews: DataFrame,
+    settings: Settings = DEFAULTS,
+    keep: tuple[str, ...] = ("source", "rating"),
+    words: str | None = None,
+) -> DataFrame:
+    """What the verdict needs of each review's own row; the text stays behind unless it is kept, its tokens if ``words`` names a column."""
+    measured = with_sentiment(reviews, praise_only=True, words=words)
     return measured.select(
         *KEY,
         *keep,
+        *([words] if words else []),
         *(c for c in ("verified_purchase", "review_date", "date_raw") if c not in keep),
         _signal(
             "contentless_praise", contentless(), contentless_weight(settings), contentless_detail()
