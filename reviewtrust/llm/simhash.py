@@ -38,6 +38,8 @@ BITS = 64
 #: What the pipeline's stage links besides: the Jaccard similarity of sets of so many words.
 STAGE_SHINGLE = 5
 STAGE_JACCARD = 0.8
+#: Bits of a text's sketch.
+SKETCH = 1024
 #: Shingles are ordered by how often those of their bucket occur.
 BUCKETS = 1 << 18
 
@@ -236,6 +238,36 @@ def _whole_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id bigint, root bigint, elements array<bigint>")
 
 
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(id, n, sketch): for each of SKETCH buckets whether an odd number of the text's shingles falls there.
+
+    A shingle that only one of two texts has turns one bit, so the sketches differ in at most as many bits as the sets do in shingles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, sketches = [], []
+            for text in batch.column("text").to_pylist():
+                made = _shingle_hashes(text)
+                odd = np.bincount((made >> 20) & (SKETCH - 1), minlength=SKETCH) & 1
+                sizes.append(len(made))
+                sketches.append(np.packbits(odd.astype(np.uint8)).view("<i8").tolist())
+            columns = [batch.column("id"), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sketch"])
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, n int, sketch array<bigint>")
+
+
+def _sketches_allow(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sketches leave room for enough common shingles: all that reach STAGE_JACCARD, and few others."""
+    l, r = (sketches.select(*(F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "sketch"))) for s in ("l", "r"))
+    differ = sum(
+        (F.bit_count(F.get("l_sketch", F.lit(k)).bitwiseXOR(F.get("r_sketch", F.lit(k)))) for k in range(SKETCH // 64)), F.lit(0)
+    )
+    both = F.col("l_n") + F.col("r_n")
+    return pairs.join(l, "l_id").join(r, "r_id").where((both - differ) / 2 * (1 + STAGE_JACCARD) >= (STAGE_JACCARD - 1e-6) * both).select("l_id", "r_id")
+
+
 def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
     return rows.select("element", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "root", "n", "place", *more)))
 
@@ -263,9 +295,11 @@ def text_links(texts: DataFrame) -> DataFrame:
     holders = F.count("*").over(Window.partitionBy("element"))
     prefix = _prefixes(texts, _bucket_counts(texts)).withColumn("holders", holders).where("holders > 1")
     shared = space.write(prefix.drop("holders"))
+    sketches = space.write(_sketches(texts))
 
     def checked(pairs: DataFrame) -> DataFrame:
-        pairs = space.write(_may_reach(pairs))
+        # Whole sets travel for what the sketches leave, which is little more than the links.
+        pairs = space.write(_sketches_allow(_may_reach(pairs), sketches))
         wanted = pairs.select(F.col("l_id").alias("id")).union(pairs.select("r_id")).distinct()
         sets = space.write(_whole_sets(texts.join(wanted, "id", "left_semi")))
         l, r = (sets.select(*(F.col(c).alias(f"{s}_{c}") for c in ("id", "root", "elements"))) for s in ("l", "r"))
