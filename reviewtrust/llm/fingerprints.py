@@ -8,7 +8,10 @@ their generalised Jaccard similarity, so the share of equal cells estimates that
 
 No sample is left out, but few are worked out in full. As a >= c * exp(-r) / w, and the leading 16 bits of the four
 uniforms behind r and c bound c * exp(-r) from below without a logarithm, the other bits, b and the level are
-made only for pairs whose bound does not exceed the cell's least a so far. Numpy does this in Arrow batches.
+made only for pairs whose bound does not exceed what can still be a least. ``fingerprints`` does this with rows of (term,
+cell): the least of a cell is below ``ENOUGH`` / (number of shingles) but for one cell in exp(ENOUGH), and texts with a cell
+that has no value below it are sampled again without a limit, by ``signature``, a column expression. ``cells_of``
+is the same signature of one text in numpy.
 
 Null and empty texts, or texts of white space, have the empty signature; two of them are alike (1.0), one of them and
 another are not (0.0). A text of SHINGLE words or fewer is one term.
@@ -16,45 +19,51 @@ another are not (0.0). A text of SHINGLE words or fewer is one term.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from reviewtrust.llm.common import NO_ID, let, text_of, workspace
+from reviewtrust.llm.common import NO_ID, WHITE, let, text_of, workspace
 
 SHINGLE = 5
 CELLS = 128
 #: A cell without a term; samples are 1 to 65535.
 EMPTY = "0000"
-#: Terms taken at a time: few at first, when no cell has a small value yet.
+#: Values looked for in a cell, on average: one cell in exp(ENOUGH) has none.
+ENOUGH = 14
+#: Texts of so few shingles have no limit.
+FEW = 32
+#: Above every value a.
+_NO_LIMIT = 1e6
+#: Values, at most 46, are compared in steps of 2 ** -41, beside the 16 bits of their samples, which decide ties.
+_STEPS, _SAMPLES = 2.0**41, 2**16
+#: Terms that ``cells_of`` takes at a time: few at first, when no cell has a small value yet.
 _FIRST, _MOST = 16, 256
-_MULTIPLY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_SHIFT = np.uint64(32), np.uint64(29)
-
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Hashes of 64-bit numbers, in place."""
-    for shift, factor in zip((_SHIFT[0], _SHIFT[1]), _MULTIPLY[1:], strict=True):
-        x ^= x >> shift
-        x *= factor
-    x ^= x >> _SHIFT[0]
-    return x
 
-
-_SEEDS = _mix(np.arange(1, CELLS + 1, dtype=np.uint64) * _MULTIPLY[0])
+def _hashes(x: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of 64-bit numbers."""
+    turned = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
+    p1, p2, p3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+    h = np.uint64(42 + 0x27D4EB2F165667C5 + 8) ^ (turned(x * p2, 31) * p1)
+    h = turned(h, 27) * p1 + np.uint64(0x85EBCA77C2B2AE63)
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
 
 
 def _terms(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles and their numbers. Bytes are split at the white space of ``common.WORD``."""
-    words, digest = text.encode("utf-8", "surrogatepass").split(), xxhash.xxh64_intdigest
-    hashes = np.fromiter(map(digest, words), np.uint64, len(words))
-    n = max(len(words) - SHINGLE + 1, min(len(words), 1))
-    made = np.full(n, min(len(words), SHINGLE), np.uint64)
-    for k in range(min(len(words), SHINGLE)):
-        made = _mix(made * _MULTIPLY[0] + hashes[k : k + n])
+    words = text.encode("utf-8", "surrogatepass").split()
+    made = np.empty(max(len(words) - SHINGLE + 1, min(len(words), 1)), np.uint64)
+    for k in range(len(made)):
+        digest = 42
+        for word in words[k : k + SHINGLE]:
+            digest = xxhash.xxh64_intdigest(word, digest)
+        made[k] = digest
     return np.unique(made, return_counts=True)
 
 
@@ -67,7 +76,7 @@ def cells_of(text: str) -> np.ndarray:
     at, step = 0, _FIRST
     while at < len(terms):
         term, weight = terms[at : at + step], weights[at : at + step]
-        first = _mix(term[:, None] ^ _SEEDS).reshape(-1)
+        first = _hashes(term[:, None] ^ np.arange(CELLS, dtype=np.uint64)).reshape(-1)
         u = first.view(np.uint16).reshape(-1, 4)
         # exp(-r) = u0 * u1 and c = -ln(u2 * u3) >= 1 - u2 * u3, times 2 ** 64. Numbers of 32 bits round that difference
         # by less than the 1024 taken from it; the other roundings are within the 1e-5 given to the bound.
@@ -85,16 +94,15 @@ def cells_of(text: str) -> np.ndarray:
         at_pair = np.flatnonzero(low <= bound)
         if len(at_pair):
             i, j = at_pair >> 7, at_pair & (CELLS - 1)
-            seed = first[at_pair]
-            second = _mix(seed * _MULTIPLY[0] + _SEEDS[j])
+            second = _hashes(first[at_pair])
             # The bits of each uniform: 16 of the first hash, 16 of the second.
             x = u[at_pair] * 65536.0
             x += second.view(np.uint16).reshape(-1, 4)
             x += 0.5
             x *= 2.0**-32
             r, log_c = -np.log(x[:, 0] * x[:, 1]), np.log(-np.log(x[:, 2] * x[:, 3]))
-            b = ((_mix(second * _MULTIPLY[0] + seed) >> np.uint64(11)) + 0.5) * 2.0**-53
-            level = np.floor(np.log(weight[i]) / r + b) if weight[0] > 1 else np.zeros(len(i))
+            b = ((_hashes(second) >> np.uint64(11)) + 0.5) * 2.0**-53
+            level = np.floor(np.log(weight[i]) / r + b)
             value = np.full(low.shape, np.inf)
             value.reshape(-1)[at_pair] = log_c - r * (level - b + 1.0)
             best = value.argmin(axis=0)
@@ -102,24 +110,106 @@ def cells_of(text: str) -> np.ndarray:
             cell = np.flatnonzero(value < least)
             least[cell] = value[cell]
             kept_level = level[np.searchsorted(at_pair, best[cell] * CELLS + cell)].astype(np.int64).view(np.uint64)
-            kept[cell] = _mix(term[best[cell]] * _MULTIPLY[0] + kept_level) % np.uint64(2**16 - 1) + np.uint64(1)
+            sample = _hashes(term[best[cell]] ^ _hashes(kept_level)).view(np.int64)
+            kept[cell] = np.mod(sample, 2**16 - 1) + 1
         at, step = at + step, min(step * 2, _MOST)
     return kept
 
 
-@F.arrow_udf(StringType())
-def _signatures(texts: pa.Array) -> pa.Array:
-    return pa.array((cells_of(t).astype(">u2").tobytes().hex() for t in texts.to_pylist()), pa.string())
+def _sixteen(bits: Column, k: int) -> Column:
+    part = F.shiftrightunsigned(bits, 16 * k) if k else bits
+    return (part.bitwiseAND(F.lit(65535)) if k < 3 else part).cast("double")
+
+
+def _first(term: Column, cell: Column) -> Column:
+    return F.xxhash64(term.bitwiseXOR(cell))
+
+
+def _low(first: Column) -> tuple[Column, Column]:
+    """Not above x = exp(-r) and c. -ln z >= y + y ** 2 / 2 + y ** 3 / 3, y = 1 - z; roundings are far within the 1e-9."""
+    x = _sixteen(first, 0) * _sixteen(first, 1) * (2.0**-32 * (1 - 1e-9))
+    y = F.lit(1.0) - (_sixteen(first, 2) + 1.0) * (_sixteen(first, 3) + 1.0) * 2.0**-32
+    return x, y * (y * (y * (1 / 3) + 0.5) + 1.0)
+
+
+def _shift(second: Column) -> Column:
+    """b"""
+    return (F.shiftrightunsigned(F.xxhash64(second), 11).cast("double") + 0.5) * 2.0**-53
+
+
+def _uniforms(first: Column, second: Column) -> tuple[Column, Column, Column]:
+    """r, c and b of a pair."""
+    x = [(_sixteen(first, k) * 65536.0 + _sixteen(second, k) + 0.5) * 2.0**-32 for k in range(4)]
+    return -F.ln(x[0] * x[1]), -F.ln(x[2] * x[3]), _shift(second)
+
+
+def _level(log_weight: Column, r: Column, b: Column) -> Column:
+    return F.floor(log_weight / r + b)
+
+
+def _value(level: Column, r: Column, c: Column, b: Column) -> Column:
+    """a"""
+    return c * F.exp(r * (b - 1.0 - level.cast("double")))
+
+
+def _packed(term: Column, level: Column, value: Column) -> Column:
+    """A number in order of the values, whose last 16 bits are the sample (term, level)."""
+    sample = F.pmod(F.xxhash64(term.bitwiseXOR(F.xxhash64(level))), F.lit(_SAMPLES - 1)) + 1
+    return (value * _STEPS).cast("bigint") * _SAMPLES + sample
+
+
+def _words(text: Column) -> Column:
+    """Words of a text that has any: white space is that of ``common.WORD``."""
+    return F.split(F.btrim(text, F.lit(WHITE)), r"[\x20\x09-\x0D]+")
+
+
+def _starts(words: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0)))
+
+
+def _shingle(words: Column, at: Column) -> Column:
+    return F.xxhash64(*(F.get(words, at + k) for k in range(SHINGLE)))
+
+
+def _hex(sample: Column) -> Column:
+    return F.lower(F.lpad(F.hex(sample), 4, "0"))
 
 
 def signature(text: Column) -> Column:
-    """The fingerprint of a text that is not null: 4 hexadecimal digits for each cell."""
-    return _signatures(text)
+    """The fingerprint of a text that is not null: 4 hexadecimal digits for each cell. All pairs are worked out, one by one."""
+    some = F.btrim(text, F.lit(WHITE)) != ""
+    terms = let(_words(text), lambda w: F.transform(_starts(w), lambda i: _shingle(w, i)))
+
+    def weighted(terms: Column) -> Column:
+        """(term, ln weight) of sorted terms, by the places where a new one starts."""
+        first = F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)))
+        number = lambda i, end: F.ln((F.coalesce(end, F.size(terms)) - i).cast("double"))
+        return let(
+            first,
+            lambda f: F.transform(f, lambda i, k: F.struct(F.get(terms, i).alias("t"), number(i, F.get(f, k + 1)).alias("w"))),
+        )
+
+    def packed(pair: Column, cell: Column) -> Column:
+        def full(first: Column) -> Column:
+            r, c, b = _uniforms(first, F.xxhash64(first))
+            u = F.struct(r.alias("r"), c.alias("c"), b.alias("b"))
+            return let(u, lambda u: let(_level(pair["w"], u["r"], u["b"]), lambda t: _packed(pair["t"], t, _value(t, u["r"], u["c"], u["b"]))))
+
+        return let(_first(pair["t"], cell), full)
+
+    cells = F.sequence(F.lit(0).cast("bigint"), F.lit(CELLS - 1).cast("bigint"))
+    samples = let(
+        let(F.sort_array(terms), weighted),
+        lambda pairs: F.transform(cells, lambda j: _hex(F.array_min(F.transform(pairs, lambda p: packed(p, j))) % _SAMPLES)),
+    )
+    return F.when(some, F.array_join(samples, "")).otherwise(EMPTY * CELLS)
 
 
 def _cells(signature: Column) -> Column:
     """The cells of a signature in text form."""
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.substr(signature, i * 4 + 1, F.lit(4)))
+    places = F.sequence(F.lit(0), F.lit(CELLS - 1))
+    # Of bytes: the place of a character is looked for from the start.
+    return let(signature.cast("binary"), lambda s: F.transform(places, lambda i: F.substr(s, i * 4 + 1, F.lit(4)).cast("string")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -133,6 +223,78 @@ def likeness(a: Column, b: Column) -> Column:
     return let(states, share)
 
 
+def _sampled(texts: DataFrame) -> DataFrame:
+    """(doc, tag, fp, edited_fp) of texts(doc, tag, text, edited), distinct and partitioned by doc and tag.
+
+    A fingerprint is null where a cell has no value below the limit; texts without words may lack a row. Both texts of a
+    document share most terms, so the samples of a (term, cell) serve both. Nothing is shuffled.
+    """
+    sides = ("a", "b")
+    words = (
+        texts.select("doc", "tag", F.posexplode(F.array("text", "edited")).alias("side", "one"))
+        .where(F.btrim("one", F.lit(WHITE)) != "")
+        .select("doc", "tag", "side", _words(F.col("one")).alias("words"))
+    )
+    placed = words.select("doc", "tag", "side", "words", F.explode(_starts(F.col("words"))).alias("at"))
+    n = F.greatest(F.size("words") - SHINGLE + 1, F.lit(1))
+    shingles = placed.select("doc", "tag", "side", _shingle(F.col("words"), F.col("at")).alias("term"), n.alias("n"))
+    weights = shingles.groupBy("doc", "tag", "term").agg(
+        *(F.sum(F.when(F.col("side") == k, 1).otherwise(0)).alias(f"w_{s}") for k, s in enumerate(sides)),
+        *(F.max(F.when(F.col("side") == k, F.col("n")).otherwise(0)).alias(f"n_{s}") for k, s in enumerate(sides)),
+    )
+
+    def limit(s: str) -> Column:
+        """For a; 0 if the text lacks the term."""
+        n = F.col(f"n_{s}")
+        return F.when(n == 0, 0.0).when(n <= FEW, _NO_LIMIT).otherwise(F.lit(float(ENOUGH)) / n)
+
+    bound = F.greatest(*(limit(s) * F.col(f"w_{s}") for s in sides))
+    light = F.greatest(*(F.col(f"w_{s}") for s in sides)) == 1
+    terms = weights.select(
+        "doc",
+        "tag",
+        "term",
+        bound.alias("bound"),
+        F.when(light, bound).otherwise(_NO_LIMIT**2).alias("light_bound"),
+        *(F.ln(F.greatest(F.col(f"w_{s}"), F.lit(1)).cast("double")).alias(f"log_{s}") for s in sides),
+        *((limit(s) - F.when(limit(s) == 0, 1.0).otherwise(0.0)).alias(f"limit_{s}") for s in sides),
+    )
+    cells = F.explode(F.array(*(F.lit(j).cast("bigint") for j in range(CELLS))))
+    # The filters test the number of the partition as well: a Project that has it keeps a filter above it, where the hashes of
+    # a pair are made once, and not for every place where the filter names them.
+    part = F.spark_partition_id()
+    pairs = terms.select("*", cells.alias("cell")).select("*", _first(F.col("term"), F.col("cell")).alias("first"), part.alias("p"))
+    x, c = _low(F.col("first"))
+    near = pairs.where((x * c <= F.col("bound")) & (F.col("p") >= 0)).drop("p")
+    near = near.select("*", F.xxhash64("first").alias("second"), F.sqrt(x).alias("y"), c.alias("low_c"))
+    near = near.select("*", _shift(F.col("second")).alias("b"), part.alias("p"))
+    # A weight of 1 has level 0, so a = c * x ** (1 - b) = c * y ** (2 - 2 * b); and y ** z >= y / (z + (1 - z) * y) for z up to 1.
+    b, y, c = F.col("b"), F.col("y"), F.col("low_c")
+    whole = F.when(b > 0.5, 0.0).otherwise(1.0)
+    rest = F.lit(2.0) - b * 2.0 - whole
+    at_most = c * y * F.when(b > 0.5, 1.0).otherwise(y) <= F.col("light_bound") * (rest * (F.lit(1.0) - y) + y)
+    drawn = near.where(at_most & (F.col("p") >= 0)).drop("p", "b")
+    r, c, b = _uniforms(F.col("first"), F.col("second"))
+    drawn = drawn.select("*", r.alias("r"), c.alias("c"), b.alias("b"))
+    drawn = drawn.select("*", *(_level(F.col(f"log_{s}"), F.col("r"), F.col("b")).alias(f"level_{s}") for s in sides))
+    drawn = drawn.select("*", *(_value(F.col(f"level_{s}"), F.col("r"), F.col("c"), F.col("b")).alias(f"value_{s}") for s in sides))
+
+    def least(s: str) -> Column:
+        value = F.col(f"value_{s}")
+        return F.min(F.when(value <= F.col(f"limit_{s}"), _packed(F.col("term"), F.col(f"level_{s}"), value)))
+
+    least = drawn.groupBy("doc", "tag", "cell").agg(*(least(s).alias(s) for s in sides))
+    kept = least.select("doc", "tag", "cell", *((F.coalesce(F.col(s), F.lit(0)) % _SAMPLES).alias(s) for s in sides))
+    lists = kept.groupBy("doc", "tag").agg(
+        *(F.sort_array(F.collect_list(F.when(F.col(s) > 0, F.col("cell") * _SAMPLES + F.col(s)))).alias(s) for s in sides)
+    )
+
+    def joined(s: str) -> Column:
+        return F.when(F.size(s) == CELLS, F.array_join(F.transform(F.col(s), lambda x: _hex(x % _SAMPLES)), ""))
+
+    return lists.select("doc", "tag", joined("a").alias("fp"), joined("b").alias("edited_fp"))
+
+
 def _next_ids(ids: DataFrame) -> DataFrame:
     """(doc, tag, next_doc, next_tag) of the distinct ids(part, doc, tag), parts being ranges in their order."""
     following = F.lead(F.struct("doc", "tag")).over(Window.partitionBy("part").orderBy("doc", "tag"))
@@ -152,29 +314,24 @@ def _next_ids(ids: DataFrame) -> DataFrame:
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """Every row's doc_id, n, ``fp`` and ``next_fp`` (bytes of signatures) and ``edited``, its edited text.
+    """Every row's doc_id, n, ``edited``, its edited text, and the signatures ``fp``, ``edited_fp`` and ``next_fp`` as bytes.
 
     The edited text ends, instead of in its last quarter, in as many characters of the next document in order of doc_id (a
     null id first, rows of one id by a hash of the text); after the last comes the first. Rows equal in id and text
     are one document here and each get its result.
 
-    Signatures are made before anything is shuffled. Texts are shuffled once, by (doc, tag): the exchange serves both
-    the documents and the beginnings that they give to the document before.
+    Texts are shuffled once, by (doc, tag): the exchange serves the beginnings that documents give to the one before, the
+    sampling of their terms, and the result. Signatures are shuffled once, to their own document and to the one before.
     """
     space = workspace(docs.sparkSession, "fingerprints")
     text = text_of(docs)
     keyed = docs.select(
         F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text")
     )
-    signed = space.write(
-        keyed.select("doc", "tag", F.char_length("text").alias("n"), F.unhex(signature(F.col("text"))).alias("fp"))
-    )
-    ids = space.write(
-        signed.select("doc", "tag", "n").distinct().repartitionByRange("doc", "tag").withColumn("part", F.spark_partition_id())
-    )
+    ids = keyed.select("doc", "tag", F.char_length("text").alias("n")).distinct().repartitionByRange("doc", "tag")
     # For every document: whose next it is, and how much of it that one needs.
     wanted = space.write(
-        _next_ids(ids).select(
+        _next_ids(space.write(ids.withColumn("part", F.spark_partition_id()))).select(
             F.col("next_doc").alias("doc"),
             F.col("next_tag").alias("tag"),
             F.col("doc").alias("prev_doc"),
@@ -182,24 +339,35 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
             F.floor(F.col("n") / 4).cast("int").alias("need"),
         )
     )
-    prints = signed.groupBy("doc", "tag").agg(F.first("fp").alias("fp"))
     given = (
         keyed.join(wanted, ["doc", "tag"])
-        .join(prints, ["doc", "tag"])
         .select(
             F.col("prev_doc").alias("doc"),
             F.col("prev_tag").alias("tag"),
             F.substr("text", F.lit(1), F.col("need")).alias("ending"),
-            F.col("fp").alias("next_fp"),
         )
         .dropDuplicates(["doc", "tag"])
     )
     n = F.char_length("text")
     edited = F.concat(F.substr("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("ending"))
-    return (
-        keyed.join(prints, ["doc", "tag"])
-        .join(given, ["doc", "tag"])
-        .select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), n.alias("n"), "fp", "next_fp", edited.alias("edited"))
+    rows = keyed.join(given, ["doc", "tag"]).select("doc", "tag", "text", edited.alias("edited"))
+    texts = rows.dropDuplicates(["doc", "tag"])
+    prints = texts.join(_sampled(texts), ["doc", "tag"], "left").select(
+        "doc", "tag", *(F.unhex(F.coalesce(fp, signature(F.col(of)))).alias(fp) for fp, of in (("fp", "text"), ("edited_fp", "edited")))
+    )
+    nothing = F.lit(None).cast("binary")
+    own = F.struct("doc", "tag", "fp", "edited_fp", nothing.alias("next_fp"))
+    before = F.struct(
+        F.col("prev_doc").alias("doc"),
+        F.col("prev_tag").alias("tag"),
+        nothing.alias("fp"),
+        nothing.alias("edited_fp"),
+        F.col("fp").alias("next_fp"),
+    )
+    sent = prints.join(wanted.drop("need"), ["doc", "tag"]).select(F.inline(F.array(own, before)))
+    facts = sent.groupBy("doc", "tag").agg(*(F.max(c).alias(c) for c in ("fp", "edited_fp", "next_fp")))
+    return rows.join(facts, ["doc", "tag"]).select(
+        F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), n.alias("n"), "edited", "fp", "edited_fp", "next_fp"
     )
 
 
@@ -209,14 +377,7 @@ def _text(fp: Column) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n, edited, fp, edited_fp, near_edited and near_next of every row."""
-    signed = edited_pairs(docs).select(
-        "doc_id",
-        "n",
-        "edited",
-        _text(F.col("fp")).alias("fp"),
-        _text(F.col("next_fp")).alias("next_fp"),
-        signature(F.col("edited")).alias("edited_fp"),
-    )
+    signed = edited_pairs(docs).select("doc_id", "n", "edited", *(_text(F.col(c)).alias(c) for c in ("fp", "edited_fp", "next_fp")))
     # Cells are cut first, in a column each: both comparisons share those of fp.
     cut = signed.select("*", *(_cells(F.col(c)).alias(f"{c}_cells") for c in ("fp", "next_fp", "edited_fp")))
     return cut.select(

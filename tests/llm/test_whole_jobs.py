@@ -139,3 +139,26 @@ def test_op1_sees_repeated_windows_at_every_offset():
         got = quality.statistics(" ".join(words))[at]
         assert abs(got - (1 - len(set(windows)) / len(windows))) < 1e-12 and got > 0
     assert quality.statistics("one two")[at] == 0.0
+
+
+def _op4_texts():
+    rng = np.random.default_rng(7)
+    made = [" ".join(f"w{x}" for x in rng.integers(0, most, n)) for most, n in ((3, 300), (50, 400), (10**6, 900), (9, 6), (40, 33))]
+    return [*made, *made[:2], "", " \n\t", None, "one", " a\x0bb c d e ", "é ü x " * 40, "same line again and again\n" * 200]
+
+
+def test_op4_runs_no_python_on_the_executors(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(_op4_texts())], "doc_id bigint, text string")
+    plan = fingerprints.fingerprints(docs)._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "InArrow"))
+
+
+def test_op4_rows_of_pairs_equal_numpy_with_and_without_cells_left_over(spark, monkeypatch):
+    texts = _op4_texts()
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(3, texts[3])], "doc_id bigint, text string")
+    want = lambda t: fingerprints.cells_of(t or "").astype(">u2").tobytes().hex()
+    for enough in (fingerprints.ENOUGH, 2):  # 2: about 17 of 128 cells have no value below the limit
+        monkeypatch.setattr(fingerprints, "ENOUGH", enough)
+        got = fingerprints.fingerprints(docs).collect()
+        assert len(got) == len(texts) + 1
+        assert all(r["fp"] == want(texts[r["doc_id"]]) and r["edited_fp"] == want(r["edited"]) for r in got)
