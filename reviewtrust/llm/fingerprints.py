@@ -19,8 +19,6 @@ another are not (0.0). A text of SHINGLE words or fewer is one term.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -40,6 +38,8 @@ FEW = 32
 _NO_LIMIT = 1e6
 #: Values, at most 46, are compared in steps of 2 ** -41, beside the 16 bits of their samples, which decide ties.
 _STEPS, _SAMPLES = 2.0**41, 2**16
+#: Two numbers in one.
+_HALF = 2**32
 #: Terms that ``cells_of`` takes at a time: few at first, when no cell has a small value yet.
 _FIRST, _MOST = 16, 256
 
@@ -163,8 +163,8 @@ def _words(text: Column) -> Column:
     return F.split(F.btrim(text, F.lit(WHITE)), r"[\x20\x09-\x0D]+")
 
 
-def _starts(words: Column) -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0)))
+def _starts(words: Column, first: Column | int = 0) -> Column:
+    return F.sequence(F.lit(first), F.greatest(F.size(words) - SHINGLE, F.lit(0)))
 
 
 def _shingle(words: Column, at: Column) -> Column:
@@ -224,29 +224,41 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _sampled(texts: DataFrame) -> DataFrame:
-    """(doc, tag, fp, edited_fp) of texts(doc, tag, text, edited), distinct and partitioned by doc and tag.
+    """(doc, tag, fp, edited_fp) of texts(doc, tag, text, edited), distinct, partitioned by both, alike but for a last quarter.
 
     A fingerprint is null where a cell has no value below the limit; texts without words may lack a row. Both texts of a
     document share most terms, so the samples of a (term, cell) serve both. Nothing is shuffled.
     """
     sides = ("a", "b")
-    words = (
-        texts.select("doc", "tag", F.posexplode(F.array("text", "edited")).alias("side", "one"))
-        .where(F.btrim("one", F.lit(WHITE)) != "")
-        .select("doc", "tag", "side", _words(F.col("one")).alias("words"))
-    )
-    placed = words.select("doc", "tag", "side", "words", F.explode(_starts(F.col("words"))).alias("at"))
-    n = F.greatest(F.size("words") - SHINGLE + 1, F.lit(1))
-    shingles = placed.select("doc", "tag", "side", _shingle(F.col("words"), F.col("at")).alias("term"), n.alias("n"))
-    weights = shingles.groupBy("doc", "tag", "term").agg(
-        *(F.sum(F.when(F.col("side") == k, 1).otherwise(0)).alias(f"w_{s}") for k, s in enumerate(sides)),
-        *(F.max(F.when(F.col("side") == k, F.col("n")).otherwise(0)).alias(f"n_{s}") for k, s in enumerate(sides)),
+    white, at = F.lit(WHITE), F.char_length("text") - F.floor(F.char_length("text") / 4).cast("int")
+    cut = texts.select(
+        "doc", "tag", F.substr("text", F.lit(1), at).alias("same"), *(F.substr(c, at + 1).alias(c) for c in ("text", "edited"))
     )
+    split = cut.select("doc", "tag", "same", "text", "edited", _words(F.col("same")).alias("words"))
+    # The last word of the part that both have may go on in the rest.
+    shared = F.size("words") - 1
+    last = F.concat(F.get("words", shared), F.when(F.rtrim("same", white) == F.col("same"), "").otherwise(" "))
+    whole = [F.concat(F.slice("words", F.lit(1), shared), _words(F.concat(last, F.col(c)))) for c in ("text", "edited")]
+    both = split.select("doc", "tag", shared.alias("shared"), *(w.alias(s) for w, s in zip(whole, sides, strict=True)))
+    n = [F.when(F.get(s, F.lit(0)) == "", 0).otherwise(F.greatest(F.size(s) - SHINGLE + 1, F.lit(1))).cast("bigint") for s in sides]
+    both = both.select("doc", "tag", "shared", *sides, (n[0] * _HALF + n[1]).alias("n"))
+    words = both.select("doc", "tag", "shared", "n", F.posexplode(F.array(*sides)).alias("side", "words"))
+    words = words.where(F.get("words", F.lit(0)) != "")
+    # Shingles of shared words are made once, for both texts.
+    ahead = F.col("shared") - SHINGLE
+    places = F.explode(_starts(F.col("words"), F.when(F.col("side") == 0, 0).otherwise(F.greatest(ahead + 1, F.lit(0)))))
+    placed = words.select("doc", "tag", "n", "shared", "side", "words", places.alias("at"))
+    number = F.when(F.col("side") == 1, 1).when(F.col("at") <= ahead, _HALF + 1).otherwise(_HALF)
+    shingles = placed.select("doc", "tag", "n", _shingle(F.col("words"), F.col("at")).alias("term"), number.cast("bigint").alias("number"))
+    # Two numbers in one: rows are many, and small ones keep them in memory.
+    weights = shingles.groupBy("doc", "tag", "term").agg(F.sum("number").alias("w"), F.max("n").alias("n"))
+    halves = [(f"{c}_{s}", F.shiftright(c, 32) if s == "a" else F.col(c).bitwiseAND(F.lit(_HALF - 1))) for c in ("w", "n") for s in sides]
+    weights = weights.select("doc", "tag", "term", *(h.alias(name) for name, h in halves))
 
     def limit(s: str) -> Column:
         """For a; 0 if the text lacks the term."""
         n = F.col(f"n_{s}")
-        return F.when(n == 0, 0.0).when(n <= FEW, _NO_LIMIT).otherwise(F.lit(float(ENOUGH)) / n)
+        return F.when(F.col(f"w_{s}") == 0, 0.0).when(n <= FEW, _NO_LIMIT).otherwise(F.lit(float(ENOUGH)) / n)
 
     bound = F.greatest(*(limit(s) * F.col(f"w_{s}") for s in sides))
     light = F.greatest(*(F.col(f"w_{s}") for s in sides)) == 1
